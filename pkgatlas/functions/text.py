@@ -37,7 +37,7 @@ def growth_intent(query: Column, stems: Sequence[str] = fixed.GROWTH_STEMS) -> C
 
 def specific_domain(query: Column, words: Sequence[str] = fixed.DOMAIN_WORDS) -> Column:
     """The query names a concrete field; the growth override must then not apply."""
-    return query.rlike(r"(?i)\b(" + "|".join(words) + r")\b")
+    return query.rlike(r"(?iU)\b(" + "|".join(words) + r")\b")
 
 
 def contains_any(columns: Sequence[Column], terms: Sequence[str]) -> Column:

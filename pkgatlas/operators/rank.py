@@ -100,30 +100,34 @@ def growth_shortlist(
     are attached. ``results`` needs (per, pos, name, dependents_count, stars, growth_pct).
     """
     keyed = results.withColumn("name_key", name_key(F.col("name")))
+    real_use = (F.coalesce("dependents_count", F.lit(0)) >= min_dependents) & (
+        F.coalesce("stars", F.lit(0)) >= min_stars
+    )
+    damped = scoring.growth_score(F.col("growth_pct"), F.col("dependents_count"), at_least=1)
 
-    def top(df: DataFrame, score: Column, limit: int) -> DataFrame:
-        w = Window.partitionBy(per).orderBy(score.desc_nulls_last(), F.col("pos").asc())
-        return df.withColumn("shortlist_pos", F.row_number().over(w)).filter(
-            F.col("shortlist_pos") <= limit
+    def branch(label: str, limit: int, score: Column) -> Column:
+        return F.struct(
+            F.lit(label).alias("branch"), F.lit(limit).alias("_limit"), score.alias("_score")
         )
 
-    quality = top(
-        keyed.filter(
-            (F.coalesce("dependents_count", F.lit(0)) >= min_dependents)
-            & (F.coalesce("stars", F.lit(0)) >= min_stars)
-        ),
-        F.coalesce("growth_pct", F.lit(0.0)),
-        n,
-    ).withColumn("branch", F.lit("quality"))
-    enough = quality.groupBy(per).agg(F.count("*").alias("_n")).filter(F.col("_n") >= at_least)
-    fallback = top(
-        keyed,
-        scoring.growth_score(F.col("growth_pct"), F.col("dependents_count"), at_least=1),
-        fallback_n,
-    ).withColumn("branch", F.lit("fallback"))
-    chosen = quality.join(enough, per, "left_semi").unionByName(
-        fallback.join(enough, per, "left_anti")
+    # both branches in one pass over the results, cut per task before the shuffle
+    both = F.array_compact(
+        F.array(
+            F.when(real_use, branch("quality", n, F.coalesce("growth_pct", F.lit(0.0)))),
+            branch("fallback", fallback_n, damped),
+        )
+    )
+    ranked = Window.partitionBy(per, "branch").orderBy(F.col("_score").desc(), F.col("pos").asc())
+    short = (
+        keyed.select(per, "pos", "name", "name_key", F.inline(both))
+        .withColumn("shortlist_pos", F.row_number().over(ranked))
+        .filter(F.col("shortlist_pos") <= max(n, fallback_n))
+        .filter(F.col("shortlist_pos") <= F.col("_limit"))
     )
+    # at most n + fallback_n rows per query are left here
+    real = F.count_if(F.col("branch") == "quality").over(Window.partitionBy(per))
+    wanted = F.when(F.col("_real") >= at_least, "quality").otherwise("fallback")
+    chosen = short.withColumn("_real", real).filter(F.col("branch") == wanted)
     chosen = dedupe_best(
         chosen.filter(F.col("name") != ""), [per, "name_key"], [F.col("shortlist_pos").asc()]
     )

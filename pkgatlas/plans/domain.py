@@ -8,10 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pkgatlas.functions.names import explode_name_list
 from pkgatlas.operators.build import build_packages
 from pkgatlas.operators.lookup import Layers
 from pkgatlas.operators.trends import latest_downloads, monthly_downloads
-from pkgatlas.functions.names import explode_name_list
+from pkgatlas.session import materialize
 from pkgatlas.sources.files import ingest_platform
 
 AS_OF = "2001-12-31"
@@ -30,8 +31,16 @@ def ntz(text: str) -> Column:
 class Domain:
     """Lazy views over one data folder."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+    def __init__(
+        self, spark: SparkSession, sf_dir: str, stored_packages: DataFrame | None = None
+    ) -> None:
         self.spark, self.sf_dir = spark, sf_dir
+        self._packages = stored_packages
+
+    def stored(self) -> Domain:
+        """The same views over a ``packages`` table written once, for answers that read it
+        several times."""
+        return Domain(self.spark, self.sf_dir, materialize(self.packages(), "packages"))
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -72,6 +81,8 @@ class Domain:
 
     def packages(self) -> DataFrame:
         """Packages with a description of their own."""
+        if self._packages is not None:
+            return self._packages
         texts = self.table("part").select(
             F.lower(pkg(F.col("p_partkey"))).alias("name_key"),
             F.concat_ws(

@@ -28,7 +28,7 @@ from pkgatlas.plans import oracle as o
 from pkgatlas.plans.domain import AS_OF, Domain, pkg
 from pkgatlas.plans.reports import explore_report, explore_rows
 from pkgatlas.schemas import PROJECTS
-from pkgatlas.session import new_work_path
+from pkgatlas.session import materialize, new_work_path
 from pkgatlas.sources import documents, files
 from pkgatlas.streaming import downloads as download_stream
 from pkgatlas.streaming import vectors as vector_stream
@@ -355,11 +355,12 @@ SELECT query_id, shortlist_pos, branch, name, name_key, h.health_score
 FROM d_shortlist JOIN (SELECT name_key, health_score FROM d_stats_keyed WHERE known) h USING (name_key)
 WHERE name_key NOT IN (SELECT lower(project_name) FROM d_versions)""")
 def growth_shortlist(d: Domain) -> DataFrame:
+    d = d.stored()
     hits = search.hybrid_search(d.packages(), d.vectors(), d.topics(), 30, GROWTH, SEMANTIC)
     done = d.versions().select(F.col("project_name").alias("name"))
-    listed = rank.growth_shortlist(hits, None, done, **SHORTLIST)
-    stats = health.package_stats(d.layers(), listed.select("name"), AS_OF, snippets=False)
-    return rank.growth_shortlist(hits, stats, done, **SHORTLIST).select(
+    listed = materialize(rank.growth_shortlist(hits, None, done, **SHORTLIST), "shortlist")
+    stats = health.package_stats(d.layers(), listed, AS_OF, snippets=False)
+    return listed.join(stats.filter(F.col("error").isNull()).drop("name_key"), "name").select(
         "query_id", "shortlist_pos", "branch", "name", "name_key", "health_score"
     )
 
@@ -475,6 +476,7 @@ def semantic_search(d: Domain) -> DataFrame:
 
 @query("SELECT query_id, name, name_key, dependents_count, stars, growth_pct, source, pos FROM d_hybrid")
 def hybrid_search(d: Domain) -> DataFrame:
+    d = d.stored()
     return search.hybrid_search(d.packages(), d.vectors(), d.topics(), 20, GROWTH, SEMANTIC)
 
 
@@ -499,7 +501,7 @@ SELECT query_id, growth_intent, growth_intent_search, specific_domain, growth_in
   SELECT doc_id AS query_id,
     regexp_matches(text, '(?i)({"|".join(fixed.GROWTH_STEMS)})') AS growth_intent,
     regexp_matches(text, '(?i)({"|".join((*fixed.GROWTH_STEMS, *fixed.GROWTH_STEMS_SEARCH_ONLY))})') AS growth_intent_search,
-    regexp_matches(text, '(?i)\\b({"|".join(fixed.DOMAIN_WORDS)})\\b') AS specific_domain
+    regexp_matches(text, '(?i)(^|[^\\pL\\pN_])({"|".join(fixed.DOMAIN_WORDS)})($|[^\\pL\\pN_])') AS specific_domain
   FROM (SELECT doc_id, text || ' ' || CASE source WHEN 'src1' THEN 'fastest' WHEN 'src2' THEN 'popular' WHEN 'src3' THEN 'trending API' ELSE '' END AS text FROM documents))""")
 def query_intent(d: Domain) -> DataFrame:
     tail = (
@@ -703,6 +705,7 @@ SELECT query_id, query, growth_override, {_BANNER_SQL}, sum(coalesce(latest_down
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS place FROM d_explore)
 GROUP BY query_id, query, growth_override""")
 def explore_report_query(d: Domain) -> DataFrame:
+    d = d.stored()
     rows = explore_rows(
         d.layers(), d.vectors(), d.topics(), AS_OF, latest=d.latest(),
         growth=GROWTH, semantic=SEMANTIC, shortlist=SHORTLIST,

@@ -12,6 +12,7 @@ from pkgatlas.operators.health import package_stats
 from pkgatlas.operators.lookup import Layers
 from pkgatlas.operators.rank import growth_shortlist, result_map
 from pkgatlas.operators.search import hybrid_search, query_intent
+from pkgatlas.session import materialize
 
 
 def explore_rows(
@@ -31,21 +32,23 @@ def explore_rows(
     A growth question that names no concrete field takes the growth shortlist of its hits;
     any other question takes its first ``shown`` hits.
     """
-    hits = hybrid_search(layers.fresh, corpus, queries, limit, growth, semantic)
     intent = query_intent(queries.select("query_id", "query"))
-    rising = intent.filter("growth_override").select("query_id")
+    # a few rows per question: stored once, read by the shortlist, the list and the statistics
+    hits = materialize(
+        hybrid_search(layers.fresh, corpus, queries, limit, growth, semantic).join(
+            intent.select("query_id", "query", "growth_override"), "query_id"
+        ),
+        "search-hits",
+    )
     listed = growth_shortlist(
-        hits.join(rising, "query_id", "left_semi"), per="query_id", **(shortlist or {})
+        hits.filter("growth_override"), per="query_id", **(shortlist or {})
     ).select("query_id", F.col("shortlist_pos").alias("pos"), "name")
-    first = (
-        hits.join(rising, "query_id", "left_anti")
-        .filter(F.col("pos") <= shown)
-        .select("query_id", "pos", "name")
-    )
-    chosen = listed.unionByName(first)
-    rows = chosen.join(package_stats(layers, chosen, as_of), "name").join(
-        intent.select("query_id", "query", "growth_override"), "query_id"
+    first = hits.filter(~F.col("growth_override") & (F.col("pos") <= shown)).select(
+        "query_id", "pos", "name"
     )
+    asked = hits.select("query_id", "query", "growth_override").distinct()
+    chosen = materialize(listed.unionByName(first).join(asked, "query_id"), "search-chosen")
+    rows = chosen.join(package_stats(layers, chosen, as_of), "name")
     if latest is None:
         return rows.withColumn("latest_downloads", F.lit(None).cast("long"))
     return with_latest_downloads(rows, latest)
