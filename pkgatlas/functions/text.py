@@ -32,7 +32,7 @@ def significant_words(text: Column, stop_words: Sequence[str] = fixed.STOP_WORDS
 
 
 def growth_intent(query: Column, stems: Sequence[str] = fixed.GROWTH_STEMS) -> Column:
-    return query.rlike("(?i)(" + "|".join(stems) + ")")
+    return contains_any([query], stems)
 
 
 def specific_domain(query: Column, words: Sequence[str] = fixed.DOMAIN_WORDS) -> Column:

@@ -106,23 +106,12 @@ def best_per_metric(
     def candidate(name: str, column: str, higher: bool) -> Column:
         missing = fixed.UNKNOWN_DAYS if column == "days_since_last_release" else 0
         value = F.coalesce(F.col(column), F.lit(missing)).cast("double")
-        return F.struct(
-            F.lit(name).alias("metric"), value.alias("value"),
-            (value if higher else -value).alias("score"),
-        )
+        row = F.struct(F.lit(name).alias("metric"), "name", "pos", value.alias("value"))
+        return F.max_by(row, _first_best(value if higher else -value, order)).alias(name)
 
-    long = results.select(
-        per,
-        "pos",
-        "name",
-        *[c.alias(f"_o{i}") for i, c in enumerate(order)],
-        F.explode(F.array(*[candidate(m, c, h) for m, (c, h) in metrics.items()])).alias("m"),
-    )
-    keys = [F.col(f"_o{i}") for i in range(len(order))]
-    best = long.groupBy(per, F.col("m.metric").alias("metric")).agg(
-        F.max_by(F.struct("name", "pos", "m.value"), _first_best(F.col("m.score"), keys)).alias("b")
-    )
-    out = best.select(per, "metric", "b.name", "b.pos", "b.value")
+    # one aggregation for all metrics, instead of a row per package and metric
+    best = results.groupBy(per).agg(*[candidate(m, c, h) for m, (c, h) in metrics.items()])
+    out = best.select(per, F.inline(F.array(*metrics)))
     return out.filter((F.col("metric") != "downloads") | (F.col("value") > 0))
 
 

@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 
 from pkgatlas import fixed
 from pkgatlas.functions import scoring
+from pkgatlas.functions.names import with_name_key
 from pkgatlas.functions.readme import code_snippet
 from pkgatlas.operators.build import one_per_name
 from pkgatlas.operators.lookup import (
     Layers,
-    asked,
     dependencies,
     dependents_count,
     health_metrics,
+    restrict,
     reverse_dependencies,
 )
 
@@ -37,27 +38,31 @@ def package_stats(
     before the historical one.
     """
     base = health_metrics(layers, names)
-    columns = [
-        "version", "summary", "author", "license", "total_versions",
-        "latest_release_date", "requires_dist", "readme",
-    ]
+    columns = {
+        "version": "string", "summary": "string", "author": "string", "license": "string",
+        "total_versions": "long", "latest_release_date": "string", "requires_dist": "string",
+        "code_snippet": "string",
+    }
     if layers.metadata is not None:
-        meta = one_per_name(layers.metadata, "name").select(
+        # the README is reduced to its code example before its row is sorted and joined
+        meta = restrict(with_name_key(layers.metadata, "name"), names)
+        example = code_snippet(F.col("readme")) if snippets else F.lit(None).cast("string")
+        meta = one_per_name(
+            meta.withColumn("code_snippet", example).select("name", "name_key", *columns), "name"
+        ).select(
             "name_key", *[F.col(c).alias(f"m_{c}") for c in columns], F.lit(True).alias("m_found")
         )
         base = base.join(meta, "name_key", "left")
     else:
-        for c in columns:
-            kind = "long" if c == "total_versions" else "string"
-            base = base.withColumn(f"m_{c}", F.lit(None).cast(kind))
-        base = base.withColumn("m_found", F.lit(False))
+        base = base.withColumns(
+            {f"m_{c}": F.lit(None).cast(kind) for c, kind in columns.items()}
+        ).withColumn("m_found", F.lit(False))
 
     found_registry = F.coalesce("m_found", F.lit(False))
     release = F.coalesce(
         F.when(F.col("m_latest_release_date") != "", F.col("m_latest_release_date")),
         "last_release_ts",
     )
-    snippet = code_snippet(F.col("m_readme")) if snippets else F.lit(None).cast("string")
     zero = F.lit(0).cast("long")
     rows = base.select(
         "name",
@@ -85,7 +90,7 @@ def package_stats(
         F.coalesce("m_latest_release_date", F.lit("")).alias("latest_release_date"),
         F.coalesce("m_requires_dist", F.lit("[]")).alias("requires_dist"),
         scoring.days_since(release, as_of).alias("days_since_last_release"),
-        snippet.alias("code_snippet"),
+        F.col("m_code_snippet").alias("code_snippet"),
     )
     score = scoring.health_score(
         F.col("dependents_count"), F.col("stars"), F.col("days_since_last_release"),
@@ -183,7 +188,3 @@ def score_table(df: DataFrame, weights: Mapping[str, float] = fixed.SCORE_WEIGHT
         }
     )
 
-
-__all__ = [
-    "asked", "dependents", "health_check", "package_detail", "package_stats", "score_table",
-]

@@ -10,8 +10,8 @@ from dataclasses import dataclass, fields
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pkgatlas.functions.names import name_key
-from pkgatlas.operators.build import dedupe_best, one_per_name
+from pkgatlas.functions.names import name_key, with_name_key
+from pkgatlas.operators.build import one_per_name
 
 
 @dataclass(frozen=True)
@@ -43,7 +43,11 @@ def asked(names: DataFrame) -> DataFrame:
 
 
 def restrict(df: DataFrame, names: DataFrame, key: str = "name_key") -> DataFrame:
-    """Rows whose name was asked for (any spelling)."""
+    """Rows whose name was asked for (any spelling).
+
+    A short list is broadcast by its size, and the filter then sinks through an
+    aggregation or window on the key down to the scan; a long one is met after it.
+    """
     keys = names.select(name_key(F.col("name")).alias(key)).distinct()
     return df.join(keys, key, "left_semi")
 
@@ -59,42 +63,20 @@ def first_non_empty(
     return a.unionByName(rest)
 
 
-def _fresh(layers: Layers) -> DataFrame | None:
-    return None if layers.fresh is None else one_per_name(layers.fresh, "package_name")
-
-
-def _projects(layers: Layers) -> DataFrame | None:
-    return None if layers.projects is None else one_per_name(layers.projects, "name")
+def _one_each(table: DataFrame | None, name_col: str, names: DataFrame) -> DataFrame | None:
+    """One row per asked name key; rows nobody asked for go before anything is sorted."""
+    if table is None:
+        return None
+    return one_per_name(restrict(with_name_key(table, name_col), names), name_col)
 
 
 def lookup(layers: Layers, names: DataFrame) -> DataFrame:
     """At most one row per asked name: the fresh row whole, else the historical one."""
-    want = asked(names)
-    parts = []
-    if layers.fresh is not None:
-        f = _fresh(layers)
-        parts.append(
-            f.select(
-                "name_key", "package_name", "description", "stars", "forks",
-                F.col("dependent_count").alias("dependents_count"),
-                F.col("repo").alias("repository_url"),
-                F.lit("fresh").alias("layer"), F.lit(0).alias("_rank"),
-            )
-        )
-    if layers.projects is not None:
-        h = _projects(layers)
-        parts.append(
-            h.select(
-                "name_key", F.col("name").alias("package_name"), "description", "stars",
-                "forks", "dependents_count", "repository_url",
-                F.lit("historical").alias("layer"), F.lit(1).alias("_rank"),
-            )
-        )
-    if not parts:
-        raise ValueError("no package table")
-    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    best = dedupe_best(restrict(rows, names), ["name_key"], [F.col("_rank").asc()]).drop("_rank")
-    return want.join(best, "name_key")
+    found = health_metrics(layers, names).filter("found_in_db")
+    return found.select(
+        "name", "name_key", "package_name", "description", "stars", "forks",
+        "dependents_count", "repository_url", "layer",
+    )
 
 
 def version_counts(versions: DataFrame) -> DataFrame:
@@ -116,16 +98,17 @@ def dependents_count(layers: Layers, names: DataFrame) -> DataFrame:
     fresh = edges = stored = F.lit(None).cast("long")
     if layers.fresh is not None:
         out = out.join(
-            _fresh(layers).select("name_key", F.col("dependent_count").alias("_fresh")),
+            _one_each(layers.fresh, "package_name", names).select("name_key", F.col("dependent_count").alias("_fresh")),
             "name_key", "left",
         )
         fresh = F.col("_fresh")
     if layers.deps is not None:
-        out = out.join(edge_counts(layers.deps), "name_key", "left")
+        counts = restrict(edge_counts(layers.deps), names)
+        out = out.join(counts, "name_key", "left")
         edges = F.coalesce("edge_count", F.lit(0))
     elif layers.projects is not None:
         out = out.join(
-            _projects(layers).select("name_key", F.col("dependents_count").alias("_stored")),
+            _one_each(layers.projects, "name", names).select("name_key", F.col("dependents_count").alias("_stored")),
             "name_key", "left",
         )
         stored = F.col("_stored")
@@ -142,7 +125,7 @@ def health_metrics(layers: Layers, names: DataFrame) -> DataFrame:
     out = asked(names)
     f_found = h_found = F.lit(False)
     if layers.fresh is not None:
-        f = _fresh(layers).select(
+        f = _one_each(layers.fresh, "package_name", names).select(
             "name_key", *[F.col(c).alias(f"f_{c}") for c in (
                 "package_name", "stars", "forks", "dependent_count", "open_issues",
                 "repo", "description", "growth_pct",
@@ -151,7 +134,7 @@ def health_metrics(layers: Layers, names: DataFrame) -> DataFrame:
         out = out.join(f, "name_key", "left")
         f_found = F.col("f_package_name").isNotNull()
     if layers.projects is not None:
-        h = _projects(layers).select(
+        h = _one_each(layers.projects, "name", names).select(
             "name_key", *[F.col(c).alias(f"h_{c}") for c in (
                 "name", "stars", "forks", "dependents_count", "repository_url",
                 "description", "licenses", "latest_release_ts",
@@ -161,7 +144,8 @@ def health_metrics(layers: Layers, names: DataFrame) -> DataFrame:
         h_found = F.col("h_name").isNotNull()
     versions = F.lit(0).cast("long")
     if layers.versions is not None:
-        out = out.join(version_counts(layers.versions), "name_key", "left")
+        counts = restrict(version_counts(layers.versions), names)
+        out = out.join(counts, "name_key", "left")
         versions = F.coalesce("version_count", F.lit(0))
 
     have = set(out.columns)
@@ -176,6 +160,7 @@ def health_metrics(layers: Layers, names: DataFrame) -> DataFrame:
         "name",
         "name_key",
         (f_found | h_found).alias("found_in_db"),
+        F.when(f_found, "fresh").when(h_found, "historical").alias("layer"),
         F.coalesce(layered("f_package_name", "h_name", "string"), "name").alias("package_name"),
         layered("f_stars", "h_stars", "long").alias("stars"),
         layered("f_forks", "h_forks", "long").alias("forks"),

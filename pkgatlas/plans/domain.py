@@ -50,9 +50,8 @@ class Domain:
         rows = self.table("lineitem").filter(F.col("l_shipdate") >= ntz(low))
         if high:
             rows = rows.filter(F.col("l_shipdate") < ntz(high))
-        return rows.groupBy(pkg(F.col("l_partkey")).alias("package_name")).agg(
-            F.count("*").alias("dependent_count")
-        )
+        counts = rows.groupBy("l_partkey").agg(F.count("*").alias("dependent_count"))
+        return counts.select(pkg(F.col("l_partkey")).alias("package_name"), "dependent_count")
 
     def dependents(self) -> DataFrame:
         return self._dependents("2000-01-01", None)

@@ -157,7 +157,7 @@ SELECT n.name, n.name_key, found_in_db, coalesce(package_name, n.name) AS packag
        dependents_count, open_issues, repository_url, description, growth_pct, license, last_release_ts, total_versions
 FROM d_names n JOIN d_metrics_for_all m USING (name_key)""")
 def health_metrics(d: Domain) -> DataFrame:
-    return lookup.health_metrics(d.layers(), d.names())
+    return lookup.health_metrics(d.layers(), d.names()).drop("layer")
 
 
 _COUNT_SQL = """
