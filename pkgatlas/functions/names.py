@@ -34,14 +34,19 @@ def parse_name_list(text: Column, max_names: int | None = None) -> Column:
 def explode_name_list(
     df: DataFrame, text_col: str, max_names: int | None = None, min_names: int = 1
 ) -> DataFrame:
-    """One row per listed name with its position; lists shorter than ``min_names`` are dropped."""
+    """One row per listed name with its position and the length of its list.
+
+    Lists shorter than ``min_names`` are dropped.
+    """
     names = parse_name_list(F.col(text_col), max_names)
     keep = [c for c in df.columns if c != text_col]
-    return (
-        df.select(*keep, names.alias("_names"))
-        .filter(F.size("_names") >= min_names)
-        .select(*keep, F.posexplode("_names").alias("pos", "name"))
+    listed = df.select(*keep, names.alias("_names"))
+    # the outer form keeps the optimizer from parsing every list again in extra filters
+    rows = listed.select(
+        *keep, F.size("_names").cast("long").alias("listed"),
+        F.posexplode_outer("_names").alias("pos", "name"),
     )
+    return rows.filter(F.col("name").isNotNull() & (F.col("listed") >= min_names))
 
 
 def repo_parts(url: Column) -> Column:

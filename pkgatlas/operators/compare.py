@@ -1,7 +1,8 @@
 """Side-by-side comparison and presentation tables.
 
-Many comparisons run at once: ``requests(request_id, pos, name)``. Order inside a request
-is a sort key, never a window over the request, so a request of any size is split freely.
+Many comparisons run at once: ``requests(request_id, pos, name)``, with the list length as
+``listed`` when it is known. Order inside a request is a sort key, never a window over the
+request, so a request of any size is split freely.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pkgatlas.functions import display
 from pkgatlas.functions.names import registry_link, repository_link
 from pkgatlas.operators.health import package_stats
 from pkgatlas.operators.lookup import Layers
+from pkgatlas.session import materialize
 
 # metric -> (column, higher is better)
 METRICS = {
@@ -37,10 +39,12 @@ def compare(
     Statistics are computed once per distinct name, then joined to the requests.
     """
     stats = package_stats(layers, requests, as_of, **options)
-    sizes = requests.groupBy(per).agg(F.count("*").alias("comparison_count"))
-    return (
-        requests.select(per, "pos", "name").join(stats, "name").join(sizes, per)
-    )
+    if "listed" in requests.columns:
+        asked = requests.select(per, "pos", "name", F.col("listed").alias("comparison_count"))
+    else:
+        sizes = requests.groupBy(per).agg(F.count("*").alias("comparison_count"))
+        asked = requests.select(per, "pos", "name").join(sizes, per)
+    return asked.join(stats, "name")
 
 
 def sorted_comparison(rows: DataFrame, per: str = "request_id") -> DataFrame:
@@ -129,6 +133,8 @@ def comparison_report(
         rows = with_latest_downloads(rows, latest)
     else:
         rows = rows.withColumn("latest_downloads", F.lit(None).cast("long"))
+    # stored once: the leaders are found from all rows and joined back to them
+    rows = materialize(rows, "comparison")
     leads = (
         best_per_metric(rows, per, answer_order())
         .groupBy(per, "pos")

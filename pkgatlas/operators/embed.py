@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pkgatlas.functions.text import embedding_text
+from pkgatlas.functions.vectors import unit
 from pkgatlas.operators.build import one_per_name
+from pkgatlas.session import materialize
 
 Provider = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 
@@ -30,52 +32,51 @@ def package_texts(
     )
 
 
-def _bucket(token: Column, dim: int) -> Column:
+def _slot(token: Column, dim: int) -> Column:
     """Feature slot of a token, from the first 32 bits of its MD5."""
-    return F.pmod(
-        F.conv(F.substring(F.md5(token.cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(dim)
-    ).cast("int")
+    bits = F.conv(F.substring(F.md5(token.cast("binary")), 1, 8), 16, 10).cast("long")
+    return F.pmod(bits, F.lit(dim)).cast("int")
 
 
 def hashed_tfidf(
     texts: DataFrame, id_col: str, text_col: str, dim: int = 256, use_idf: bool = True
 ) -> DataFrame:
-    """Unit-length hashed TF-IDF vectors (plain term counts with ``use_idf=False``).
+    """(id, embedding): unit-length hashed TF-IDF vectors; plain counts without ``use_idf``.
 
-    Tokens are counted per (row, slot) map-side, so at most ``dim`` rows per text are
-    shuffled. Slot weights are ``dim`` rows. Rows without a token get a zero vector.
+    Tokens are counted per (row, slot) map-side, so at most ``dim`` small rows per text are
+    shuffled and the text itself never is. The counts are stored once, because the slot
+    weights need a first pass over them. Rows without a token get a zero vector.
     """
-    tokens = F.filter(F.split(F.lower(text_col), r"\s+"), lambda t: t != "")
+    token = F.col("_t")
     counts = (
-        texts.select(id_col, F.explode(tokens).alias("_t"))
-        .groupBy(id_col, _bucket(F.col("_t"), dim).alias("slot"))
+        texts.select(id_col, F.explode_outer(F.split(F.lower(text_col), r"\s+")).alias("_t"))
+        .groupBy(id_col, F.when(token != "", _slot(token, dim)).alias("slot"))
         .agg(F.count("*").alias("tf"))
     )
+    bags = counts.groupBy(id_col).agg(
+        F.map_from_entries(
+            F.collect_list(F.when(F.col("slot").isNotNull(), F.struct("slot", "tf")))
+        ).alias("bag")
+    )
     if use_idf:
-        # slots are few and fixed: `dim` rows at most, whatever the texts
-        weights = counts.groupBy("slot").agg(F.count("*").alias("df"))
-        total = texts.agg(F.count("*").alias("rows"))
-        idf = (
-            weights.withColumn("_one", F.lit(1))
-            .join(total.withColumn("_one", F.lit(1)), "_one")
-            .select("slot", (F.ln((F.col("rows") + 1) / (F.col("df") + 1)) + 1.0).alias("idf"))
-        )
-        weighted = counts.join(idf, "slot").select(
-            id_col, "slot", (F.col("tf") * F.col("idf")).alias("w")
+        bags = materialize(bags, "token-counts")
+        spread = bags.select(F.explode(F.map_keys("bag")).alias("slot")).groupBy("slot").agg(
+            F.count("*").alias("df")
         )
-    else:
-        weighted = counts.select(id_col, "slot", F.col("tf").cast("double").alias("w"))
-    vectors = weighted.groupBy(id_col).agg(
-        F.map_from_entries(F.collect_list(F.struct("slot", "w"))).alias("m"),
-        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"),
-    )
-    dense = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda i: F.coalesce(F.try_divide(F.try_element_at("m", i), F.col("len")), F.lit(0.0)).cast("float"),
-    )
-    zeros = F.array_repeat(F.lit(0.0).cast("float"), dim)
-    return texts.join(vectors.select(id_col, dense.alias("embedding")), id_col, "left").withColumn(
-        "embedding", F.coalesce("embedding", zeros)
+        # `dim` entries at most, whatever the texts
+        df = spread.agg(F.map_from_entries(F.collect_list(F.struct("slot", "df")))).scalar()
+        total = bags.agg(F.count("*")).scalar()
+        bags = bags.select("*", df.alias("_df"), total.alias("_rows"))
+    slots = F.sequence(F.lit(0), F.lit(dim - 1))
+
+    def value(i: Column) -> Column:
+        if not use_idf:
+            return F.coalesce(F.try_element_at("bag", i).cast("double"), F.lit(0.0))
+        idf = F.ln((F.col("_rows") + 1) / (F.try_element_at("_df", i) + 1)) + 1.0
+        return F.coalesce(F.try_element_at("bag", i) * idf, F.lit(0.0))
+
+    return bags.select(id_col, F.transform(slots, value).alias("_v")).select(
+        id_col, F.transform(unit(F.col("_v")), lambda x: x.cast("float")).alias("embedding")
     )
 
 
@@ -87,7 +88,7 @@ def embed_texts(
     batch_size: int = 50,
     dim: int = 256,
 ) -> DataFrame:
-    """Add ``embedding`` (and ``embed_error``) to ``df``.
+    """(id, embedding, embed_error) for every row.
 
     Without a provider the native vectors are used. A provider gets lists of at most
     ``batch_size`` texts; when it fails, that batch keeps null vectors and the error text,
@@ -99,7 +100,7 @@ def embed_texts(
         )
     schema = T.StructType(
         [
-            *df.schema.fields,
+            df.schema[id_col],
             T.StructField("embedding", T.ArrayType(T.FloatType())),
             T.StructField("embed_error", T.StringType()),
         ]
@@ -108,7 +109,7 @@ def embed_texts(
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for at in range(0, len(frame), batch_size):
-                part = frame.iloc[at : at + batch_size].copy()
+                part = frame.iloc[at : at + batch_size]
                 try:
                     vectors = [list(map(float, v)) for v in provider(part[text_col].tolist())]
                     if len(vectors) != len(part):
@@ -116,8 +117,12 @@ def embed_texts(
                     error = None
                 except Exception as exc:  # a failed call must not lose the other batches
                     vectors, error = [None] * len(part), f"{type(exc).__name__}: {exc}"
-                part["embedding"] = pd.Series(vectors, index=part.index, dtype=object)
-                part["embed_error"] = pd.Series([error] * len(part), index=part.index, dtype=object)
-                yield part
-
-    return df.mapInPandas(run, schema)
+                yield pd.DataFrame(
+                    {
+                        id_col: part[id_col],
+                        "embedding": pd.Series(vectors, index=part.index, dtype=object),
+                        "embed_error": pd.Series([error] * len(part), index=part.index, dtype=object),
+                    }
+                )
+
+    return df.select(id_col, text_col).mapInPandas(run, schema)

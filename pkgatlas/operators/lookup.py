@@ -58,9 +58,7 @@ def first_non_empty(
     """``a``, and ``b`` where ``a`` is empty: for each ``per`` key, or as a whole."""
     if per:
         return a.unionByName(b.join(a.select(*per).distinct(), per, "left_anti"))
-    one = a.limit(1).select(F.lit(1).alias("_any"))
-    rest = b.withColumn("_any", F.lit(1)).join(one, "_any", "left_anti").drop("_any")
-    return a.unionByName(rest)
+    return a.unionByName(b.filter(~a.exists()))
 
 
 def _one_each(table: DataFrame | None, name_col: str, names: DataFrame) -> DataFrame | None:
@@ -201,22 +199,14 @@ def reverse_dependencies(edges: DataFrame, names: DataFrame, limit: int = 50) ->
 
 def dataset_stats(layers: Layers) -> DataFrame:
     """One row: packages and dependency edges; an absent table counts 0."""
-    parts = []
-    for table, column in ((layers.fresh, "total_packages"), (layers.deps, "total_dependencies")):
-        if table is not None:
-            other = "total_dependencies" if column == "total_packages" else "total_packages"
-            parts.append(
-                table.agg(F.count("*").alias(column)).withColumn(other, F.lit(0).cast("long"))
-            )
-    if not parts:
-        raise ValueError("no table to count")
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    return rows.agg(
-        F.sum("total_packages").alias("total_packages"),
-        F.sum("total_dependencies").alias("total_dependencies"),
-    )
+    counts = {
+        name: F.lit(0).cast("long") if table is None else table.agg(F.count("*")).scalar()
+        for name, table in (
+            ("total_packages", layers.fresh), ("total_dependencies", layers.deps)
+        )
+    }
+    spark = next(t for t in (layers.fresh, layers.deps) if t is not None).sparkSession
+    return spark.range(1).select(*[c.alias(name) for name, c in counts.items()])
 
 
 def table_profile(tables: dict[str, DataFrame]) -> DataFrame:

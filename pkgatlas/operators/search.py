@@ -206,19 +206,21 @@ def hybrid_search(
             *columns, F.lit(place).alias("source_rank"), F.lit(label).alias("source")
         )
 
-    asking = (
-        query_intent(queries.select("query_id", "query"))
-        .filter("growth_intent_search").select("query_id", F.lit(1).alias("_g"))
+    asking = query_intent(queries.select("query_id", "query")).filter("growth_intent_search")
+    # `limit` rows at most: one small array, read by every growth question
+    top = top_growth(packages, limit, **(growth or {})).select(
+        F.struct(
+            (-F.col("growth_score")).alias("order"), "name_key", "name", "dependents_count",
+            "stars", "growth_pct",
+        ).alias("r")
+    )
+    rising = top.agg(F.array_sort(F.collect_list("r"))).scalar()
+    by_growth = asking.select("query_id", rising.alias("list")).select(
+        "query_id", F.posexplode("list").alias("at", "r")
+    ).select(
+        "query_id", "r.name", "r.name_key", "r.dependents_count", "r.stars", "r.growth_pct",
+        (F.col("at") + 1).alias("rank"),
     )
-    top = top_growth(packages, limit, **(growth or {}))
-    rising = top.withColumn(
-        "rank",
-        # at most `limit` rows, already cut
-        F.row_number().over(
-            Window.partitionBy(F.lit(1)).orderBy(F.col("growth_score").desc(), "name_key")
-        ),
-    ).withColumn("_g", F.lit(1))
-    by_growth = asking.join(rising, "_g")
     by_vector = semantic_search(corpus, queries, limit, **(semantic or {}))
     by_word = keyword_search(
         packages, queries.select("query_id", F.col("query").alias("keyword")), limit, text_col

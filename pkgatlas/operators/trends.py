@@ -33,8 +33,8 @@ def pivot_downloads(monthly: DataFrame, names: Sequence[str]) -> DataFrame:
 
 def latest_downloads(monthly: DataFrame) -> DataFrame:
     """Downloads in the last month of all packages; packages absent from it are left out."""
-    last = monthly.agg(F.max("month").alias("month"))
-    return monthly.join(last, "month").filter(F.col("downloads") > 0)
+    last = monthly.agg(F.max("month")).scalar()
+    return monthly.filter((F.col("month") == last) & (F.col("downloads") > 0))
 
 
 def normalized_trend(monthly: DataFrame) -> DataFrame:

@@ -572,7 +572,7 @@ def yoy_growth(d: Domain) -> DataFrame:
 
 @query("SELECT request_id, pos, name FROM d_requests")
 def parse_name_list_query(d: Domain) -> DataFrame:
-    return d.requests()
+    return d.requests().drop("listed")
 
 
 @query("""

@@ -45,7 +45,8 @@ def start_vectors(
             old = spark.read.schema(SCHEMA).parquet(target).filter(F.col("batch_id") < batch_id)
             known = dedupe_best(old, ["id"], [F.col("batch_id").desc()])
             rows = rows.join(known.select("id", "text_hash"), ["id", "text_hash"], "left_anti")
-        embed(rows).select("id", "name", "text_hash", "embedding").write.mode("overwrite").parquet(
+        stored = rows.select("id", "name", "text_hash").join(embed(rows), "id")
+        stored.select("id", "name", "text_hash", "embedding").write.mode("overwrite").parquet(
             f"{target}/batch_id={batch_id}"
         )
 
