@@ -4,8 +4,8 @@ A pair of questions must share at least four significant words. Any such pair al
 its two rarest common words, and both of these lie among the first ``n - 2`` words of each
 question when words are put in one global order, rarest first. So the join key is a pair
 of words from that prefix: frequent words hardly ever form a key, nothing is lost, and
-each matching pair meets exactly once. Equal word sets are folded before the join, so a
-mass of copies costs one row.
+each matching pair meets exactly once. Word sets that are equal, or differ only in words
+the other side never uses, are folded before the join, so a mass of copies costs one row.
 """
 
 from __future__ import annotations
@@ -34,21 +34,25 @@ def _keyed(df: DataFrame, stop_words: Sequence[str], max_chars: int) -> DataFram
     )
 
 
-def _prefix_pairs(
-    sets: DataFrame, vocabulary: DataFrame, min_shared: int, carry: Sequence[str] = ()
-) -> DataFrame:
-    """One row per key pair of each word set; ``ranked`` holds its words, rarest first.
+def _ranked(sets: DataFrame, vocabulary: DataFrame, min_shared: int) -> DataFrame:
+    """Word sets cut to the shared vocabulary and put in rarest-first order as ``ranked``.
 
-    Words outside the vocabulary cannot be shared and fall away here.
+    A word only one side uses can never be shared, so sets that differ in such words
+    become equal here.
     """
-    words = sets.select("mode", "words", *carry, F.explode("words").alias("word"))
-    ranked = (
+    keep = sets.columns
+    words = sets.select(*keep, F.explode("words").alias("word"))
+    return (
         words.join(vocabulary, ["mode", "word"])
-        .groupBy("mode", "words", *carry)
+        .groupBy(*keep)
         .agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("r"))
         .filter(F.size("r") >= min_shared)
-        .select("mode", "words", *carry, F.col("r.word").alias("ranked"))
+        .select(*keep, F.col("r.word").alias("ranked"))
     )
+
+
+def _prefix_pairs(ranked: DataFrame, min_shared: int) -> DataFrame:
+    """One row per pair of words in the prefix of each ranked set."""
     prefix = F.slice("ranked", F.lit(1), F.size("ranked") - (min_shared - 2))
     pairs = F.flatten(
         F.transform(
@@ -58,7 +62,7 @@ def _prefix_pairs(
             ),
         )
     )
-    return ranked.select("mode", "words", *carry, "ranked", F.explode(pairs).alias("pair"))
+    return ranked.select("*", F.explode(pairs).alias("pair"))
 
 
 def match_queries(
@@ -96,9 +100,17 @@ def match_queries(
         known_sets.select("mode", F.explode("words").alias("word"))
         .groupBy("mode", "word")
         .agg(F.count("*").alias("n"))
+        .join(
+            new_sets.select("mode", F.explode("words").alias("word")).distinct(),
+            ["mode", "word"], "left_semi",
+        )
+    )
+    new_ranked = _ranked(new_sets, vocabulary, min_shared)
+    known_ranked = (
+        _ranked(known_sets, vocabulary, min_shared).groupBy("mode", "ranked").agg(F.min("k").alias("k"))
     )
-    left = _prefix_pairs(new_sets, vocabulary, min_shared).alias("a")
-    right = _prefix_pairs(known_sets, vocabulary, min_shared, ["k"]).alias("b")
+    left = _prefix_pairs(new_ranked.select("mode", "ranked").distinct(), min_shared).alias("a")
+    right = _prefix_pairs(known_ranked, min_shared).alias("b")
     shared = F.array_intersect("a.ranked", "b.ranked")
     first_pair = F.array_join(F.slice(shared, 1, 2), " ")
     hits = left.join(
@@ -109,7 +121,7 @@ def match_queries(
         & (first_pair == F.col("a.pair")),
     )
     best = (
-        hits.groupBy(F.col("a.mode").alias("mode"), F.col("a.words").alias("words"))
+        hits.groupBy(F.col("a.mode").alias("mode"), F.col("a.ranked").alias("ranked"))
         .agg(
             F.min(
                 F.struct(
@@ -119,6 +131,7 @@ def match_queries(
                 )
             ).alias("m")
         )
+        .join(new_ranked, ["mode", "ranked"])
         .select(
             "mode", "words", F.col("m.known_id").alias("fuzzy_id"),
             (-F.col("m.neg")).alias("shared"),

@@ -93,7 +93,9 @@ def _gram_hits(packages: DataFrame, keywords: DataFrame, text_col: str) -> DataF
         "_size", F.least(F.length("_kw"), F.lit(GRAM))
     )
     out = None
-    for size in range(1, GRAM + 1):
+    # at most GRAM rows: the lengths that occur
+    sizes = sorted(r[0] for r in kw.select("_size").distinct().collect())
+    for size in sizes:
         sized = kw.filter(F.col("_size") == size)
         parts = sized.select("query_id", "_kw", F.explode(_grams(F.col("_kw"), size)).alias("gram"))
         in_texts = texts.select("*", F.explode(_grams(F.col("_text"), size)).alias("gram"))
@@ -105,7 +107,7 @@ def _gram_hits(packages: DataFrame, keywords: DataFrame, text_col: str) -> DataF
         anchors = (
             parts.join(spread, "gram")
             .groupBy("query_id", "_kw")
-            .agg(F.min(F.struct("texts", "gram")).alias("a"), F.count("*").alias("known"))
+            .agg(F.min(F.struct("texts", "gram")).alias("a"))
             .select("query_id", "_kw", F.col("a.gram").alias("gram"))
         )
         hits = in_texts.join(anchors, "gram").filter(F.contains("_text", "_kw"))

@@ -207,7 +207,8 @@ def assign_ids(new: DataFrame, start: int | None = None, name_col: str = "name")
     if start is None:
         return new.withColumn("id", F.xxhash64(key))
     # the generated value holds the partition number above bit 33 and the row below it
-    placed = new.orderBy(key, name_col).withColumn("_m", F.monotonically_increasing_id())
+    # the hash spreads rows of one name over tasks
+    placed = new.orderBy(key, name_col, F.xxhash64(*new.columns)).withColumn("_m", F.monotonically_increasing_id())
     stored = materialize(
         placed.select(
             *new.columns,
