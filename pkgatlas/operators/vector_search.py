@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -144,6 +144,10 @@ def vector_topk(
     return partial.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _block_numbers(n: int) -> Column:
+    return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+
+
 def _blocked_topk(corpus, queries, columns, schema, k, threshold, id_col, vec_col,
                   query_block: int, corpus_block: int) -> DataFrame:
     """Every corpus block meets every query block; each pair of blocks is one bounded group."""
@@ -152,12 +156,12 @@ def _blocked_topk(corpus, queries, columns, schema, k, threshold, id_col, vec_co
     left = corpus.select(
         *columns, vec_col,
         F.pmod(F.xxhash64(id_col), F.lit(c_blocks)).alias("_cb"),
-        F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).cast("long").alias("_qb"),
+        F.explode(_block_numbers(q_blocks)).alias("_qb"),
     )
     right = queries.select(
         "query_id", "_q",
         F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).alias("_qb"),
-        F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))).cast("long").alias("_cb"),
+        F.explode(_block_numbers(c_blocks)).alias("_cb"),
     )
 
     def block(left: pa.Table, right: pa.Table) -> pa.Table:

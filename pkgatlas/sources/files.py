@@ -16,8 +16,8 @@ def read_csv(
 ) -> DataFrame:
     """CSV with a header; rows that do not fit the schema are skipped.
 
-    The filter on the parsed record keeps a bad row out even when the query reads only
-    some columns (the parser otherwise skips the columns it need not read).
+    The parser only checks the columns a query reads, so the filter reads all of them:
+    the same rows are kept whatever is selected.
     """
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
@@ -31,7 +31,8 @@ def read_csv(
         .options(**options)
         .csv(path)
     )
-    return rows.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    reads_all = F.hash(*schema.names) >= -(2**31)  # always true
+    return rows.filter(F.col("_corrupt_record").isNull() & reads_all).drop("_corrupt_record")
 
 
 def optional(df: DataFrame | None, columns: Sequence[str], like: DataFrame) -> DataFrame:
