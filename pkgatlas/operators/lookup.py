@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -37,6 +38,12 @@ class Layers:
         )
 
 
+def name_list(spark: SparkSession, names: Sequence[str]) -> DataFrame:
+    """A frame of a few names whose size Spark knows, so that joins with it are broadcast."""
+    values = F.array(*[F.lit(n) for n in names])
+    return spark.range(1).select(F.explode(values).alias("name"))
+
+
 def asked(names: DataFrame) -> DataFrame:
     """Distinct requested spellings with their key."""
     return names.select("name").distinct().withColumn("name_key", name_key(F.col("name")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,16 +29,17 @@ def local_session(cores: int | str = 8, **conf: str) -> SparkSession:
     return spark
 
 
+@cache
+def _test_dir() -> str:
+    return tempfile.mkdtemp(prefix="pkgatlas-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees, as the cluster names it in ``spark.checkpoint.dir``.
 
     A temporary folder is used only where the setting is absent (tests).
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="pkgatlas-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    return configured
+    return spark.conf.get("spark.checkpoint.dir", None) or _test_dir()
 
 
 def new_work_path(spark: SparkSession, label: str) -> str:

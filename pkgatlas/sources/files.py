@@ -56,10 +56,19 @@ def write_edges(edges: DataFrame, path: str, key: str = "dependency_name") -> No
     with_name_key(edges, key).sortWithinPartitions("name_key").write.parquet(path)
 
 
-def write_bucketed(df: DataFrame, table: str, name_col: str, buckets: int = 64) -> None:
-    """A table bucketed by name key, so joins on it need no shuffle of this side."""
-    keyed = df.withColumn("name_key", name_key(F.col(name_col)))
-    keyed.write.bucketBy(buckets, "name_key").sortBy("name_key").saveAsTable(table)
+def write_bucketed(
+    df: DataFrame, table: str, name_col: str, buckets: int = 64, path: str | None = None
+) -> None:
+    """A table bucketed by name key, so joins on it need no shuffle of this side.
+
+    For tables with one row per name; in an edge table a hot name would fill one bucket.
+    """
+    writer = (
+        df.withColumn("name_key", name_key(F.col(name_col)))
+        .write.bucketBy(buckets, "name_key")
+        .sortBy("name_key")
+    )
+    (writer.option("path", path) if path else writer).saveAsTable(table)
 
 
 def not_yet(df: DataFrame, done: DataFrame, key: str = "name", fold: bool = False) -> DataFrame:

@@ -42,11 +42,12 @@ def test_short_name_list_filters_below_the_count(spark, sf_dir):
     from pkgatlas.operators.lookup import Layers
     from pkgatlas.plans.domain import Domain
 
-    names = spark.createDataFrame([("pkg-1",)], "name string")
+    names = lookup.name_list(spark, ["pkg-1", "PKG-2"])
     d = Domain(spark, sf_dir)
     text = plan(lookup.dependents_count(Layers(deps=d.deps()), names))
     semi = text.index("LeftSemi")
     assert "partial_count" in text[:semi]  # the filter sits under the partial count
+    assert "BroadcastHashJoin" in text[semi - 80 : semi]
 
 
 def test_no_collect_of_data_in_library_code():

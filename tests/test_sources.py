@@ -97,3 +97,23 @@ def test_edges_are_pruned_by_key(spark, tmp_path):
     assert {r["name_key"] for r in back.collect()} == {"a", "b"}
     plan = back.filter(F.col("name_key") == "a")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(name_key,a)" in plan
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark, tmp_path):
+    left = spark.createDataFrame([(f"N{i}", i) for i in range(50)], "name string, v int")
+    files.write_bucketed(left, "bucketed_a", "name", 4, str(tmp_path / "a"))
+    files.write_bucketed(left, "bucketed_b", "name", 4, str(tmp_path / "b"))
+    a, b = spark.table("bucketed_a"), spark.table("bucketed_b").drop("name", "v")
+    joined = a.hint("merge").join(b, "name_key")
+    assert joined.count() == 50
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    spark.sql("DROP TABLE bucketed_a")
+    spark.sql("DROP TABLE bucketed_b")
+
+
+def test_work_folder(spark, monkeypatch):
+    from pkgatlas import session
+
+    assert session.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir", session._test_dir())
+    a, b = session.new_work_path(spark, "x"), session.new_work_path(spark, "x")
+    assert a != b and a.startswith(session.shared_dir(spark).rstrip("/"))
