@@ -914,7 +914,7 @@ counts AS (SELECT name, ('0x' || substr(md5(t), 1, 8))::BIGINT % {_DIM} AS slot,
 def _dense_sql(weighted: str) -> str:
     return f"""
 SELECT m.name, coalesce(v.top_weight, 0.0::DOUBLE) AS top_weight, coalesce(v.filled, 0) AS filled FROM d_metadata m LEFT JOIN (
-  SELECT name, round(max(w) / sqrt(sum(w * w)), 4) AS top_weight, count(*) AS filled FROM ({weighted}) GROUP BY name) v USING (name)"""
+  SELECT name, round((max(w) / sqrt(sum(w * w)))::FLOAT::DOUBLE, 4) AS top_weight, count(*) AS filled FROM ({weighted}) GROUP BY name) v USING (name)"""
 
 
 def _dense_summary(df: DataFrame) -> DataFrame:
@@ -967,7 +967,7 @@ def stream_downloads(d: Domain) -> DataFrame:
 WITH toks AS (SELECT doc_id AS id, unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda t: t <> '')) AS t FROM documents),
 counts AS (SELECT id, ('0x' || substr(md5(t), 1, 8))::BIGINT % 64 AS slot, count(*) AS tf FROM toks GROUP BY ALL)
 SELECT doc_id AS id, coalesce(v.top_weight, 0.0::DOUBLE) AS top_weight FROM documents LEFT JOIN (
-  SELECT id, round(max(tf) / sqrt(sum(tf * tf)), 4) AS top_weight FROM counts GROUP BY id) v ON v.id = doc_id""")
+  SELECT id, round((max(tf) / sqrt(sum(tf * tf)))::FLOAT::DOUBLE, 4) AS top_weight FROM counts GROUP BY id) v ON v.id = doc_id""")
 def stream_embed(d: Domain) -> DataFrame:
     rows = _source(d, "documents").select(
         F.col("doc_id").alias("id"), pkg(F.col("doc_id")).alias("name"),
