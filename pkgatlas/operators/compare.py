@@ -141,7 +141,13 @@ def comparison_report(
         .agg(F.array_join(F.array_sort(F.collect_list("metric")), ",").alias("best_in"))
     )
     days, growth = F.col("days_since_last_release"), F.col("growth_pct")
-    return rows.join(leads, [per, "pos"], "left").select(
+    # one formatter over an array: spelled out four times, the generated method would be
+    # too large for the JVM to compile
+    counts = F.array("stars", "dependents_count", "forks", "latest_downloads")
+    texts = rows.join(leads, [per, "pos"], "left").withColumn(
+        "_short", F.transform(counts, lambda v: display.abbreviate(v))
+    )
+    return texts.select(
         per,
         "pos",
         "name",
@@ -149,12 +155,10 @@ def comparison_report(
         "health_score",
         "score_label",
         display.initials(F.col("name")).alias("initials"),
-        display.abbreviate(F.col("stars")).alias("stars_text"),
-        display.abbreviate(F.col("dependents_count")).alias("dependents_text"),
-        display.abbreviate(F.col("forks")).alias("forks_text"),
-        F.when(F.col("latest_downloads") > 0, display.abbreviate(F.col("latest_downloads")))
-        .otherwise("—")
-        .alias("downloads_text"),
+        F.col("_short")[0].alias("stars_text"),
+        F.col("_short")[1].alias("dependents_text"),
+        F.col("_short")[2].alias("forks_text"),
+        F.when(F.col("latest_downloads") > 0, F.col("_short")[3]).otherwise("—").alias("downloads_text"),
         display.abbreviate(F.col("latest_downloads"), thousand_digits=0).alias("downloads_axis"),
         F.concat(display.one_decimal(growth), F.lit("%")).alias("growth_text"),
         display.trend_direction(growth).alias("trend_direction"),
