@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +21,7 @@ def local_session(cores: int | str = 8, **conf: str) -> SparkSession:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
+        .config("spark.sql.warehouse.dir", os.path.join(tempfile.gettempdir(), "pkgatlas-warehouse"))
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
@@ -29,17 +30,19 @@ def local_session(cores: int | str = 8, **conf: str) -> SparkSession:
     return spark
 
 
-@cache
-def _test_dir() -> str:
-    return tempfile.mkdtemp(prefix="pkgatlas-")
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees, as the cluster names it in ``spark.checkpoint.dir``.
+    """The folder every executor sees: ``spark.checkpoint.dir``, else the warehouse.
 
-    A temporary folder is used only where the setting is absent (tests).
+    A warehouse on one machine's disk is refused where the executors are elsewhere.
     """
-    return spark.conf.get("spark.checkpoint.dir", None) or _test_dir()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    on_disk = warehouse.startswith(("file:", "/")) or ":" not in warehouse
+    if on_disk and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return warehouse
 
 
 def new_work_path(spark: SparkSession, label: str) -> str:
@@ -56,3 +59,10 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = new_work_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a work folder that no frame reads any more."""
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
