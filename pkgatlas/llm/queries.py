@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pkgatlas.llm import line_dedup, oracles
+from pkgatlas.llm import line_dedup, mixing, oracles, quality, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,8 +23,30 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    # rows alike in all three columns take the same number of copies each
+    return mixing.mix(docs).select(
+        F.col("id").alias("doc_id"), "size", "source_size", "target",
+        (F.col("size") * F.col("copies")).alias("taken"), "source", "copies",
+        F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("row"),
+    ).drop("row")
+
+
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return quality.score_documents(docs, _table(spark, sf_dir, "labels")).drop("mark")
+
+
 LLM_QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_source_mixing": op2_source_mixing,
+    "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op9_quality_rules": op9_quality_rules,
 }
 
 LLM_ORACLES = {
