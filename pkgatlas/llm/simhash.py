@@ -72,11 +72,12 @@ def neighbour_offsets(parts: int, radius: int) -> list[tuple[int, ...]]:
 
 
 def _population(fp: Column, parts: int) -> list[Column]:
+    if parts == 1:
+        return [F.bit_count(fp).cast("int")]
     width = 64 // parts
     mask = F.lit((1 << width) - 1)
     return [
-        F.bit_count(fp if parts == 1 else F.shiftrightunsigned(fp, width * p).bitwiseAND(mask)).cast("int")
-        for p in range(parts)
+        F.bit_count(F.shiftrightunsigned(fp, width * p).bitwiseAND(mask)).cast("int") for p in range(parts)
     ]
 
 
