@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pkgatlas.llm import line_dedup, mixing, oracles, quality, simhash
+from pkgatlas.llm import line_dedup, mixing, oracles, packing, quality, simhash, token_files
+from pkgatlas.llm.tokens import byte_level_encoder, word_encoder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +35,16 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).drop("row")
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    return packing.pack(docs, word_encoder, public_tokenizers.path("word_bpe_49k.json"), 2)
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(_table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -42,11 +54,24 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(docs, _table(spark, sf_dir, "labels")).drop("mark")
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_files.new_work_path(spark, "token-files")
+    token_files.write_token_files(
+        _table(spark, sf_dir, "documents").select("doc_id", "text"), path, byte_level_encoder,
+        public_tokenizers.path("byte_bpe_50k.json"), 0,
+    )
+    return token_files.read_token_files(spark, path).select(
+        F.col("doc").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
+    )
+
+
 LLM_QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_source_mixing": op2_source_mixing,
+    "op3_packing": op3_packing,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op9_quality_rules": op9_quality_rules,
+    "op10_token_files": op10_token_files,
 }
 
 LLM_ORACLES = {
