@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pkgatlas.llm import licenses, line_dedup, mixing, oracles, packing, quality, simhash, token_files
+from pkgatlas.llm import licenses, line_dedup, mixing, oracles, packing, quality, secrets, simhash, token_files
 from pkgatlas.llm.tokens import byte_level_encoder, word_encoder
 
 
@@ -49,6 +49,11 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.secret_digest(secrets.scan_secrets(docs))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -74,6 +79,7 @@ LLM_QUERIES = {
     "op2_source_mixing": op2_source_mixing,
     "op3_packing": op3_packing,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op7_secret_scan": op7_secret_scan,
     "op8_license_scan": op8_license_scan,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_files": op10_token_files,
