@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pkgatlas.llm import licenses, line_dedup, mixing, oracles, packing, quality, secrets, simhash, token_files
+from pkgatlas.llm import licenses, line_dedup, mixing, oracles, packing, quality, secrets, sharding, simhash, token_files
+from pkgatlas.llm.common import new_work_path
 from pkgatlas.llm.tokens import byte_level_encoder, word_encoder
 
 
@@ -49,6 +50,10 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return secrets.secret_digest(secrets.scan_secrets(docs))
@@ -64,7 +69,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = token_files.new_work_path(spark, "token-files")
+    path = new_work_path(spark, "token-files")
     token_files.write_token_files(
         _table(spark, sf_dir, "documents").select("doc_id", "text"), path, byte_level_encoder,
         public_tokenizers.path("byte_bpe_50k.json"), 0,
@@ -79,6 +84,7 @@ LLM_QUERIES = {
     "op2_source_mixing": op2_source_mixing,
     "op3_packing": op3_packing,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_sharding": op5_sharding,
     "op7_secret_scan": op7_secret_scan,
     "op8_license_scan": op8_license_scan,
     "op9_quality_rules": op9_quality_rules,

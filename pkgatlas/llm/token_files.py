@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pkgatlas.llm import rans
-from pkgatlas.llm.common import discard, new_work_path, store, text_or_empty
+from pkgatlas.llm.common import store, text_or_empty
 from pkgatlas.llm.tokens import PieceEncoder
 
 SEGMENT_IDS = 1 << 22
@@ -119,6 +119,3 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     return segments.join(starts, ["part", "segment"]).select("at", "docs", "n_tokens", "data").mapInArrow(
         _read, "doc long, start long, n_tokens long, ids binary"
     )
-
-
-__all__ = ["discard", "new_work_path", "read_token_files", "write_token_files"]
