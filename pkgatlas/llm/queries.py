@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pkgatlas.llm import licenses, line_dedup, mixing, oracles, packing, quality, secrets, sharding, simhash, token_files
+from pkgatlas.llm import ann, licenses, line_dedup, mixing, oracles, packing, quality, secrets, sharding, simhash, token_files
 from pkgatlas.llm.common import new_work_path
 from pkgatlas.llm.tokens import byte_level_encoder, word_encoder
 
@@ -54,6 +54,12 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    # the contract's query set
+    return ann.nearest(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return secrets.secret_digest(secrets.scan_secrets(docs))
@@ -85,6 +91,7 @@ LLM_QUERIES = {
     "op3_packing": op3_packing,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_sharding": op5_sharding,
+    "op6_learned_partitions": op6_learned_partitions,
     "op7_secret_scan": op7_secret_scan,
     "op8_license_scan": op8_license_scan,
     "op9_quality_rules": op9_quality_rules,
