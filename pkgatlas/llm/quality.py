@@ -215,7 +215,7 @@ def score_documents(
     max_false_rejection: float = MAX_FALSE_REJECTION,
     gap: float = CONFIDENCE_GAP,
 ) -> DataFrame:
-    """Per document: id, mark (XXH64 of its text), the statistics, base_failed, kept.
+    """Per document: id, stratum, mark (XXH64 of its text), the statistics, base_failed, kept.
 
     base_failed: under 50 words, or over half of the words in repeated 3-word windows. kept:
     not base_failed and under every certified cutoff of its stratum. A stratum without
@@ -242,6 +242,28 @@ def score_documents(
     for name in rules:
         beyond = beyond | F.coalesce(F.col(name) > F.col(f"max_{name}"), F.lit(False))
     return stats.join(limits, stats[stratum_col].eqNullSafe(limits["stratum"]), "left").select(
-        stats[id_col], "mark", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        stats[id_col], stats[stratum_col], "mark", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), (~failed & ~beyond).alias("kept"),
     )
+
+
+def keep_documents(
+    docs: DataFrame,
+    labels: DataFrame,
+    stratum_col: str = "lang",
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    rules: Mapping[str, Sequence[float]] = RULES,
+) -> DataFrame:
+    """Rows of ``docs`` that ``score_documents`` keeps, all columns; rows alike share a verdict."""
+    scored = score_documents(docs, labels, stratum_col, id_col, text_col, rules)
+    # the rejected are fewer than the kept; a stratum is part of the verdict
+    bad = scored.filter(~F.col("kept")).select(
+        F.col(id_col).alias("_id"), F.col("mark").alias("_mark"), F.col(stratum_col).alias("_stratum")
+    )
+    own = F.xxhash64(text_or_empty(F.col(text_col)))
+    return docs.join(
+        bad,
+        docs[id_col].eqNullSafe(F.col("_id")) & (own == F.col("_mark")) & docs[stratum_col].eqNullSafe(F.col("_stratum")),
+        "left_anti",
+    )

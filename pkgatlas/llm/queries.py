@@ -71,7 +71,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return quality.score_documents(docs, _table(spark, sf_dir, "labels")).drop("mark")
+    return quality.score_documents(docs, _table(spark, sf_dir, "labels")).drop("mark", "lang")
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -258,3 +258,40 @@ def near_duplicates(
     return prints.join(classes, "fp").select(
         F.col("doc").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def drop_near_duplicates(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = SHINGLE,
+    seed: int = SEED,
+    radius: int = RADIUS,
+) -> DataFrame:
+    """``docs`` with one row of each component: one with the smallest id, all columns.
+
+    Among rows with that same id the smallest text hash stays, once. Rows with a null id are in
+    no one's way and stay.
+    """
+    text = text_or_empty(F.col(text_col))
+    classes = near_duplicates(docs, id_col, text_col, shingle, seed, radius)
+    # the id alone decides who stays, so only ids that go are looked up
+    gone = classes.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_id")).distinct()
+    same = (
+        docs.groupBy(F.col(id_col).alias("_id"))
+        .agg(F.min(F.xxhash64(text)).alias("_mark"), F.count("*").alias("_n"))
+        .filter((F.col("_n") > 1) & F.col("_id").isNotNull())
+    )
+    kept = docs.join(gone, docs[id_col] == gone["_id"], "left_anti")
+    return kept if same.isEmpty() else _first_of_same(kept, same, id_col, text)
+
+
+def _first_of_same(docs: DataFrame, same: DataFrame, id_col: str, text: Column) -> DataFrame:
+    """Of rows with one id, the first with the smallest text hash."""
+    repeated, _ = store(
+        docs.join(same.select("_id"), docs[id_col] == F.col("_id"), "left_semi"), "same-ids"
+    )
+    whole = F.struct(*[F.col(c) for c in docs.columns])
+    first = repeated.groupBy(F.col(id_col).alias("_id")).agg(F.min_by(whole, F.xxhash64(text)).alias("r"))
+    alone = docs.join(same.select("_id"), docs[id_col] == F.col("_id"), "left_anti")
+    return alone.unionByName(first.select("r.*"))
