@@ -16,7 +16,8 @@ from pkgatlas.llm.common import components, store, text_or_empty
 SHINGLE = 3
 SEED = 42
 RADIUS = 3
-TILE_ROWS = 2048
+#: A pair of tiles is one row of at most 8 KB, so a batch of rows stays small in a task.
+TILE_ROWS = 512
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -118,9 +119,9 @@ class _Forest:
         )
 
 
-def _link(left: np.ndarray, right: np.ndarray, la: np.ndarray, lb: np.ndarray, radius: int, forest: _Forest,
-          same: bool) -> None:
+def _link(left: np.ndarray, right: np.ndarray, radius: int, forest: _Forest, same: bool) -> None:
     """Compare two tiles exactly; new links go to the forest."""
+    la, lb = left.view(np.int64), right.view(np.int64)
     step = max(1, (1 << 18) // max(1, len(right)))
     for at in range(0, len(left), step):
         near = np.bitwise_count(left[at : at + step, None] ^ right[None, :]) <= radius
@@ -146,11 +147,8 @@ def _compare_task(radius: int, max_nodes: int):
         forest = _Forest()
         for batch in batches:
             for row in range(batch.num_rows):
-                left, la, right, lb = (
-                    np.frombuffer(batch.column(c)[row].as_py(), np.int64) for c in range(4)
-                )
-                same = bool(batch.column(4)[row].as_py())
-                _link(left.view(np.uint64), right.view(np.uint64), la, lb, radius, forest, same)
+                left, right = (np.frombuffer(batch.column(c)[row].as_py(), np.uint64) for c in range(2))
+                _link(left, right, radius, forest, batch.column(2)[row].as_py())
                 if len(forest.parent) > max_nodes:
                     yield forest.edges()
                     forest = _Forest()
@@ -160,20 +158,18 @@ def _compare_task(radius: int, max_nodes: int):
 
 
 def _tile(_key_: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One tile's fingerprints and nodes as bytes; at most a tile's rows."""
+    """One tile's fingerprints as bytes; at most about a tile's rows."""
     table = pa.Table.from_batches(list(batches))
-    fp, node = (table.column(c).to_numpy() for c in ("fp", "node"))
-    order = np.argsort(node)
     yield pa.RecordBatch.from_arrays([
         pa.array([table.column("key")[0].as_py()], pa.int64()), pa.array([table.column("block")[0].as_py()], pa.int32()),
-        pa.array([fp[order].tobytes()]), pa.array([node[order].tobytes()]),
-    ], ["key", "block", "fps", "nodes"])
+        pa.array([np.sort(table.column("fp").to_numpy()).tobytes()]),
+    ], ["key", "block", "fps"])
 
 
 def near_links(
     prints: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS, parts: int | None = None
 ) -> DataFrame:
-    """(a, b): enough links to connect all of ``prints`` (fp, node; fp unique) within ``radius`` bits.
+    """(a, b): enough links to connect all of ``prints`` (fp, each once) within ``radius`` bits.
 
     Fingerprints are filed into tiles by the population counts of their ``parts`` equal parts;
     two that differ in d bits have counts that differ by d in sum at most, so all other tile
@@ -185,16 +181,16 @@ def near_links(
     spark = prints.sparkSession
     n = prints.count()
     if parts is None:
-        parts = 4 if n > 200_000 else 2 if n > 4 * tile_rows else 1
+        parts = 4 if n > 200_000 else 2 if n > 10_000 else 1
     counts = _population(F.col("fp"), parts)
-    keyed = prints.select("fp", "node", _key(counts).alias("key"))
+    keyed = prints.select("fp", _key(counts).alias("key"))
     sizes = keyed.groupBy("key").agg(F.ceil(F.count("*") / F.lit(tile_rows)).cast("int").alias("blocks"))
     # a row per combination of counts: 17 ** 4 at most
     sizes, _ = store(sizes, "tile-sizes")
     tiles, _ = store(
         keyed.join(F.broadcast(sizes), "key")
-        .select("fp", "node", "key", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int").alias("block"))
-        .groupBy("key", "block").applyInArrow(_tile, "key long, block int, fps binary, nodes binary"),
+        .select("fp", "key", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int").alias("block"))
+        .groupBy("key", "block").applyInArrow(_tile, "key long, block int, fps binary"),
         "tiles",
     )
     offsets = [sum(x * 128 ** (parts - 1 - p) for p, x in enumerate(d)) for d in neighbour_offsets(parts, radius)]
@@ -202,7 +198,7 @@ def near_links(
     # neighbouring tiles on one side; the other block's number is part of the join key, so the
     # blocks of one full tile spread over tasks
     sent = tiles.select(
-        F.col("fps").alias("lf"), F.col("nodes").alias("ln"), F.col("block").alias("from_block"),
+        F.col("fps").alias("lf"), F.col("block").alias("from_block"),
         F.col("key").alias("from_key"), F.explode(F.array(*[F.lit(o).cast("long") for o in offsets])).alias("o"),
     )
     met = (
@@ -212,8 +208,7 @@ def near_links(
             F.when(F.col("o") == 0, F.col("from_block")).otherwise(F.lit(0)), F.col("blocks") - 1
         )))
         .join(tiles, ["key", "block"])
-        .select("lf", "ln", "fps", "nodes",
-                ((F.col("o") == 0) & (F.col("from_block") == F.col("block"))).alias("same"))
+        .select("lf", "fps", ((F.col("o") == 0) & (F.col("from_block") == F.col("block"))).alias("same"))
     )
     return met.mapInArrow(_compare_task(radius, 1_000_000), "a long, b long")
 
@@ -240,13 +235,10 @@ def near_duplicates(
     """
     prints, _ = store(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
     nodes, _ = store(
-        prints.groupBy("fp").agg(F.min("doc").alias("least")).select(
-            "fp", "least", F.col("fp").alias("node")
-        ),
-        "nodes",
+        prints.groupBy("fp").agg(F.min("doc").alias("least")), "nodes"
     )
-    links = near_links(nodes.select("fp", "node"), radius, tile_rows)
-    linked = components(links).join(nodes.select("node", "least"), "node")
+    links = near_links(nodes.select("fp"), radius, tile_rows)
+    linked = components(links).join(nodes, F.col("node") == F.col("fp"))
     # one row per node; the smallest document of each component, combined before the shuffle
     least = linked.groupBy("root").agg(F.min("least").alias("component"))
     named = linked.select("node", "root").join(least, "root").select(F.col("node").alias("fp"), "component")
