@@ -10,12 +10,13 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Callable
 from functools import cache
 
 import numpy as np
 
-#: Cached pieces; a full cache is emptied, so memory is bounded.
+#: Cached pieces of one generation; a full one becomes the older one, so memory is bounded.
 CACHE_PIECES = 600_000
 #: A longer piece is encoded but not kept.
 LONGEST_KEPT = 64
@@ -32,6 +33,8 @@ _MARK = re.compile(rb"(?<=[A-Za-z0-9])([.,])(?=[ \n]|$)")
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 _SPACE = chr(_LETTERS[0x20])
+#: Letters of one or two bytes that every version of Unicode has as letters.
+_WORD = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 
 
 class PieceEncoder:
@@ -46,6 +49,7 @@ class PieceEncoder:
         self.cut, self.piece_text, self.plain = cut, piece_text, plain
         self.end = np.array([end_id], "<u4").tobytes()
         self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         # special tokens are matched before any cut, so texts that hold one are encoded whole
         self.special = [
             t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()
@@ -63,11 +67,14 @@ class PieceEncoder:
         rest = []
         merge = self.tokenizer.model.tokenize
         for p in pieces:
+            if known := self.older.get(p):
+                out[p] = known
+                continue
             word = self.plain(p)
             if word is None:
                 rest.append(p)
             else:
-                out[p] = np.array([t.id for t in merge(word)], "<u4").tobytes()
+                out[p] = array("I", [t.id for t in merge(word)]).tobytes()
         if rest:
             out.update(zip(rest, self._encode([self.piece_text(p) for p in rest])))
         return out
@@ -79,7 +86,7 @@ class PieceEncoder:
         missing = set(pieces).difference(self.cache)
         if missing:
             if len(self.cache) + len(missing) > CACHE_PIECES:
-                self.cache = {}
+                self.older, self.cache = self.cache, {}
                 missing = set(pieces)
             self.cache.update(self._missing(list(missing)))
         out = b"".join(map(self.cache.__getitem__, pieces)) + self.end
@@ -89,6 +96,11 @@ class PieceEncoder:
         return out
 
 
+def _mapped(word: bytes) -> str:
+    """Bytes as the vocabulary's letters."""
+    return word.decode("latin-1").translate(_LETTERS)
+
+
 def _cut_at_white(text: bytes) -> list[bytes]:
     if b"\xcc" not in text and b"\xcd" not in text:  # no accents that combine with a letter before
         text = text.lower()
@@ -96,7 +108,10 @@ def _cut_at_white(text: bytes) -> list[bytes]:
 
 
 def _plain_lower(piece: bytes) -> str | None:
-    return piece.decode() if piece.isalpha() and piece.islower() else None
+    if piece.isalpha():
+        return piece.decode() if piece.islower() else None
+    word = piece.decode()
+    return _mapped(piece) if _WORD.fullmatch(word) and word.islower() else None
 
 
 @cache
@@ -123,7 +138,11 @@ def _spaced(piece: bytes) -> str:
 def _plain_spaced(piece: bytes) -> str | None:
     if piece.isalpha():  # of bytes: A-Z and a-z only
         return _SPACE + piece.decode()
-    return piece[1:].decode() if piece[:1] == b"\x00" and piece[1:].isalpha() else None
+    first = piece[:1] == b"\x00"
+    word = piece[1:] if first else piece
+    if not _WORD.fullmatch(word.decode()):
+        return None
+    return _mapped(word) if first else _SPACE + _mapped(word)
 
 
 @cache
