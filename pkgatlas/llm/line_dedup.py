@@ -213,7 +213,8 @@ def dedup_lines(
     )
     # exact confirmation: a key is repeated when its smallest and largest document differ
     first = suspects.groupBy("k1", "k2").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
-    repeated = first.filter("first < last").select("k1", "k2", "first")
+    # stored, so that the join below reads both sides as they are: its skew can then be split
+    repeated, _ = store(first.filter("first < last").select("k1", "k2", "first"), "repeated")
     # a set: rows that repeat a document repeat its line numbers; bounded by its lines
     drops = (
         suspects.join(repeated, ["k1", "k2"]).filter("doc > first")
