@@ -36,11 +36,10 @@ QUALITY_MIN_DEPENDENTS = 200
 QUALITY_MIN_STARS = 500
 SEARCH_MIN_DEPENDENTS = 100
 SEARCH_SCORE_THRESHOLD = 0.3
-SEARCH_OVERFETCH = 10
 TIER1_GROWTH, TIER1_LIMIT = 50, 100
 TIER2_GROWTH, TIER2_LIMIT = 200, 150
 
-# Query matching.
+# Query matching. The original key ends at so many characters; the whole question is the default.
 QUERY_KEY_CHARS = 80
 MATCH_MIN_WORDS = 3
 MATCH_MIN_SHARED = 4

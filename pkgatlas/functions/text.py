@@ -12,13 +12,13 @@ from pkgatlas import fixed
 from pkgatlas.functions.names import BLANKS
 
 
-def query_part(query: Column, max_chars: int = fixed.QUERY_KEY_CHARS) -> Column:
-    """Trimmed, lower-cased, spaces to underscores; the key format ends at ``max_chars``."""
+def query_part(query: Column, max_chars: int | None = None) -> Column:
+    """Trimmed, lower-cased, spaces to underscores; ``fixed.QUERY_KEY_CHARS`` gives the original's short key."""
     folded = F.replace(F.lower(F.trim(query, F.lit(BLANKS))), F.lit(" "), F.lit("_"))
-    return F.substring(folded, 1, max_chars)
+    return folded if max_chars is None else F.substring(folded, 1, max_chars)
 
 
-def query_key(query: Column, mode: Column, max_chars: int = fixed.QUERY_KEY_CHARS) -> Column:
+def query_key(query: Column, mode: Column, max_chars: int | None = None) -> Column:
     return F.concat(query_part(query, max_chars), F.lit("__"), mode)
 
 

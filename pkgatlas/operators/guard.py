@@ -9,89 +9,116 @@ from collections.abc import Mapping
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
-# Functions that reach outside the data.
-BLOCKED_FUNCTIONS = (
-    "reflect", "java_method", "try_reflect", "input_file_name",
-    "input_file_block_start", "input_file_block_length", "raise_error", "sleep",
+# Expressions that reach outside the data, by the class Spark resolves them to.
+BLOCKED_EXPRESSIONS = (
+    "CallMethodViaReflection", "InputFileName", "InputFileBlockStart", "InputFileBlockLength", "RaiseError",
+    "Sleep", "PythonUDF", "ScalaUDF", "PythonUDAF", "PythonUDTF", "UserDefinedPythonFunction", "HiveGenericUDF",
+    "HiveSimpleUDF", "HiveUDAFFunction", "ScalaAggregator", "ScalaUDAF",
 )
+# Plan nodes a query may end in; everything else must be one of the given frames.
+OWN_ROWS = ("OneRowRelation", "LocalRelation", "Range")
 
 
 class GuardError(ValueError):
     """The statement is not an allowed query."""
 
 
+def _listed(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
 def _nodes(plan) -> list:
-    """All plan nodes, with those inside CTEs and subqueries."""
+    """All plan nodes, with those inside CTEs, views and subqueries."""
     found, todo = [], [plan]
     while todo:
         node = todo.pop()
         found.append(node)
-        for group in (node.children(), node.innerChildren()):
-            todo.extend(group.apply(i) for i in range(group.size()))
+        todo.extend(_listed(node.children()))
+        todo.extend(_listed(node.innerChildren()))
+        todo.extend(_listed(node.subqueries()))
     return found
 
 
-def check_select(spark: SparkSession, sql: str, tables: Mapping[str, object]) -> list[str]:
-    """Names of the tables a statement reads; raises ``GuardError`` unless it is one query.
+def _expressions(node) -> list:
+    found, todo = [], _listed(node.expressions())
+    while todo:
+        e = todo.pop()
+        found.append(e)
+        todo.extend(_listed(e.children()))
+    return found
+
+
+def _kind(x) -> str:
+    return x.getClass().getName().rsplit(".", 1)[-1]
+
 
-    Uses Spark's own parser and runs nothing: a second statement does not parse, and
-    commands (INSERT, CREATE, DROP, SET ...) show as command nodes.
+def check_select(spark: SparkSession, sql: str, tables: Mapping[str, object]) -> None:
+    """Raises ``GuardError`` unless ``sql`` is one query. Parses only, and runs nothing:
+    a second statement does not parse, and commands (INSERT, DROP, SET ...) are command nodes.
     """
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
     except Exception as exc:
         raise GuardError(f"not a single SQL statement: {exc}") from exc
-    jvm = spark._jvm
     logical = "org.apache.spark.sql.catalyst.plans.logical."
-    commands = [jvm.Class.forName(logical + c) for c in ("Command", "ParsedStatement", "InsertIntoStatement")]
-    kinds = set()
+    commands = [
+        spark._jvm.Class.forName(logical + c) for c in ("Command", "ParsedStatement", "InsertIntoStatement")
+    ]
     for node in _nodes(plan):
-        kinds.add(node.getClass().getSimpleName())
         if any(c.isInstance(node) for c in commands):
-            raise GuardError(f"only queries are allowed, found {node.getClass().getSimpleName()}")
-    text = plan.toString()
-    relations = {
-        m.replace(" ", "").replace(",", ".").lower()
-        for m in re.findall(r"UnresolvedRelation \[([^\]]*)\]", text)
-    }
-    ctes = {
-        n.strip().lower()
-        for group in re.findall(r"CTE \[([^\]]*)\]", text)
-        for n in group.split(",")
-    }
-    known = {t.lower() for t in tables}
-    unknown = relations - ctes - known
-    if unknown:
-        raise GuardError(f"unknown tables: {sorted(unknown)}")
-    called = {f.lower() for f in re.findall(r"'([A-Za-z_]\w*)\(", text)}
-    blocked = called & set(BLOCKED_FUNCTIONS)
-    if blocked:
-        raise GuardError(f"functions not allowed: {sorted(blocked)}")
-    return sorted(relations & known)
+            raise GuardError(f"only queries are allowed, found {_kind(node)}")
+
+
+def _check_analyzed(analyzed, allowed: list) -> None:
+    """Every leaf is part of a given frame, and no expression reaches outside the data.
+
+    Names are resolved by now, so neither a nested name nor a long list can hide a table or a
+    function: the objects themselves are looked at.
+    """
+    todo = [analyzed]
+    while todo:
+        node = todo.pop()
+        if any(node.sameResult(frame) for frame in allowed):
+            continue  # what the caller gave is the caller's own business
+        kind = _kind(node)
+        inner = [*_listed(node.children()), *_listed(node.subqueries())]
+        if not inner and kind not in OWN_ROWS and kind != "CTERelationRef":
+            raise GuardError(f"reads something other than the given tables: {kind}")
+        if kind == "View":
+            raise GuardError("reads a view of the session")
+        for e in _expressions(node):
+            if _kind(e) in BLOCKED_EXPRESSIONS:
+                raise GuardError(f"function not allowed: {_kind(e)}")
+        todo.extend(inner)
 
 
 def guarded_select(
-    spark: SparkSession, sql: str, tables: Mapping[str, DataFrame], max_rows: int = 1000
+    spark: SparkSession, sql: str, tables: Mapping[str, DataFrame], max_rows: int | None = None
 ) -> DataFrame:
-    """The result of one SELECT over ``tables``, at most ``max_rows`` rows.
+    """The result of one SELECT over ``tables``; lazy, see ``run_guarded``.
 
-    Tables are bound as temporary views under private names, so no view of the session is
-    touched; an unknown column fails in analysis. The frame is lazy: see ``run_guarded``.
+    Tables are bound under private names, so no view of the session is touched; an unknown
+    column or table fails. All rows are returned. With ``max_rows`` at most so many are, with
+    a column ``truncated`` that says whether there were more.
     """
-    used = check_select(spark, sql, tables)
-    by_name = {t.lower(): df for t, df in tables.items()}
-    binding = ", ".join(f"`{t}` AS (SELECT * FROM {{{_slot(t)}}})" for t in used)
-    frames = {_slot(t): by_name[t] for t in used}
+    check_select(spark, sql, tables)
+    # the session's own views must not answer for a name: bind every table, read only these
+    binding = ", ".join(f"`{t}` AS (SELECT * FROM {{{_slot(t)}}})" for t in tables)
+    frames = {_slot(t): df for t, df in tables.items()}
     body = sql.strip().rstrip(";").replace("{", "{{").replace("}", "}}")
     try:
-        if not used:
-            result = spark.sql(sql)
-        else:
-            result = spark.sql(f"WITH {binding} SELECT * FROM ({body}\n)", **frames)
+        result = spark.sql(f"WITH {binding} SELECT * FROM ({body}\n)", **frames) if tables else spark.sql(sql)
     except PySparkException as exc:
         raise GuardError(str(exc)) from exc
-    return result.limit(max_rows)
+    _check_analyzed(
+        result._jdf.queryExecution().analyzed(), [df._jdf.queryExecution().analyzed() for df in tables.values()]
+    )
+    if max_rows is None:
+        return result
+    more = result.limit(max_rows + 1).agg(F.count("*")).scalar() > max_rows
+    return result.limit(max_rows).withColumn("truncated", more)
 
 
 def _slot(table: str) -> str:
@@ -102,7 +129,7 @@ def run_guarded(
     spark: SparkSession,
     sql: str,
     tables: Mapping[str, DataFrame],
-    max_rows: int = 1000,
+    max_rows: int | None = None,
     timeout_s: float = 30.0,
 ) -> list[Row]:
     """Run ``guarded_select`` and return its rows; its jobs are cancelled after ``timeout_s``."""

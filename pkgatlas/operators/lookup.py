@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from pkgatlas.functions.names import name_key, with_name_key
 from pkgatlas.operators.build import one_per_name
 
+#: Pieces that the edges of one name are dealt to.
+EDGE_PIECES = 32
+
 
 @dataclass(frozen=True)
 class Layers:
@@ -181,13 +184,27 @@ def health_metrics(layers: Layers, names: DataFrame) -> DataFrame:
 
 
 def _edge_topk(edges: DataFrame, names: DataFrame, on: str, other: str, limit: int) -> DataFrame:
-    keyed = edges.withColumn("name_key", name_key(F.col(on)))
-    hits = restrict(keyed, names)
-    order = [
-        F.col(other).asc(), F.col("dependency_kind").asc(), F.col("dependency_requirements").asc()
-    ]
+    """Two cuts: first inside pieces of a name's edges, then over what those leave.
+
+    A name list too long to broadcast meets the edges by (name, piece), so the edges of one
+    popular package spread over ``EDGE_PIECES`` tasks, and only ``limit`` rows of each go on.
+    """
+    columns = [other, "dependency_kind", "dependency_requirements"]
+    order = [F.col(c).asc() for c in columns]
+    keyed = edges.withColumn("name_key", name_key(F.col(on))).withColumn(
+        "_piece", F.pmod(F.xxhash64(*columns), F.lit(EDGE_PIECES)).cast("int")
+    )
+    keys = names.select(name_key(F.col("name")).alias("name_key")).distinct().withColumn(
+        "_piece", F.explode(F.sequence(F.lit(0), F.lit(EDGE_PIECES - 1)))
+    )
+    top = keyed.join(keys, ["name_key", "_piece"], "left_semi")
+    if limit > 0:
+        piece = Window.partitionBy("name_key", "_piece").orderBy(*order)
+        top = top.withColumn("_n", F.row_number().over(piece)).filter(F.col("_n") <= limit)
     w = Window.partitionBy("name_key").orderBy(*order)
-    top = hits.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= limit)
+    top = top.withColumn("pos", F.row_number().over(w))
+    if limit > 0:
+        top = top.filter(F.col("pos") <= limit)
     return asked(names).join(
         top.select("name_key", "pos", other, "dependency_kind", "dependency_requirements"),
         "name_key",
@@ -195,12 +212,12 @@ def _edge_topk(edges: DataFrame, names: DataFrame, on: str, other: str, limit: i
 
 
 def dependencies(edges: DataFrame, names: DataFrame, limit: int = 50) -> DataFrame:
-    """First ``limit`` direct dependencies per asked project."""
+    """First ``limit`` direct dependencies per asked project; 0 means all."""
     return _edge_topk(edges, names, "project_name", "dependency_name", limit)
 
 
 def reverse_dependencies(edges: DataFrame, names: DataFrame, limit: int = 50) -> DataFrame:
-    """First ``limit`` projects that depend on each asked package."""
+    """First ``limit`` projects that depend on each asked package; 0 means all."""
     return _edge_topk(edges, names, "dependency_name", "project_name", limit)
 
 

@@ -19,7 +19,7 @@ from pkgatlas import fixed
 from pkgatlas.functions.text import query_part, significant_words
 
 
-def _keyed(df: DataFrame, stop_words: Sequence[str], max_chars: int) -> DataFrame:
+def _keyed(df: DataFrame, stop_words: Sequence[str], max_chars: int | None) -> DataFrame:
     part = query_part(F.col("query"), max_chars)
     return df.select(
         "query_id",
@@ -71,12 +71,12 @@ def match_queries(
     min_words: int = fixed.MATCH_MIN_WORDS,
     min_shared: int = fixed.MATCH_MIN_SHARED,
     stop_words: Sequence[str] = fixed.STOP_WORDS,
-    max_chars: int = fixed.QUERY_KEY_CHARS,
+    max_chars: int | None = None,
 ) -> DataFrame:
     """Best known question for every new one (both ``query_id, query, mode``).
 
     ``match`` is ``exact``, ``fuzzy`` or null. Ties go to the smaller known key. Words come
-    from the question key, whose format ends at ``max_chars``.
+    from the whole question, or from its key of ``max_chars``.
     """
     if min_shared < 2:
         raise ValueError("min_shared must be at least 2")

@@ -155,35 +155,25 @@ def semantic_search(
     queries: DataFrame,
     limit: int = 20,
     threshold: float = fixed.SEARCH_SCORE_THRESHOLD,
-    overfetch: int = fixed.SEARCH_OVERFETCH,
     min_dependents: int = fixed.SEARCH_MIN_DEPENDENTS,
     weights: Mapping[str, float] = fixed.BLEND_WEIGHTS,
 ) -> DataFrame:
-    """Nearest packages re-ranked by similarity, popularity and growth.
+    """Packages ranked by similarity, popularity and growth together.
 
-    ``limit * overfetch`` hits are fetched per query, little-used ones dropped, and the
-    rest blended. ``corpus``: id, embedding, name, stars, dependent_count, growth_pct.
+    Little-used packages go before anything is scored, and the blend itself decides who stays
+    in the running top list, so no qualified package is lost. ``corpus``: id, embedding, name,
+    stars, dependent_count, growth_pct.
     """
+    used = corpus.filter(F.coalesce("dependent_count", F.lit(0)) >= min_dependents)
+    bonus = scoring.blended_score(F.lit(0.0), F.col("dependent_count"), F.col("growth_pct"), weights)
     payload = ["name", "stars", "dependent_count", "growth_pct"]
-    hits = vector_topk(corpus, queries, limit * overfetch, threshold, payload=payload)
-    scored = hits.filter(F.coalesce("dependent_count", F.lit(0)) >= min_dependents).withColumn(
-        "blended_score",
-        F.round(
-            scoring.blended_score(
-                F.col("score"), F.col("dependent_count"), F.col("growth_pct"), weights
-            ),
-            6,
-        ),
+    hits = vector_topk(
+        used, queries, limit, threshold, payload=payload, bonus=bonus, weight=weights["similarity"]
     )
-    w = Window.partitionBy("query_id").orderBy(F.col("blended_score").desc(), F.col("id").asc())
-    return (
-        scored.withColumn("rank", F.row_number().over(w))
-        .filter(F.col("rank") <= limit)
-        .select(
-            "query_id", "rank", "name", name_key(F.col("name")).alias("name_key"),
-            F.col("dependent_count").alias("dependents_count"), "stars", "growth_pct",
-            F.col("score").alias("similarity_score"), "blended_score",
-        )
+    return hits.select(
+        "query_id", "rank", "name", name_key(F.col("name")).alias("name_key"),
+        F.col("dependent_count").alias("dependents_count"), "stars", "growth_pct",
+        F.col("score").alias("similarity_score"), F.col("order_score").alias("blended_score"),
     )
 
 

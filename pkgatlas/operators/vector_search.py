@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from pkgatlas.functions.names import name_key
 from pkgatlas.operators.build import dedupe_best
@@ -18,6 +19,8 @@ from pkgatlas.session import materialize
 SCORE_DIGITS = 6
 MAX_BROADCAST_QUERIES = 1024
 BLOCK_ROWS = 50_000
+#: Scores held at once in a task.
+STEP_SCORES = 4_000_000
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -33,40 +36,60 @@ def _unit_rows(matrix: np.ndarray) -> np.ndarray:
 
 
 class _RunningTopK:
-    """Keeps the k best rows per query while batches pass; ties go to the smaller id."""
+    """Keeps the k best rows per query while batches pass; ties go to the smaller id.
 
-    def __init__(self, queries: np.ndarray, k: int, threshold: float) -> None:
+    Rows rank by ``weight`` times their cosine plus a bonus of their own. The score matrix is
+    cut to k rows per query before any payload is taken.
+    """
+
+    def __init__(self, queries: np.ndarray, k: int, threshold: float, weight: float = 1.0) -> None:
         self.queries = _unit_rows(queries)
-        self.k, self.threshold = k, threshold
+        self.k, self.threshold, self.weight = k, threshold, weight
         self.floor = np.full(len(queries), -np.inf)
         self.rows: pa.Table | None = None
+        self.rank = np.empty(0)
         self.score = np.empty(0)
         self.query = np.empty(0, dtype=np.int64)
         self.id = np.empty(0, dtype=np.int64)
 
-    def add(self, payload: pa.Table, ids: np.ndarray, vectors: np.ndarray) -> None:
+    def add(self, payload: pa.Table, ids: np.ndarray, vectors: np.ndarray, bonus: np.ndarray | None = None) -> None:
+        step = max(1, STEP_SCORES // max(1, len(self.queries)))
+        for at in range(0, len(ids), step):
+            some = slice(at, at + step)
+            self._add(
+                payload.slice(at, step), ids[some], vectors[some],
+                np.zeros(len(ids[some])) if bonus is None else bonus[some],
+            )
+
+    def _add(self, payload: pa.Table, ids: np.ndarray, vectors: np.ndarray, bonus: np.ndarray) -> None:
         scores = np.round(_unit_rows(vectors) @ self.queries.T, SCORE_DIGITS)
-        keep = (scores >= self.threshold) & (scores >= self.floor)
-        row, query = np.nonzero(keep)
+        ranks = np.round(self.weight * scores + bonus[:, None], SCORE_DIGITS)
+        ranks[(scores < self.threshold) | (ranks < self.floor)] = -np.inf
+        if len(ids) > self.k:
+            kth = np.partition(ranks, len(ids) - self.k, axis=0)[len(ids) - self.k]
+            ranks[ranks < kth] = -np.inf
+        row, query = np.nonzero(ranks > -np.inf)
         if not len(row):
             return
-        taken = payload.take(pa.array(row))
-        self.rows = taken if self.rows is None else pa.concat_tables([self.rows, taken])
-        self.score = np.concatenate([self.score, scores[row, query]])
-        self.query = np.concatenate([self.query, query])
-        self.id = np.concatenate([self.id, ids[row]])
-        self._prune()
-
-    def _prune(self) -> None:
-        order = np.lexsort((self.id, -self.score, self.query))
-        query = self.query[order]
-        start = np.searchsorted(query, query, side="left")
-        rank = np.arange(len(order)) - start
-        last = rank == self.k - 1
-        self.floor[query[last]] = self.score[order][last]
-        order = order[rank < self.k]
-        self.rows = self.rows.take(pa.array(order))
-        self.score, self.query, self.id = self.score[order], self.query[order], self.id[order]
+        held = len(self.id)
+        rank = np.concatenate([self.rank, ranks[row, query]])
+        score = np.concatenate([self.score, scores[row, query]])
+        all_query = np.concatenate([self.query, query])
+        all_id = np.concatenate([self.id, ids[row]])
+        order = np.lexsort((all_id, -rank, all_query))
+        by_query = all_query[order]
+        place = np.arange(len(order)) - np.searchsorted(by_query, by_query, side="left")
+        last = place == self.k - 1
+        self.floor[by_query[last]] = rank[order][last]
+        keep = order[place < self.k]
+        self.rank, self.score, self.query, self.id = rank[keep], score[keep], all_query[keep], all_id[keep]
+        # payload of the survivors only
+        old, new = keep[keep < held], keep[keep >= held]
+        taken = payload.take(pa.array(row[new - held]))
+        joined = taken if self.rows is None else pa.concat_tables([self.rows.take(pa.array(old)), taken])
+        back = np.empty(len(keep), dtype=np.int64)
+        back[np.concatenate([np.flatnonzero(keep < held), np.flatnonzero(keep >= held)])] = np.arange(len(keep))
+        self.rows = joined.take(pa.array(back))
 
     def result(self, query_ids: pa.Array) -> pa.Table | None:
         if self.rows is None:
@@ -76,15 +99,19 @@ class _RunningTopK:
         )
 
 
+def _bonus(table: pa.Table) -> np.ndarray | None:
+    return table.column("_bonus").to_numpy() if "_bonus" in table.column_names else None
+
+
 def _topk_task(query_ids: list, queries: np.ndarray, id_type: pa.DataType, id_col: str,
-               vec_col: str, payload: list[str], k: int, threshold: float):
+               vec_col: str, payload: list[str], k: int, threshold: float, weight: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top = _RunningTopK(queries, k, threshold)
+        top = _RunningTopK(queries, k, threshold, weight)
         for batch in batches:
             if batch.num_rows:
                 table = pa.Table.from_batches([batch])
                 ids = table.column(id_col).to_numpy()
-                top.add(table.select(payload), ids, _matrix(batch.column(vec_col)))
+                top.add(table.select(payload), ids, _matrix(batch.column(vec_col)), _bonus(table))
         out = top.result(pa.array(query_ids, type=id_type))
         if out is not None:
             yield from out.combine_chunks().to_batches()
@@ -102,6 +129,8 @@ def vector_topk(
     payload: Sequence[str] = (),
     max_broadcast_queries: int = MAX_BROADCAST_QUERIES,
     block_rows: int = BLOCK_ROWS,
+    bonus: Column | None = None,
+    weight: float = 1.0,
 ) -> DataFrame:
     """Exact ``k`` nearest corpus rows per query with cosine at least ``threshold``.
 
@@ -109,10 +138,14 @@ def vector_topk(
     it reads its share of the corpus once: only ``k`` rows per query and task are shuffled,
     never the pairs. A larger batch is cut into blocks that meet corpus blocks by key.
     ``queries`` needs (query_id, embedding); ``id_col`` must be a whole number. Scores are
-    compared at six digits, ties go to the smaller id.
+    compared at six digits, ties go to the smaller id. With ``bonus``, a column of the corpus,
+    rows rank by ``weight`` times the cosine plus their bonus; ``order_score`` holds that sum.
     """
     corpus = corpus.filter(F.size(vec_col) > 0)
-    columns = list(dict.fromkeys([id_col, *payload]))
+    extra = []
+    if bonus is not None:
+        corpus, extra = corpus.withColumn("_bonus", bonus.cast("double")), ["_bonus"]
+    columns = list(dict.fromkeys([id_col, *payload, *extra]))
     queries = queries.select("query_id", F.col("embedding").alias("_q")).filter(F.size("_q") > 0)
     schema = T.StructType(
         [corpus.schema[c] for c in columns]
@@ -127,20 +160,25 @@ def vector_topk(
         task = _topk_task(
             [r["query_id"] for r in rows],
             matrix,
-            pa.int64() if isinstance(queries.schema["query_id"].dataType, T.LongType)
-            else pa.int32() if isinstance(queries.schema["query_id"].dataType, T.IntegerType)
-            else pa.string(),
-            id_col, vec_col, columns, k, threshold,
+            to_arrow_type(queries.schema["query_id"].dataType),
+            id_col, vec_col, columns, k, threshold, weight,
         )
         if not rows:
-            return corpus.sparkSession.createDataFrame([], schema.add("rank", T.IntegerType()))
+            empty = T.StructType([f for f in schema if f.name != "_bonus"])
+            if bonus is not None:
+                empty = empty.add("order_score", T.DoubleType())
+            return corpus.sparkSession.createDataFrame([], empty.add("rank", T.IntegerType()))
         partial = corpus.select(*columns, vec_col).mapInArrow(task, schema)
     else:
         partial = _blocked_topk(
             corpus, queries, columns, schema, k, threshold, id_col, vec_col,
-            max_broadcast_queries, block_rows,
+            max_broadcast_queries, block_rows, weight,
         )
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col(id_col).asc())
+    if bonus is not None:
+        total = F.round(F.col("score") * weight + F.col("_bonus"), SCORE_DIGITS)
+        partial = partial.withColumn("order_score", total).drop("_bonus")
+    order = F.col("score" if bonus is None else "order_score").desc()
+    w = Window.partitionBy("query_id").orderBy(order, F.col(id_col).asc())
     return partial.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
@@ -149,7 +187,7 @@ def _block_numbers(n: int) -> Column:
 
 
 def _blocked_topk(corpus, queries, columns, schema, k, threshold, id_col, vec_col,
-                  query_block: int, corpus_block: int) -> DataFrame:
+                  query_block: int, corpus_block: int, weight: float) -> DataFrame:
     """Every corpus block meets every query block; each pair of blocks is one bounded group."""
     q_blocks = math.ceil(queries.count() / query_block)
     c_blocks = max(1, math.ceil(corpus.count() / corpus_block))
@@ -167,8 +205,10 @@ def _blocked_topk(corpus, queries, columns, schema, k, threshold, id_col, vec_co
     def block(left: pa.Table, right: pa.Table) -> pa.Table:
         out = None
         if left.num_rows and right.num_rows:
-            top = _RunningTopK(_matrix(right.column("_q")), k, threshold)
-            top.add(left.select(columns), left.column(id_col).to_numpy(), _matrix(left.column(vec_col)))
+            top = _RunningTopK(_matrix(right.column("_q")), k, threshold, weight)
+            top.add(
+                left.select(columns), left.column(id_col).to_numpy(), _matrix(left.column(vec_col)), _bonus(left)
+            )
             out = top.result(right.column("query_id").combine_chunks())
         if out is None:
             out = left.select(columns).slice(0, 0).append_column(

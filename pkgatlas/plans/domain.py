@@ -275,19 +275,15 @@ class Domain:
 
     # questions
     def asked_questions(self) -> DataFrame:
-        return (
-            self.table("conversations")
-            .filter(F.col("role") == "user")
-            .select(
-                (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"),
-                F.col("text").alias("query"),
-                _mode(F.col("text")).alias("mode"),
-            )
-        )
+        return self._questions(F.col("role") == "user")
 
     def known_questions(self) -> DataFrame:
-        return self.table("documents").select(
-            F.col("doc_id").alias("query_id"), F.col("text").alias("query"),
+        return self._questions(F.col("role") != "user")
+
+    def _questions(self, wanted: Column) -> DataFrame:
+        return self.table("conversations").filter(wanted).select(
+            (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"),
+            F.col("text").alias("query"),
             _mode(F.col("text")).alias("mode"),
         )
 

@@ -99,7 +99,7 @@ def words(expr: str) -> str:
 
 
 def query_key(expr: str) -> str:
-    return f"substr(replace(lower(trim({expr}, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))), ' ', '_'), 1, {fixed.QUERY_KEY_CHARS})"
+    return f"replace(lower(trim({expr}, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))), ' ', '_')"
 
 
 _install = r"^\s*(?:\$\s*)?(?:python\s+-m\s+)?pip\s+install\s+\S+\s*$"
@@ -301,9 +301,7 @@ SELECT query_id, rank, name, lower(name) AS name_key, dependent_count AS depende
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY blended_score DESC, id) AS rank FROM (
     SELECT *, round(score * 0.6::DOUBLE + least(1.0::DOUBLE, log10(coalesce(dependent_count, 0) + 1) / 5) * 0.25::DOUBLE
         + greatest(0.0::DOUBLE, least(1.0::DOUBLE, coalesce(growth_pct, 0.0::DOUBLE) / 100)) * 0.15::DOUBLE, 6) AS blended_score
-    FROM (SELECT * FROM d_pairs WHERE score >= 0.1
-          QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= {limit} * 10)
-    WHERE coalesce(dependent_count, 0) >= 5))
+    FROM d_pairs WHERE score >= 0.1 AND coalesce(dependent_count, 0) >= 5))
 WHERE rank <= {limit}"""
 CTES["d_semantic30"] = CTES["d_semantic"].replace("{limit}", "30")
 CTES["d_semantic"] = CTES["d_semantic"].replace("{limit}", "20")
@@ -359,7 +357,7 @@ FROM (SELECT query_id, shortlist_pos AS pos, name FROM d_shortlist
         WHERE query_id IN (SELECT query_id FROM d_intent WHERE growth_override)
       UNION ALL
       SELECT query_id, pos, name FROM d_hybrid30
-        WHERE pos <= 7 AND query_id NOT IN (SELECT query_id FROM d_intent WHERE growth_override)) c
+        WHERE query_id NOT IN (SELECT query_id FROM d_intent WHERE growth_override)) c
 JOIN d_stats_keyed s ON s.name_key = lower(c.name)
 JOIN d_intent i USING (query_id)
 LEFT JOIN d_latest l ON lower(l.package_name) = s.name_key"""
@@ -367,9 +365,10 @@ CTES["d_new_q"] = f"""
 SELECT conv_id * 1000 + turn AS query_id, CASE WHEN contains(text, '?') THEN 'compare' ELSE 'explore' END AS mode,
        {query_key('text')} AS key FROM conversations WHERE role = 'user'"""
 CTES["d_known_q"] = f"""
-SELECT min(doc_id) AS query_id, mode, key FROM (
-  SELECT doc_id, CASE WHEN contains(text, '?') THEN 'compare' ELSE 'explore' END AS mode, {query_key('text')} AS key
-  FROM documents) GROUP BY mode, key"""
+SELECT min(query_id) AS query_id, mode, key FROM (
+  SELECT conv_id * 1000 + turn AS query_id, CASE WHEN contains(text, '?') THEN 'compare' ELSE 'explore' END AS mode,
+         {query_key('text')} AS key
+  FROM conversations WHERE role <> 'user') GROUP BY mode, key"""
 
 
 def sql(body: str) -> str:

@@ -531,7 +531,7 @@ def download_trends(d: Domain) -> DataFrame:
     asked = d.table("events").select(
         F.concat(F.lit("PKG-"), F.col("user_id").cast("string")).alias("packages")
     ).distinct()
-    names = explode_name_list(asked, "packages", max_names=10)
+    names = explode_name_list(asked, "packages")
     return trends.monthly_downloads(d.downloads(), names)
 
 
@@ -576,10 +576,10 @@ def parse_name_list_query(d: Domain) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, list_aggregate(list_filter(list_transform(string_split(text, ','), lambda p: trim(p, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))), lambda p: p <> '')[:10], 'string_agg', '|') AS names
+SELECT doc_id, list_aggregate(list_filter(list_transform(string_split(text, ','), lambda p: trim(p, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))), lambda p: p <> ''), 'string_agg', '|') AS names
 FROM documents""")
 def parse_name_list_text(d: Domain) -> DataFrame:
-    names = F.array_join(parse_name_list(F.col("text"), 10), "|")
+    names = F.array_join(parse_name_list(F.col("text")), "|")
     return d.table("documents").select("doc_id", F.when(names != "", names).alias("names"))
 
 
@@ -737,6 +737,18 @@ def read_csv(d: Domain) -> DataFrame:
     return files.read_csv(d.spark, path, PROJECTS)
 
 
+@query("""
+SELECT doc_id, 'says ""' || source || '"", twice' AS note, text, n_chars FROM documents""")
+def read_csv_texts(d: Domain) -> DataFrame:
+    """Export whole texts with quotes and line breaks as CSV, and load them."""
+    rows = d.table("documents").select(
+        "doc_id", F.concat(F.lit('says ""'), "source", F.lit('"", twice')).alias("note"), "text", "n_chars"
+    )
+    path = new_work_path(d.spark, "csv-texts")
+    rows.write.option("header", "true").option("escape", '"').csv(path)
+    return files.read_csv(d.spark, path, "doc_id long, note string, text string, n_chars long")
+
+
 @query(f"""
 SELECT {o.pkg('l_partkey')} AS package_name, strftime(l_shipdate, '%Y-%m-%d') AS month, trunc(l_quantity)::BIGINT AS downloads
 FROM lineitem WHERE l_returnflag <> 'R'""")
@@ -971,7 +983,7 @@ SELECT doc_id AS id, coalesce(v.top_weight, 0.0::DOUBLE) AS top_weight FROM docu
 def stream_embed(d: Domain) -> DataFrame:
     rows = _source(d, "documents").select(
         F.col("doc_id").alias("id"), pkg(F.col("doc_id")).alias("name"),
-        F.col("text").alias("embedding_text"),
+        F.col("text").alias("embedding_text"), F.lit(0).cast("long").alias("updated_at"),
     )
     base = new_work_path(d.spark, "vector-stream")
     vector_stream.start_vectors(rows, f"{base}/vectors", f"{base}/checkpoint").awaitTermination()

@@ -21,7 +21,7 @@ def explore_rows(
     queries: DataFrame,
     as_of: str,
     limit: int = 30,
-    shown: int = 7,
+    shown: int | None = None,
     latest: DataFrame | None = None,
     growth: Mapping[str, float] | None = None,
     semantic: Mapping[str, float] | None = None,
@@ -30,7 +30,7 @@ def explore_rows(
     """Packages an explore answer looks at, with their statistics, in answer order.
 
     A growth question that names no concrete field takes the growth shortlist of its hits;
-    any other question takes its first ``shown`` hits.
+    any other question takes its hits, or the first ``shown`` of them.
     """
     intent = query_intent(queries.select("query_id", "query"))
     # a few rows per question: stored once, read by the shortlist, the list and the statistics
@@ -43,9 +43,10 @@ def explore_rows(
     listed = growth_shortlist(
         hits.filter("growth_override"), per="query_id", **(shortlist or {})
     ).select("query_id", F.col("shortlist_pos").alias("pos"), "name")
-    first = hits.filter(~F.col("growth_override") & (F.col("pos") <= shown)).select(
-        "query_id", "pos", "name"
-    )
+    wanted = ~F.col("growth_override")
+    if shown is not None:
+        wanted = wanted & (F.col("pos") <= shown)
+    first = hits.filter(wanted).select("query_id", "pos", "name")
     asked = hits.select("query_id", "query", "growth_override").distinct()
     chosen = materialize(listed.unionByName(first).join(asked, "query_id"), "search-chosen")
     rows = chosen.join(package_stats(layers, chosen, as_of), "name")

@@ -14,11 +14,25 @@ from pkgatlas.functions.names import name_key, with_name_key
 def read_csv(
     spark: SparkSession, path: str | list[str], schema: T.StructType | str, **options: str
 ) -> DataFrame:
-    """CSV with a header; rows that do not fit the schema are skipped.
+    """CSV with a header; rows that do not fit the schema are skipped (see ``rejected_csv``).
 
-    The parser only checks the columns a query reads, so the filter reads all of them:
-    the same rows are kept whatever is selected.
+    Quoted fields may hold line breaks and doubled quotes, so a file is one task: convert
+    large exports to Parquet once. ``multiLine="false"`` splits files whose fields hold no breaks.
     """
+    return _parsed_csv(spark, path, schema, options).filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+
+
+def rejected_csv(
+    spark: SparkSession, path: str | list[str], schema: T.StructType | str, **options: str
+) -> DataFrame:
+    """The rows that ``read_csv`` skips, as they stand in the file: (record)."""
+    rows = _parsed_csv(spark, path, schema, options)
+    return rows.filter(F.col("_corrupt_record").isNotNull()).select(F.col("_corrupt_record").alias("record"))
+
+
+def _parsed_csv(spark: SparkSession, path, schema, options) -> DataFrame:
+    """The parser only checks the columns a query reads, so the filter reads all of them:
+    the same rows are kept whatever is selected."""
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
     checked = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
@@ -28,11 +42,13 @@ def read_csv(
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt_record")
         .option("enforceSchema", "true")
+        .option("escape", '"')
+        .option("multiLine", "true")
         .options(**options)
         .csv(path)
     )
     reads_all = F.hash(*schema.names) >= -(2**31)  # always true
-    return rows.filter(F.col("_corrupt_record").isNull() & reads_all).drop("_corrupt_record")
+    return rows.filter(reads_all)
 
 
 def optional(df: DataFrame | None, columns: Sequence[str], like: DataFrame) -> DataFrame:

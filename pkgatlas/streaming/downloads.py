@@ -9,32 +9,23 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pkgatlas.operators.trends import monthly_downloads
 from pkgatlas.sources.documents import read_download_json
 
+STORED = "package_name string, month string, downloads long, batch_id long"
 
-def flatten_stream(raw: DataFrame, watermark: str) -> DataFrame:
-    """Download rows of a document stream, one per (package, time).
 
-    State holds one entry per (package, time) until the watermark passes it. Rows older
-    than the watermark are dropped; the batch rollup stays the source of truth.
-    """
-    rows = read_download_json(raw).withColumn("event_time", F.try_to_timestamp("month"))
-    return rows.withWatermark("event_time", watermark).dropDuplicatesWithinWatermark(
-        ["package_name", "month"]
-    )
-
-
-def start_downloads(
-    raw: DataFrame, target: str, checkpoint: str, watermark: str = "62 days"
-) -> StreamingQuery:
-    """Write the monthly sums of each micro-batch under ``target/batch_id=N``.
+def start_downloads(raw: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Write the rows of each micro-batch under ``target/batch_id=N``, one per package and date.
 
-    A replayed batch overwrites its own folder, so totals are exact after a restart.
+    No row is too late: there is no state to time out, only stored rows. A replayed batch
+    overwrites its own folder, so totals are exact after a restart.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        monthly_downloads(batch).write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+        # a date told twice in one batch: the larger count, whatever the order of arrival
+        rows = batch.groupBy("package_name", "month").agg(F.max("downloads").alias("downloads"))
+        rows.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
 
     return (
-        flatten_stream(raw, watermark)
+        read_download_json(raw)
         .writeStream.option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .foreachBatch(store)
@@ -42,11 +33,16 @@ def start_downloads(
     )
 
 
-def monthly_totals(spark: SparkSession, target: str) -> DataFrame:
-    """Totals over all batches: a handful of pre-summed rows per package and month."""
-    schema = "package_name string, month string, downloads long, batch_id long"
+def current_downloads(spark: SparkSession, target: str) -> DataFrame:
+    """One row per package and date: the newest batch wins, as in ``merge_downloads``."""
     return (
-        spark.read.schema(schema).parquet(target)
+        spark.read.schema(STORED).parquet(target)
         .groupBy("package_name", "month")
-        .agg(F.sum("downloads").alias("downloads"))
+        .agg(F.max(F.struct("batch_id", "downloads")).alias("r"))
+        .select("package_name", "month", "r.downloads")
     )
+
+
+def monthly_totals(spark: SparkSession, target: str) -> DataFrame:
+    """Totals per package and month over all batches."""
+    return monthly_downloads(current_downloads(spark, target))

@@ -31,19 +31,22 @@ def start_vectors(
     checkpoint: str,
     embed: Callable[[DataFrame], DataFrame] = plain_vectors,
 ) -> StreamingQuery:
-    """Embed new and changed rows of a stream (id, name, embedding_text).
+    """Embed new and changed rows of a stream (id, name, embedding_text, updated_at).
 
-    Rows whose text is stored already are skipped. Each micro-batch goes to its own folder
-    and reads only older ones, so a replay gives the same result.
+    Of several rows of one id in a batch the newest by ``updated_at`` counts. Rows whose text is
+    stored already are skipped: only the stored rows of the batch's ids are looked at, before
+    anything is sorted. Each micro-batch goes to its own folder and reads only older ones, so a
+    replay gives the same result.
     """
     spark = packages.sparkSession
 
     def store(batch: DataFrame, batch_id: int) -> None:
         rows = batch.withColumn("text_hash", F.xxhash64("embedding_text"))
-        rows = dedupe_best(rows, ["id"], [F.col("text_hash").asc()])
+        rows = dedupe_best(rows, ["id"], [F.col("updated_at").desc_nulls_last(), F.col("text_hash").asc()])
         if batch_id > 0:
             old = spark.read.schema(SCHEMA).parquet(target).filter(F.col("batch_id") < batch_id)
-            known = dedupe_best(old, ["id"], [F.col("batch_id").desc()])
+            own = old.select("id", "text_hash", "batch_id").join(rows.select("id"), "id", "left_semi")
+            known = dedupe_best(own, ["id"], [F.col("batch_id").desc()])
             rows = rows.join(known.select("id", "text_hash"), ["id", "text_hash"], "left_anti")
         stored = rows.select("id", "name", "text_hash").join(embed(rows), "id")
         stored.select("id", "name", "text_hash", "embedding").write.mode("overwrite").parquet(

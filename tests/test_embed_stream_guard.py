@@ -69,10 +69,13 @@ def test_download_stream_equals_batch(spark, tmp_path):
     batch = read_download_json(spark.createDataFrame(first + second, schema)).distinct()
     assert total == sorted(map(tuple, monthly_downloads(batch).collect()))
     assert run() == total  # nothing new, nothing counted twice
+    # an older date in a later file counts, and a corrected number replaces the first
+    _write(spark, src, [("a", doc(("2023-01-05", 2), ("2024-01-01", 7)))], schema)
+    assert run() == [("a", "2023-01", 2), ("a", "2024-01", 13), ("a", "2024-02", 9), ("b", "2024-01", 1)]
 
 
 def test_vector_stream_skips_unchanged(spark, tmp_path):
-    schema = "id long, name string, embedding_text string"
+    schema = "id long, name string, embedding_text string, updated_at long"
     src, out = tmp_path / "in", str(tmp_path / "out")
 
     def run():
@@ -80,12 +83,14 @@ def test_vector_stream_skips_unchanged(spark, tmp_path):
         vectors.start_vectors(rows, out, str(tmp_path / "cp")).awaitTermination()
         return {r["id"]: r for r in vectors.current_vectors(spark, out).collect()}
 
-    _write(spark, src, [(1, "a", "x y"), (2, "b", "z")], schema)
+    _write(spark, src, [(1, "a", "x y", 1), (2, "b", "z", 1)], schema)
     before = run()
-    _write(spark, src, [(1, "a", "x y"), (2, "b", "changed"), (3, "c", "new")], schema)
+    _write(spark, src, [(1, "a", "x y", 2), (2, "b", "older", 2), (2, "b", "changed", 3), (3, "c", "new", 2)], schema)
     after = run()
     assert set(after) == {1, 2, 3} and after[1]["batch_id"] == before[1]["batch_id"]
     assert after[2]["batch_id"] > before[2]["batch_id"] and after[2]["embedding"] != before[2]["embedding"]
+    newest = vectors.plain_vectors(spark.createDataFrame([(2, "b", "changed", 3)], schema)).first()
+    assert after[2]["embedding"] == newest["embedding"]  # the newer of two versions in one batch
 
 
 TABLES = "t"
@@ -103,8 +108,14 @@ def tables(spark):
     "SELECT java_method('java.lang.System', 'exit', 0) FROM t", "CACHE TABLE t", "SHOW TABLES", "USE x",
     "SELECT missing FROM t", "SELECT reflect('a', 'b') FROM t",
     "FROM t INSERT INTO x SELECT *", "EXPLAIN SELECT * FROM t",
+    "SELECT * FROM secret WHERE 1 IN (WITH secret AS (SELECT 1 AS a) SELECT a FROM secret)",
+    "SELECT " + ", ".join(f"id AS c{i}" for i in range(40)) + ", reflect('java.lang.System', 'lineSeparator') FROM t",
+    "SELECT * FROM (SELECT * FROM nested)", "SELECT system.builtin.reflect('java.lang.System', 'lineSeparator') FROM t",
+    "SELECT (SELECT max(a) FROM secret) FROM t", "SELECT raise_error('x') FROM t",
 ])
 def test_guard_refuses(spark, tables, sql):
+    spark.createDataFrame([(1,)], "a long").createOrReplaceTempView("secret")
+    spark.sql("SELECT * FROM secret").createOrReplaceTempView("nested")
     with pytest.raises(GuardError):
         guarded_select(spark, sql, tables)
 
@@ -122,9 +133,11 @@ def test_guard_allows(spark, tables, sql, want):
 
 
 def test_guard_caps_and_stops(spark, tables):
-    assert guarded_select(spark, "SELECT * FROM t", tables, max_rows=4).count() == 4
+    cut = guarded_select(spark, "SELECT * FROM t", tables, max_rows=4).collect()
+    assert len(cut) == 4 and all(r["truncated"] for r in cut)
+    assert not any(r["truncated"] for r in guarded_select(spark, "SELECT * FROM t", tables, max_rows=10).collect())
     assert len(run_guarded(spark, "SELECT * FROM t", tables)) == 10
-    assert check_select(spark, "SELECT * FROM t a JOIN T b ON a.id = b.id", tables) == ["t"]
+    check_select(spark, "SELECT * FROM t a JOIN T b ON a.id = b.id", tables)
     slow = {"t": spark.range(0, 10**13, 1, 8)}
     with pytest.raises(TimeoutError):
         run_guarded(spark, "SELECT sum(sqrt(id)) FROM t", slow, timeout_s=2)
