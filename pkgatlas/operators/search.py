@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from pkgatlas import fixed
 from pkgatlas.functions import scoring
-from pkgatlas.functions.names import name_key
+from pkgatlas.functions.names import name_key, with_name_key
 from pkgatlas.functions.text import growth_intent, specific_domain
 from pkgatlas.operators.build import dedupe_best
+from pkgatlas.operators.lookup import Layers, first_non_empty
 from pkgatlas.operators.rank import top_growth
 from pkgatlas.operators.vector_search import vector_topk
 
@@ -81,27 +82,33 @@ def _grams(text: Column, size: int) -> Column:
     )
 
 
-def _gram_hits(packages: DataFrame, keywords: DataFrame, text_col: str) -> DataFrame:
+def _longest_literal(keyword: Column) -> Column:
+    """The longest part of a pattern that holds no wildcard; empty when there is none."""
+    return F.reduce(
+        F.split(keyword, "[%_]"), F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a)
+    )
+
+
+def _gram_hits(packages: DataFrame, keywords: DataFrame, text_col: str, wildcards: bool) -> DataFrame:
     """Substring join for many keywords without comparing every pair.
 
-    A text holding a keyword holds all its 3-grams. Each keyword is filed under the one
-    of its grams that fewest texts hold; texts meet it there and the match is verified.
-    Keywords of one or two characters are their own gram.
+    A text holding a keyword holds all 3-grams of its longest literal part. Each keyword is
+    filed under the one of these grams that fewest texts hold; names of texts meet it there, and
+    the texts themselves join once, to verify. Parts of one or two characters are their own
+    gram. Only names travel with the grams.
     """
     texts = packages.select(*_HIT_COLUMNS, F.lower(text_col).alias("_text"))
-    kw = keywords.withColumn("_kw", F.lower("keyword")).withColumn(
-        "_size", F.least(F.length("_kw"), F.lit(GRAM))
+    kw = keywords.withColumn("_kw", F.lower("keyword"))
+    kw = kw.withColumn("_part", _longest_literal(F.col("_kw")) if wildcards else F.col("_kw")).withColumn(
+        "_size", F.least(F.length("_part"), F.lit(GRAM))
     )
-    out = None
-    # at most GRAM rows: the lengths that occur
-    sizes = sorted(r[0] for r in kw.select("_size").distinct().collect())
-    for size in sizes:
+    candidates = None
+    for size in range(1, GRAM + 1):
         sized = kw.filter(F.col("_size") == size)
-        parts = sized.select("query_id", "_kw", F.explode(_grams(F.col("_kw"), size)).alias("gram"))
-        in_texts = texts.select("*", F.explode(_grams(F.col("_text"), size)).alias("gram"))
-        wanted = parts.select("gram").distinct()
+        parts = sized.select("query_id", "_kw", F.explode(_grams(F.col("_part"), size)).alias("gram"))
+        in_texts = texts.select("name_key", F.explode(_grams(F.col("_text"), size)).alias("gram"))
         spread = (
-            in_texts.select("gram").join(wanted, "gram", "left_semi")
+            in_texts.select("gram").join(parts.select("gram").distinct(), "gram", "left_semi")
             .groupBy("gram").agg(F.count("*").alias("texts"))
         )
         anchors = (
@@ -110,10 +117,26 @@ def _gram_hits(packages: DataFrame, keywords: DataFrame, text_col: str) -> DataF
             .agg(F.min(F.struct("texts", "gram")).alias("a"))
             .select("query_id", "_kw", F.col("a.gram").alias("gram"))
         )
-        hits = in_texts.join(anchors, "gram").filter(F.contains("_text", "_kw"))
-        hits = hits.select(*_HIT_COLUMNS, "query_id")
-        out = hits if out is None else out.unionByName(hits)
-    return out
+        met = in_texts.join(anchors, "gram").select("name_key", "query_id", "_kw")
+        candidates = met if candidates is None else candidates.unionByName(met)
+    holds = F.contains("_text", "_kw")
+    if wildcards:
+        pattern = F.concat(F.lit("%"), F.replace(F.col("_kw"), F.lit("\\"), F.lit("\\\\")), F.lit("%"))
+        holds = F.like(F.col("_text"), pattern)
+    found = candidates.distinct().join(texts, "name_key").filter(holds).select(*_HIT_COLUMNS, "query_id")
+    if not wildcards:
+        return found
+    # patterns of wildcards alone hold in every text that is long enough
+    lengths = F.length(F.replace(F.col("_kw"), F.lit("%"), F.lit("")))
+    bare = kw.filter(F.col("_size") == 0).select("query_id", lengths.alias("_least"))
+    steps = [r[0] for r in bare.select("_least").distinct().limit(MAX_LITERAL_KEYWORDS + 1).collect()]
+    if len(steps) > MAX_LITERAL_KEYWORDS:
+        raise ValueError("too many patterns without a letter")
+    long_enough = F.array_compact(F.array(*[F.when(F.length("_text") >= n, F.lit(n)) for n in steps]))
+    if not steps:
+        return found
+    reach = texts.select(*_HIT_COLUMNS, F.explode(long_enough).alias("_least"))
+    return found.unionByName(reach.join(bare, "_least").select(*_HIT_COLUMNS, "query_id"))
 
 
 def keyword_search(
@@ -126,28 +149,44 @@ def keyword_search(
 ) -> DataFrame:
     """Packages whose text holds the keyword, ignoring case; ``limit`` most used per keyword.
 
-    ``keywords`` is a list (query_id is then the position) or a frame (query_id, keyword).
-    A short list is tested in one pass over the texts; a long one goes through 3-grams.
-    The keyword is taken literally; ``wildcards=True`` lets % and _ match anything.
+    ``keywords`` is a list (query_id is then the position) or a frame (query_id, keyword); a row
+    told twice counts once. A short list is tested in one pass over the texts; a long one goes
+    through 3-grams, with the same result. The keyword is taken literally; ``wildcards=True``
+    lets % and _ match anything.
     """
     spark = packages.sparkSession
     if not isinstance(keywords, DataFrame):
-        rows = [(i, k) for i, k in enumerate(keywords) if k.strip()]
-        id_type = "int"
-        if len(rows) > max_literals and not wildcards:
-            keywords = spark.createDataFrame(rows, "query_id int, keyword string")
-    else:
-        keywords = keywords.select("query_id", "keyword").filter(F.trim("keyword") != "")
-        id_type = keywords.schema["query_id"].dataType.simpleString()
-        rows = [tuple(r) for r in keywords.limit(max_literals + 1).collect()]
-    if len(rows) <= max_literals or not isinstance(keywords, DataFrame):
-        if not rows:
-            hits = packages.select(*_HIT_COLUMNS).withColumn("query_id", F.lit(None).cast(id_type))
-            return _keyword_topk(hits.filter(F.lit(False)), limit)
+        keywords = spark.createDataFrame(
+            [(i, k) for i, k in enumerate(keywords)], "query_id int, keyword string"
+        )
+    keywords = keywords.select("query_id", "keyword").filter(F.trim("keyword") != "").distinct()
+    id_type = keywords.schema["query_id"].dataType.simpleString()
+    rows = [tuple(r) for r in keywords.limit(max_literals + 1).collect()]
+    if not rows:
+        hits = packages.select(*_HIT_COLUMNS).withColumn("query_id", F.lit(None).cast(id_type))
+        return _keyword_topk(hits.filter(F.lit(False)), limit)
+    if len(rows) <= max_literals:
         return _keyword_topk(_literal_hits(packages, rows, id_type, text_col, wildcards), limit)
-    if wildcards:
-        raise ValueError("wildcards need a short keyword list")
-    return _keyword_topk(_gram_hits(packages, keywords, text_col), limit)
+    return _keyword_topk(_gram_hits(packages, keywords, text_col, wildcards), limit)
+
+
+def keyword_search_layers(
+    layers: Layers, keywords: Sequence[str] | DataFrame, limit: int = 20, **options
+) -> DataFrame:
+    """Hits in the fresh packages; a keyword without any is searched in the historical ones."""
+    old = None
+    if layers.projects is not None:
+        old = keyword_search(
+            with_name_key(layers.projects, "name").select(
+                F.col("name").alias("package_name"), "name_key", F.col("dependents_count").alias("dependent_count"),
+                "stars", F.lit(None).cast("double").alias("growth_pct"), "description",
+            ),
+            keywords, limit, **options,
+        )
+    if layers.fresh is None:
+        return old
+    new = keyword_search(layers.fresh, keywords, limit, **options)
+    return new if old is None else first_non_empty(new, old, ["query_id"])
 
 
 def semantic_search(

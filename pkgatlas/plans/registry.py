@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pkgatlas import fixed
 from pkgatlas.functions import display, scoring
 from pkgatlas.functions.names import explode_name_list, normalize_name, parse_name_list, repo_parts, repository_link
+from pkgatlas.functions.text import preview
 from pkgatlas.operators import build, compare, embed, health, lookup, rank, search, trends
 from pkgatlas.operators.citations import check_citations, grounding
 from pkgatlas.operators.guard import guarded_select
@@ -431,6 +432,24 @@ def keyword_search(d: Domain) -> DataFrame:
     return search.keyword_search(d.packages(), _KEYWORDS)
 
 
+_LAYERED = ["red plate", "urgent project of customer 1", "%", "customer 7", "small"]
+_LAYER_SQL = f"""
+SELECT k.i::INTEGER - 1 AS query_id, p.name, p.name_key, p.dependents_count, p.stars, p.growth_pct,
+       row_number() OVER (PARTITION BY k.i ORDER BY p.dependents_count DESC NULLS LAST, p.name_key) AS rank
+FROM (SELECT unnest([{o.strings(_LAYERED)}]) AS kw, generate_subscripts([{o.strings(_LAYERED)}], 1) AS i) k
+JOIN {{table}} p ON contains(lower(p.description), lower(k.kw)) QUALIFY rank <= 20"""
+
+
+@query(f"""
+WITH new AS ({_LAYER_SQL.format(table="(SELECT package_name AS name, name_key, dependent_count AS dependents_count, stars, growth_pct, description FROM d_packages)")}),
+old AS ({_LAYER_SQL.format(table="(SELECT name, name_key, dependents_count, stars, NULL::DOUBLE AS growth_pct, description FROM d_projects)")})
+SELECT query_id, rank, name, name_key, dependents_count, stars, growth_pct FROM new
+UNION ALL SELECT query_id, rank, name, name_key, dependents_count, stars, growth_pct FROM old
+WHERE query_id NOT IN (SELECT query_id FROM new)""")
+def keyword_search_layers(d: Domain) -> DataFrame:
+    return search.keyword_search_layers(Layers(fresh=d.packages(), projects=d.projects()), _LAYERED)
+
+
 @query("""
 SELECT query_id, rank, name, name_key, dependents_count, stars, growth_pct FROM (
   SELECT k.label AS query_id, p.package_name AS name, p.name_key, p.dependent_count AS dependents_count, p.stars, p.growth_pct,
@@ -596,6 +615,37 @@ def release_summary(d: Domain) -> DataFrame:
     return trends.release_summary(rows)
 
 
+@query("SELECT package_name AS name, description, stars, forks, dependent_count AS dependents_count, repo AS repository_url FROM d_packages")
+def canonical_columns(d: Domain) -> DataFrame:
+    return build.canonical(d.packages())
+
+
+@query("SELECT * FROM (VALUES ('downloads', false), ('fresh', true), ('projects', true)) t(layer, present)")
+def layers_present(d: Domain) -> DataFrame:
+    """Bind tables by name; a missing one is no layer."""
+    views = {"fresh": d.packages(), "projects": d.projects()}
+    names = {k: f"layer_{k}_view" for k in ("downloads", *views)}
+    for k, df in views.items():
+        df.createOrReplaceTempView(names[k])
+    bound = Layers.from_catalog(d.spark, **names)
+    rows = [F.struct(F.lit(k).alias("layer"), F.lit(getattr(bound, k) is not None).alias("present")) for k in names]
+    return d.packages().limit(1).select(F.inline(F.array(*rows)))
+
+
+@query("SELECT doc_id, text[:500] AS preview FROM documents")
+def text_preview(d: Domain) -> DataFrame:
+    """The 500 characters that a result shows; the cut is the display's own."""
+    return d.table("documents").select("doc_id", preview(F.col("text"), 500).alias("preview"))
+
+
+@query("SELECT package_name AS name, stars FROM d_packages")
+def first_layer_with_rows(d: Domain) -> DataFrame:
+    """As a whole frame: an empty layer gives way to the next."""
+    columns = [F.col("name"), F.col("stars")]
+    none = d.projects().filter(F.col("name").isNull()).select(*columns)
+    return lookup.first_non_empty(none, d.packages().select(F.col("package_name").alias("name"), "stars"))
+
+
 # --- compare -----------------------------------------------------------------------------
 
 
@@ -912,9 +962,15 @@ def assign_ids_query(d: Domain) -> DataFrame:
     return assign_ids(d.metadata().select("name"), start)
 
 
-@query()
+@query("SELECT name, true AS same_for_any_case, 1::BIGINT AS names_of_id FROM d_metadata")
 def assign_hash_ids(d: Domain) -> DataFrame:
-    return assign_ids(d.metadata().select("name"))
+    """The ids are hashes; what must hold of them is checked: one per name, whatever its case."""
+    ids = assign_ids(d.metadata().select("name"))
+    again = assign_ids(d.metadata().select("name", F.upper("name").alias("_upper")), name_col="_upper")
+    names = ids.groupBy("id").agg(F.count_distinct(F.lower("name")).alias("names_of_id"))
+    return ids.join(again.select("name", F.col("id").alias("_again")), "name").join(names, "id").select(
+        "name", (F.col("id") == F.col("_again")).alias("same_for_any_case"), "names_of_id"
+    )
 
 
 _DIM = 32
