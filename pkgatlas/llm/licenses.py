@@ -93,14 +93,16 @@ class NoticeFinder:
                 else:
                     own.append([low, high])
         found = []
+        # the library allows no insertion where a search begins, so it begins at a space
+        padded = " " + line
         for n, own in windows.items():
             label, _, _, pattern = self.notices[n]
             for low, high in own:
-                # from the word's beginning, so that the edge of the window is not taken for one
-                low = line.rfind(" ", 0, low) + 1
-                high = line.find(" ", high) if " " in line[high:] else len(line)
-                for m in pattern.finditer(line, low, high):
-                    found.append((label, m.start(), m.end(), sum(m.fuzzy_counts)))
+                # to the ends of whole words, so that the window's edge is not taken for one
+                low = padded.rfind(" ", 0, low + 1)
+                high = padded.find(" ", high + 1)
+                for m in pattern.finditer(padded, low, len(padded) if high < 0 else high):
+                    found.append((label, m.start() - 1, m.end() - 1, sum(m.fuzzy_counts)))
         return sorted(set(found), key=lambda x: (x[1], x[0]))
 
 
