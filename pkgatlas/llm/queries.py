@@ -100,4 +100,6 @@ LLM_QUERIES = {
 
 LLM_ORACLES = {
     "op1_line_dedup": oracles.LINE_DEDUP,
+    "op7_secret_scan": oracles.secret_scan(),
+    "op9_quality_rules": oracles.quality_rules(),
 }
