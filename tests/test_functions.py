@@ -73,9 +73,11 @@ def test_names(value):
 
 
 def test_query_keys_and_words(value):
-    assert value(lambda v: text.query_key(v, F.lit("explore")), ["  A b  c ", "x" * 100]) == [
+    assert value(lambda v: text.query_key(v, F.lit("explore"), 80), ["  A b  c ", "x" * 100]) == [
         "a_b__c__explore", "x" * 80 + "__explore",
     ]
+    # the whole question unless the original's short key is asked for
+    assert value(lambda v: text.query_key(v, F.lit("explore")), ["x" * 100]) == ["x" * 100 + "__explore"]
     assert value(lambda v: F.array_sort(text.significant_words(v)), ["The best ORM orm a x for Django"]) == [
         ["django", "orm"]
     ]
