@@ -22,6 +22,7 @@ def one_decimal(value: Column) -> Column:
 
 def recency_text(days: Column, style: str = "table") -> Column:
     """Age of the last release; styles ``table``, ``comparison`` and ``deep_dive``."""
+    # FIXED VALUES: bands and labels of the three views
     if style == "table":
         return (
             F.when(days <= 7, "This week")

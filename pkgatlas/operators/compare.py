@@ -198,6 +198,7 @@ def metric_status(stats: DataFrame) -> DataFrame:
             value.alias("value"), status.alias("status"),
         )
 
+    # FIXED VALUES: labels of the view
     metrics = F.array(
         metric(
             0, "Total Versions", F.concat(F.coalesce(versions, F.lit(0)), F.lit(" releases")),

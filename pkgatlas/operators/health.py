@@ -16,6 +16,7 @@ from pkgatlas.operators.lookup import (
     Layers,
     dependencies,
     dependents_count,
+    edge_counts,
     health_metrics,
     restrict,
     reverse_dependencies,
@@ -122,6 +123,7 @@ def package_detail(
     """Statistics with the first dependencies and reverse dependencies as arrays.
 
     The arrays hold at most ``limit`` items: the cut is made before they are collected.
+    ``..._shown`` counts these, ``..._total`` all edges there are.
     """
     stats = package_stats(layers, names, as_of, **options)
 
@@ -140,6 +142,7 @@ def package_detail(
             {
                 "dependencies": empty, "dependencies_shown": F.lit(0).cast("long"),
                 "reverse_dependencies": empty, "reverse_dependencies_shown": F.lit(0).cast("long"),
+                "dependencies_total": F.lit(0).cast("long"), "reverse_dependencies_total": F.lit(0).cast("long"),
             }
         )
     forward = listed(dependencies(layers.deps, names, limit), "dependency_name", "dependencies")
@@ -147,9 +150,15 @@ def package_detail(
         reverse_dependencies(layers.deps, names, limit), "project_name", "reverse_dependencies"
     )
     none = F.array().cast("array<string>")
+
+    def total(on: str, alias: str) -> DataFrame:
+        return restrict(edge_counts(layers.deps, on), names).withColumnRenamed("edge_count", alias)
+
     return (
         stats.join(forward, "name", "left")
         .join(backward, "name", "left")
+        .join(total("project_name", "dependencies_total"), "name_key", "left")
+        .join(total("dependency_name", "reverse_dependencies_total"), "name_key", "left")
         .withColumns(
             {
                 c: F.coalesce(c, none) for c in ("dependencies", "reverse_dependencies")
@@ -158,7 +167,10 @@ def package_detail(
         .withColumns(
             {
                 c: F.coalesce(c, F.lit(0).cast("long"))
-                for c in ("dependencies_shown", "reverse_dependencies_shown")
+                for c in (
+                    "dependencies_shown", "reverse_dependencies_shown",
+                    "dependencies_total", "reverse_dependencies_total",
+                )
             }
         )
     )

@@ -93,11 +93,9 @@ def version_counts(versions: DataFrame) -> DataFrame:
     )
 
 
-def edge_counts(edges: DataFrame) -> DataFrame:
-    """Edge rows per dependency. Counted before any join, so a hot key is cut map-side."""
-    return edges.groupBy(name_key(F.col("dependency_name")).alias("name_key")).agg(
-        F.count("*").alias("edge_count")
-    )
+def edge_counts(edges: DataFrame, on: str = "dependency_name") -> DataFrame:
+    """Edge rows per dependency (or project). Counted before any join, so a hot key is cut map-side."""
+    return edges.groupBy(name_key(F.col(on)).alias("name_key")).agg(F.count("*").alias("edge_count"))
 
 
 def dependents_count(layers: Layers, names: DataFrame) -> DataFrame:

@@ -102,6 +102,7 @@ def query_key(expr: str) -> str:
     return f"replace(lower(trim({expr}, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))), ' ', '_')"
 
 
+# FIXED VALUES: the patterns of functions/readme.py again, in this dialect.
 _install = r"^\s*(?:\$\s*)?(?:python\s+-m\s+)?pip\s+install\s+\S+\s*$"
 
 

@@ -310,14 +310,16 @@ def health_check(d: Domain) -> DataFrame:
 
 
 def _listed_sql(on: str, other: str) -> str:
-    return f"""(SELECT lower({on}) AS name_key, string_agg({other}, ',' ORDER BY pos) AS items, count(*) AS shown FROM (
+    return f"""(SELECT lower({on}) AS name_key, string_agg({other}, ',' ORDER BY pos) FILTER (pos <= 20) AS items, count(*) FILTER (pos <= 20) AS shown,
+             count(*) AS total FROM (
       SELECT *, row_number() OVER (PARTITION BY lower({on}) ORDER BY {other}, dependency_kind, dependency_requirements) AS pos
-      FROM d_deps QUALIFY pos <= 20) GROUP BY 1)"""
+      FROM d_deps) GROUP BY 1)"""
 
 
 @query(f"""
 SELECT s.name, s.health_score, s.error, coalesce(f.items, '') AS dependencies, coalesce(f.shown, 0) AS dependencies_shown,
-       coalesce(b.items, '') AS reverse_dependencies, coalesce(b.shown, 0) AS reverse_dependencies_shown
+       coalesce(b.items, '') AS reverse_dependencies, coalesce(b.shown, 0) AS reverse_dependencies_shown,
+       coalesce(f.total, 0) AS dependencies_total, coalesce(b.total, 0) AS reverse_dependencies_total
 FROM d_stats s LEFT JOIN {_listed_sql('project_name', 'dependency_name')} f USING (name_key)
 LEFT JOIN {_listed_sql('dependency_name', 'project_name')} b USING (name_key)""")
 def package_detail(d: Domain) -> DataFrame:
@@ -325,7 +327,7 @@ def package_detail(d: Domain) -> DataFrame:
         "name", "health_score", "error",
         F.array_join("dependencies", ",").alias("dependencies"), "dependencies_shown",
         F.array_join("reverse_dependencies", ",").alias("reverse_dependencies"),
-        "reverse_dependencies_shown",
+        "reverse_dependencies_shown", "dependencies_total", "reverse_dependencies_total",
     )
 
 
