@@ -204,3 +204,72 @@ def test_matching_is_exact(spark, seed):
     )
     rows = {r["query_id"]: (r["known_id"], r["match"], r["shared_words"]) for r in got.collect()}
     assert rows == brute_match(new, known)
+
+
+@pytest.mark.parametrize("literals", [128, 0])
+def test_many_wildcards_and_repeated_rows(packages, spark, literals):
+    """A frame gives the same whatever its size: repeated rows once, patterns without a letter too."""
+    import re
+
+    df, rows = packages
+    patterns = ["w_b%io", "%", "__", "da%a", "5__ %", "ro_t", "\\n_"]
+    asked = [(i, p) for i, p in enumerate(patterns)] * 2
+    got = search.keyword_search(
+        df, spark.createDataFrame(asked, "query_id int, keyword string"), 500, wildcards=True, max_literals=literals
+    )
+    want = {
+        (i, r[0]) for i, p in enumerate(patterns) for r in rows
+        if r[2] is not None and re.search("".join({"%": ".*", "_": "."}.get(c, re.escape(c)) for c in p.lower()), r[2].lower(), re.S)
+    }
+    found = [(r["query_id"], r["name"]) for r in got.collect()]
+    assert len(found) == len(set(found)) and set(found) == want
+
+
+def test_keyword_without_hits_falls_to_the_old_layer(packages, spark):
+    from pkgatlas.operators.lookup import Layers
+
+    df, _ = packages
+    old = spark.createDataFrame(
+        [("Old", "web and olden things", 3, 4), ("Older", "olden", 1, 9)],
+        "name string, description string, stars long, dependents_count long",
+    )
+    got = search.keyword_search_layers(Layers(fresh=df, projects=old), ["web", "olden"], 5).collect()
+    assert {r["name"] for r in got if r["query_id"] == 1} == {"Old", "Older"}
+    assert "Old" not in {r["name"] for r in got if r["query_id"] == 0}
+
+
+def test_qualified_but_far_package_is_found(spark):
+    """The 20 nearest are little used; the two that qualify are further away."""
+    rows = [(i, [1.0, 0.001 * i], f"p{i}", 1, 1 if i < 30 else 500, 0.0) for i in range(35)]
+    corpus = spark.createDataFrame(
+        rows, "id long, embedding array<float>, name string, stars long, dependent_count long, growth_pct double"
+    )
+    query = spark.createDataFrame([(0, [1.0, 0.0])], "query_id int, embedding array<float>")
+    got = search.semantic_search(corpus, query, limit=2).orderBy("rank").collect()
+    assert [r["name"] for r in got] == ["p30", "p31"]
+
+
+def test_long_questions_differ_after_80_characters(spark):
+    start = "word " * 20
+    known = spark.createDataFrame([(1, start + "alpha beta", "explore")], "query_id long, query string, mode string")
+    new = spark.createDataFrame([(2, start + "gamma delta", "explore"), (3, start + "Alpha beta", "explore")], known.schema)
+    got = {r["query_id"]: r["match"] for r in match_queries(new, known).collect()}
+    assert got[2] is None and got[3] == "exact"
+
+
+def test_scores_are_cut_before_payload(monkeypatch):
+    """Many rows times many queries in small steps: k rows a query, whatever the step."""
+    import pyarrow as pa
+
+    from pkgatlas.operators import vector_search
+
+    rng = np.random.default_rng(0)
+    vectors, queries = rng.normal(size=(3000, 8)), rng.normal(size=(50, 8))
+    results = []
+    for step in (10**7, 5000):
+        monkeypatch.setattr(vector_search, "STEP_SCORES", step)
+        top = vector_search._RunningTopK(queries, 4, -1.0)
+        top.add(pa.table({"name": [str(i) for i in range(3000)]}), np.arange(3000), vectors)
+        assert top.rows.num_rows == 200
+        results.append(sorted(zip(top.query.tolist(), top.id.tolist(), top.rows.column("name").to_pylist())))
+    assert results[0] == results[1] and all(str(i) == n for _, i, n in results[0])

@@ -118,3 +118,11 @@ def test_work_folder(spark, monkeypatch):
     assert session.shared_dir(spark) == named
     a, b = session.new_work_path(spark, "x"), session.new_work_path(spark, "x")
     assert a != b and a.startswith(session.shared_dir(spark).rstrip("/"))
+
+
+def test_quoted_quotes_and_breaks_are_kept(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('a,b\n1,"says ""hi"", twice"\n2,"two\nlines"\nx,bad\n3,plain\n')
+    schema = "a long, b string"
+    got = {r["a"]: r["b"] for r in files.read_csv(spark, str(tmp_path), schema).collect()}
+    assert got == {1: 'says "hi", twice', 2: "two\nlines", 3: "plain"}
+    assert [r["record"] for r in files.rejected_csv(spark, str(tmp_path), schema).collect()] == ["x,bad"]
