@@ -102,8 +102,9 @@ def _gram_hits(packages: DataFrame, keywords: DataFrame, text_col: str, wildcard
     kw = kw.withColumn("_part", _longest_literal(F.col("_kw")) if wildcards else F.col("_kw")).withColumn(
         "_size", F.least(F.length("_part"), F.lit(GRAM))
     )
-    candidates = None
-    for size in range(1, GRAM + 1):
+    candidates = keywords.select(F.lit(None).cast("string").alias("name_key"), "query_id", F.col("keyword").alias("_kw")).limit(0)
+    # at most GRAM rows: the lengths that occur
+    for size in sorted(r[0] for r in kw.filter("_size > 0").select("_size").distinct().collect()):
         sized = kw.filter(F.col("_size") == size)
         parts = sized.select("query_id", "_kw", F.explode(_grams(F.col("_part"), size)).alias("gram"))
         in_texts = texts.select("name_key", F.explode(_grams(F.col("_text"), size)).alias("gram"))
@@ -118,7 +119,7 @@ def _gram_hits(packages: DataFrame, keywords: DataFrame, text_col: str, wildcard
             .select("query_id", "_kw", F.col("a.gram").alias("gram"))
         )
         met = in_texts.join(anchors, "gram").select("name_key", "query_id", "_kw")
-        candidates = met if candidates is None else candidates.unionByName(met)
+        candidates = candidates.unionByName(met)
     holds = F.contains("_text", "_kw")
     if wildcards:
         pattern = F.concat(F.lit("%"), F.replace(F.col("_kw"), F.lit("\\"), F.lit("\\\\")), F.lit("%"))

@@ -60,5 +60,5 @@ def test_no_collect_of_data_in_library_code():
     }
     # bounded request batches, gram sizes, and the caller's own guarded result
     assert {k: v for k, v in found.items() if v} == {
-        "operators/search.py": 2, "operators/vector_search.py": 1, "operators/guard.py": 1,
+        "operators/search.py": 3, "operators/vector_search.py": 1, "operators/guard.py": 1,
     }
