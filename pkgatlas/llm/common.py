@@ -113,7 +113,38 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     )
 
 
+def place(id_col: str, text_col: str) -> list[Column]:
+    """(none, at, mark): what tells rows apart and orders them; the id, nulls last, then the text's hash."""
+    key = F.col(id_col).cast("long")
+    return [
+        key.isNull().alias("none"), F.coalesce(key, F.lit(0)).alias("at"),
+        F.xxhash64(text_or_empty(F.col(text_col))).alias("mark"),
+    ]
+
+
+def keep_first(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with the first row of each class, once. ``members``: the rows' places and ``class``."""
+    order = ["none", "at", "mark"]
+    ends = (
+        members.groupBy("class").agg(F.min(F.struct(*order)).alias("lo"), F.max(F.struct(*order)).alias("hi"))
+        .filter("lo <> hi").select("class", "lo")
+    )
+    named = [F.col(c).alias(f"__{c}") for c in order]
+    keys = [f"__{c}" for c in order]
+    # only rows that go are looked up
+    gone = members.join(ends, "class").filter(F.struct(*order) != F.col("lo")).select(*named).distinct()
+    marked = docs.withColumns(dict(zip(keys, place(id_col, text_col))))
+    kept = marked.join(gone, keys, "left_anti")
+    same, _ = store(marked.groupBy(*keys).count().filter("count > 1").select(*keys), "same-rows")
+    if same.isEmpty():
+        return kept.select(*docs.columns)
+    whole = F.struct(*[F.col(c) for c in docs.columns])
+    repeated, _ = store(kept.join(same, keys, "left_semi"), "repeated")
+    first = repeated.groupBy(*keys).agg(F.min_by(whole, F.to_json(whole)).alias("__row"))
+    return kept.join(same, keys, "left_anti").select(*docs.columns).unionByName(first.select("__row.*"))
+
+
 __all__ = [
-    "LOWER", "UPPER", "WHITE", "WHITE_CLASS", "WORD_CLASS", "components", "discard",
-    "materialize", "new_work_path", "running_total", "store", "text_or_empty", "words_of",
+    "LOWER", "UPPER", "WHITE", "WHITE_CLASS", "WORD_CLASS", "components", "discard", "keep_first",
+    "materialize", "new_work_path", "place", "running_total", "store", "text_or_empty", "words_of",
 ]

@@ -20,21 +20,26 @@ RADIUS = 3
 TILE_ROWS = 512
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """Bit i is set when over half of the shingles' XXH64 hashes have it set."""
+def shingle_hashes(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """XXH64 hashes of the shingles in their order; a text shorter than a shingle is one."""
     words = text.lower().split()  # of bytes: A-Z, and the six ASCII white space characters
     if not words:
-        return 0
+        return np.empty(0, "<u8")
     line = b" ".join(words)
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(line, seed)
+        return np.array([xxhash.xxh64_intdigest(line, seed)], dtype="<u8")
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths)[: len(words) - shingle + 1].tolist()
-    hashes = np.array(
+    return np.array(
         [xxhash.xxh64_intdigest(line[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :].tolist())],
         dtype="<u8",
     )
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """Bit i is set when over half of the shingles' XXH64 hashes have it set."""
+    hashes = shingle_hashes(text, shingle, seed)
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         some = hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8)
