@@ -1,22 +1,29 @@
 """Match new questions to known ones: exact key first, then most shared words.
 
-A pair of questions must share at least four significant words. Any such pair also shares
-its two rarest common words, and both of these lie among the first ``n - 2`` words of each
-question when words are put in one global order, rarest first. So the join key is a pair
-of words from that prefix: frequent words hardly ever form a key, nothing is lost, and
-each matching pair meets exactly once. Word sets that are equal, or differ only in words
-the other side never uses, are folded before the join, so a mass of copies costs one row.
+A question that finds its key needs no words, so words are only held against questions of
+another key. Each text is sent once for each block of the other side, as its word hashes, and a
+pair of blocks counts shared words through the lists of texts that hold a word. Only the best
+known question of a block leaves a task, so neither long texts nor frequent words make rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pkgatlas import fixed
 from pkgatlas.functions.text import query_part, significant_words
+from pkgatlas.session import materialize
+
+#: New texts, and known ones, in a block; fewer known ones are cut into up to SPREAD blocks.
+NEW_BLOCK, BLOCK = 65_536, 16_384
+SPREAD, LEAST_BLOCK = 12, 512
+#: Word hits that are counted at once.
+HITS = 1 << 22
 
 
 def _keyed(df: DataFrame, stop_words: Sequence[str], max_chars: int | None) -> DataFrame:
@@ -34,35 +41,76 @@ def _keyed(df: DataFrame, stop_words: Sequence[str], max_chars: int | None) -> D
     )
 
 
-def _ranked(sets: DataFrame, vocabulary: DataFrame, min_shared: int) -> DataFrame:
-    """Word sets cut to the shared vocabulary and put in rarest-first order as ``ranked``.
-
-    A word only one side uses can never be shared, so sets that differ in such words
-    become equal here.
-    """
-    keep = sets.columns
-    words = sets.select(*keep, F.explode("words").alias("word"))
-    return (
-        words.join(vocabulary, ["mode", "word"])
-        .groupBy(*keep)
-        .agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("r"))
-        .filter(F.size("r") >= min_shared)
-        .select(*keep, F.col("r.word").alias("ranked"))
-    )
-
-
-def _prefix_pairs(ranked: DataFrame, min_shared: int) -> DataFrame:
-    """One row per pair of words in the prefix of each ranked set."""
-    prefix = F.slice("ranked", F.lit(1), F.size("ranked") - (min_shared - 2))
-    pairs = F.flatten(
-        F.transform(
-            prefix,
-            lambda a, i: F.transform(
-                F.slice(prefix, i + 2, F.size(prefix)), lambda b: F.concat_ws(" ", a, b)
-            ),
-        )
-    )
-    return ranked.select("*", F.explode(pairs).alias("pair"))
+def _pack(_key: tuple, table: pa.Table) -> pa.Table:
+    """One block's texts in the order of their keys: numbers, word counts and word hashes as bytes."""
+    keys = [k.encode() for k in table.column("key").to_pylist()]
+    table = table.take(pa.array(sorted(range(len(keys)), key=keys.__getitem__), pa.int64()))
+    words = table.column("hashes").combine_chunks()
+    columns = {
+        "no": table.column("no").to_numpy(), "own": table.column("own").to_numpy(),
+        "sizes": words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64),
+        "hashes": words.flatten().to_numpy(zero_copy_only=False),
+    }
+    return pa.table({
+        "block": pa.array([table.column("block")[0].as_py()], pa.int32()),
+        **{k: pa.array([np.ascontiguousarray(v, np.int64).tobytes()], pa.binary()) for k, v in columns.items()},
+    })
+
+
+def _packed(sets: DataFrame, blocks: int) -> DataFrame:
+    return sets.select(
+        F.pmod(F.xxhash64("mode", "key"), F.lit(blocks)).cast("int").alias("block"), "key", "no",
+        F.coalesce("own", F.lit(-1)).cast("long").alias("own"),
+        F.transform("words", lambda w: F.xxhash64("mode", w)).alias("hashes"),
+    ).groupBy("block").applyInArrow(_pack, "block int, no binary, own binary, sizes binary, hashes binary")
+
+
+def _count(min_shared: int) -> Callable:
+    """For each new text of a block its best text in a known block, the smallest key among equals."""
+
+    def run(_key: tuple, new: pa.Table, known: pa.Table) -> pa.Table:
+        def column(table: pa.Table, name: str) -> np.ndarray:
+            return np.frombuffer(table.column(name)[0].as_py(), np.int64)
+
+        out = []
+        if new.num_rows and known.num_rows:
+            numbers, asked = column(known, "no"), column(new, "no")
+            n = len(numbers)
+            hashes = column(known, "hashes")
+            holder = np.repeat(np.arange(n), column(known, "sizes"))[order := np.argsort(hashes, kind="stable")]
+            words, starts, lengths = np.unique(hashes[order], return_index=True, return_counts=True)
+            # the new texts' words that occur here, with their lists
+            sizes, hashes = column(new, "sizes"), column(new, "hashes")
+            at = np.minimum(np.searchsorted(words, hashes), max(len(words) - 1, 0))
+            found = words[at] == hashes if len(words) else np.zeros(len(hashes), bool)
+            owner = np.repeat(np.arange(len(asked)), sizes)[found]
+            at = at[found]
+            hits = np.bincount(owner, lengths[at], len(asked)).cumsum()
+            first = np.searchsorted(owner, np.arange(len(asked) + 1))
+            place = {x: i for i, x in enumerate(numbers.tolist())}
+            own = np.array([place.get(x, -1) for x in column(new, "own").tolist()], np.int64)
+            a = 0
+            while a < len(asked):
+                done = hits[a - 1] if a else 0
+                b = max(a + 1, min(int(np.searchsorted(hits, done + HITS, "right")), a + max(1, HITS // n)))
+                some = slice(first[a], first[b])
+                count = lengths[at[some]]
+                ends = count.cumsum()
+                inside = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - count, count)
+                texts = holder[np.repeat(starts[at[some]], count) + inside]
+                shared = np.bincount(np.repeat(owner[some] - a, count) * n + texts, minlength=(b - a) * n)
+                shared = shared.reshape(b - a, n)
+                same = np.nonzero(own[a:b] >= 0)[0]
+                shared[same, own[a:b][same]] = 0
+                best = shared.argmax(axis=1)
+                most = shared[np.arange(b - a), best]
+                enough = most >= min_shared
+                out.append((asked[a:b][enough], numbers[best[enough]], most[enough]))
+                a = b
+        columns = [np.concatenate([o[i] for o in out]) if out else np.empty(0, np.int64) for i in range(3)]
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["new_no", "known_no", "shared"])
+
+    return run
 
 
 def match_queries(
@@ -72,74 +120,61 @@ def match_queries(
     min_shared: int = fixed.MATCH_MIN_SHARED,
     stop_words: Sequence[str] = fixed.STOP_WORDS,
     max_chars: int | None = None,
+    exclude_self: bool = False,
 ) -> DataFrame:
     """Best known question for every new one (both ``query_id, query, mode``).
 
     ``match`` is ``exact``, ``fuzzy`` or null. Ties go to the smaller known key. Words come
-    from the whole question, or from its key of ``max_chars``.
+    from the whole question, or from its key of ``max_chars``. ``exclude_self``: a known row
+    with the new row's own query_id is not looked at.
     """
     if min_shared < 2:
         raise ValueError("min_shared must be at least 2")
-    asked = _keyed(new, stop_words, max_chars)
-    stored = (
-        _keyed(known, stop_words, max_chars)
-        .groupBy("mode", "key", "words")
-        .agg(F.min("query_id").alias("known_id"))
-    )
+    asked = materialize(_keyed(new, stop_words, max_chars), "asked")
+    told = materialize(_keyed(known, stop_words, max_chars), "known")
+    groups = told.groupBy("mode", "key", "words").agg(F.min("query_id").alias("known_id"))
+    stored = materialize(groups.withColumn("no", F.monotonically_increasing_id()), "known-keys")
     exact = stored.select("mode", "key", F.col("known_id").alias("exact_id"))
-
-    known_sets = (
-        stored.filter(F.size("words") >= min_shared)
-        .groupBy("mode", "words")
-        .agg(F.min(F.struct("key", "known_id")).alias("k"))
-    )
-    new_sets = (
-        asked.filter(F.size("words") >= max(min_words, min_shared)).select("mode", "words").distinct()
-    )
-    vocabulary = (
-        known_sets.select("mode", F.explode("words").alias("word"))
-        .groupBy("mode", "word")
-        .agg(F.count("*").alias("n"))
-        .join(
-            new_sets.select("mode", F.explode("words").alias("word")).distinct(),
-            ["mode", "word"], "left_semi",
+    if exclude_self:
+        second = (
+            told.select("mode", "key", "query_id").join(exact, ["mode", "key"])
+            .filter(F.col("query_id") > F.col("exact_id"))
+            .groupBy("mode", "key").agg(F.min("query_id").alias("second_id"))
         )
+        exact = exact.join(second, ["mode", "key"], "left")
+        exact_id = F.when(F.col("exact_id") == F.col("query_id"), F.col("second_id")).otherwise(F.col("exact_id"))
+    else:
+        exact_id = F.col("exact_id")
+
+    known_sets = stored.filter(F.size("words") >= min_shared)
+    new_sets = materialize(
+        asked.filter(F.size("words") >= max(min_words, min_shared)).select("mode", "key", "words").distinct()
+        .join(stored.select("mode", "key", F.col("no").alias("own")), ["mode", "key"], "left")
+        .withColumn("no", F.monotonically_increasing_id()),
+        "new-keys",
     )
-    new_ranked = _ranked(new_sets, vocabulary, min_shared)
-    known_ranked = (
-        _ranked(known_sets, vocabulary, min_shared).groupBy("mode", "ranked").agg(F.min("k").alias("k"))
-    )
-    left = _prefix_pairs(new_ranked.select("mode", "ranked").distinct(), min_shared).alias("a")
-    right = _prefix_pairs(known_ranked, min_shared).alias("b")
-    shared = F.array_intersect("a.ranked", "b.ranked")
-    first_pair = F.array_join(F.slice(shared, 1, 2), " ")
-    hits = left.join(
-        right,
-        (F.col("a.mode") == F.col("b.mode"))
-        & (F.col("a.pair") == F.col("b.pair"))
-        & (F.size(shared) >= min_shared)
-        & (first_pair == F.col("a.pair")),
-    )
+    new_blocks = max(-(-new_sets.count() // NEW_BLOCK), 1)
+    n = known_sets.count()
+    known_blocks = max(-(-n // BLOCK), min(SPREAD, -(-n // LEAST_BLOCK)), 1)
+    # a block is one row; it is sent once for each block of the other side
+    left = _packed(new_sets, new_blocks).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.lit(known_blocks - 1)))
+    ).groupBy(F.col("block").alias("a"), F.col("other").alias("b"))
+    right = _packed(known_sets.withColumn("own", F.lit(-1)), known_blocks).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.lit(new_blocks - 1)))
+    ).groupBy(F.col("other").alias("a"), F.col("block").alias("b"))
+    hits = left.cogroup(right).applyInArrow(_count(min_shared), "new_no long, known_no long, shared long")
     best = (
-        hits.groupBy(F.col("a.mode").alias("mode"), F.col("a.ranked").alias("ranked"))
-        .agg(
-            F.min(
-                F.struct(
-                    (-F.size(shared)).cast("long").alias("neg"),
-                    F.col("b.k.key").alias("key"),
-                    F.col("b.k.known_id").alias("known_id"),
-                )
-            ).alias("m")
-        )
-        .join(new_ranked, ["mode", "ranked"])
-        .select(
-            "mode", "words", F.col("m.known_id").alias("fuzzy_id"),
-            (-F.col("m.neg")).alias("shared"),
-        )
+        hits.join(stored.select(F.col("no").alias("known_no"), F.col("key").alias("k"), "known_id"), "known_no")
+        .groupBy("new_no")
+        .agg(F.min(F.struct((-F.col("shared")).alias("neg"), F.col("k"), "known_id")).alias("m"))
+        .join(new_sets.select(F.col("no").alias("new_no"), "mode", "key"), "new_no")
+        .select("mode", "key", F.col("m.known_id").alias("fuzzy_id"), (-F.col("m.neg")).alias("shared"))
     )
     return (
         asked.join(exact, ["mode", "key"], "left")
-        .join(best, ["mode", "words"], "left")
+        .withColumn("exact_id", exact_id)
+        .join(best, ["mode", "key"], "left")
         .select(
             "query_id",
             F.coalesce("exact_id", "fuzzy_id").alias("known_id"),

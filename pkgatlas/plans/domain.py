@@ -275,10 +275,10 @@ class Domain:
 
     # questions
     def asked_questions(self) -> DataFrame:
-        return self._questions((F.col("role") == "user") & (F.col("turn") > 0))
+        return self._questions(F.col("role") == "user")
 
     def known_questions(self) -> DataFrame:
-        return self._questions((F.col("role") == "user") & (F.col("turn") == 0))
+        return self._questions(F.lit(True))
 
     def _questions(self, wanted: Column) -> DataFrame:
         return self.table("conversations").filter(wanted).select(

@@ -364,12 +364,12 @@ JOIN d_intent i USING (query_id)
 LEFT JOIN d_latest l ON lower(l.package_name) = s.name_key"""
 CTES["d_new_q"] = f"""
 SELECT conv_id * 1000 + turn AS query_id, CASE WHEN contains(text, '?') THEN 'compare' ELSE 'explore' END AS mode,
-       {query_key('text')} AS key FROM conversations WHERE role = 'user' AND turn > 0"""
+       {query_key('text')} AS key FROM conversations WHERE role = 'user'"""
 CTES["d_known_q"] = f"""
-SELECT min(query_id) AS query_id, mode, key FROM (
+SELECT min(query_id) AS query_id, list_sort(list(query_id))[2] AS second_id, mode, key FROM (
   SELECT conv_id * 1000 + turn AS query_id, CASE WHEN contains(text, '?') THEN 'compare' ELSE 'explore' END AS mode,
          {query_key('text')} AS key
-  FROM conversations WHERE role = 'user' AND turn = 0) GROUP BY mode, key"""
+  FROM conversations) GROUP BY mode, key"""
 
 
 def sql(body: str) -> str:

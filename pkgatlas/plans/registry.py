@@ -504,17 +504,18 @@ def hybrid_search(d: Domain) -> DataFrame:
 @query(f"""
 WITH n AS (SELECT *, {o.words("replace(key, '_', ' ')")} AS words FROM d_new_q),
 k AS (SELECT *, {o.words("replace(key, '_', ' ')")} AS words FROM d_known_q),
-nw AS (SELECT query_id, mode, unnest(words) AS w FROM n WHERE len(words) >= 3),
+nw AS (SELECT query_id, mode, key, unnest(words) AS w FROM n WHERE len(words) >= 3),
 kw AS (SELECT query_id, mode, key, unnest(words) AS w FROM k),
 hits AS (SELECT nw.query_id, kw.query_id AS known_id, any_value(kw.key) AS key, count(*) AS shared
-         FROM nw JOIN kw USING (mode, w) GROUP BY 1, 2 HAVING count(*) >= 4),
-best AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, key, known_id) = 1)
-SELECT n.query_id, coalesce(e.query_id, b.known_id) AS known_id,
-       CASE WHEN e.query_id IS NOT NULL THEN 'exact' WHEN b.known_id IS NOT NULL THEN 'fuzzy' END AS match,
-       CASE WHEN e.query_id IS NULL THEN b.shared END AS shared_words
-FROM n LEFT JOIN k e ON n.key = e.key AND n.mode = e.mode LEFT JOIN best b ON b.query_id = n.query_id""")
+         FROM nw JOIN kw USING (mode, w) WHERE nw.key <> kw.key GROUP BY 1, 2 HAVING count(*) >= 4),
+best AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, key, known_id) = 1),
+e AS (SELECT n.query_id, CASE WHEN k.query_id = n.query_id THEN k.second_id ELSE k.query_id END AS known_id FROM n JOIN k USING (mode, key))
+SELECT n.query_id, coalesce(e.known_id, b.known_id) AS known_id,
+       CASE WHEN e.known_id IS NOT NULL THEN 'exact' WHEN b.known_id IS NOT NULL THEN 'fuzzy' END AS match,
+       CASE WHEN e.known_id IS NULL THEN b.shared END AS shared_words
+FROM n LEFT JOIN e ON n.query_id = e.query_id LEFT JOIN best b ON b.query_id = n.query_id""")
 def match_queries_query(d: Domain) -> DataFrame:
-    return match_queries(d.asked_questions(), d.known_questions())
+    return match_queries(d.asked_questions(), d.known_questions(), exclude_self=True)
 
 
 @query(f"""

@@ -257,6 +257,39 @@ def test_long_questions_differ_after_80_characters(spark):
     assert got[2] is None and got[3] == "exact"
 
 
+def test_a_question_is_not_its_own_match(spark):
+    turns = spark.createDataFrame(
+        [(1, "alpha beta gamma delta one", "a"), (2, "alpha beta gamma delta two", "a"), (3, "same text here again", "a"),
+         (4, "same text here again", "a"), (5, "nothing else shares words", "a")],
+        "query_id long, query string, mode string",
+    )
+    got = {r["query_id"]: tuple(r)[1:] for r in match_queries(turns, turns, exclude_self=True).collect()}
+    assert got == {
+        1: (2, "fuzzy", 4), 2: (1, "fuzzy", 4), 3: (4, "exact", None), 4: (3, "exact", None), 5: (None, None, None),
+    }
+
+
+def test_every_user_turn_is_asked_of_every_turn(spark, sf_dir):
+    from pkgatlas.plans.domain import Domain
+
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    d = Domain(spark, sf_dir)
+    assert d.asked_questions().count() == turns.filter("role = 'user'").count()
+    assert d.known_questions().count() == turns.count()
+
+
+def test_blocks_do_not_change_matches(spark, monkeypatch):
+    from pkgatlas.operators import matching
+
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choices([f"w{j}" for j in range(30)], k=rng.randint(1, 40))), "a") for i in range(150)]
+    df = spark.createDataFrame(rows, "query_id long, query string, mode string")
+    want = sorted(map(tuple, match_queries(df, df, exclude_self=True).collect()))
+    monkeypatch.setattr(matching, "NEW_BLOCK", 40)
+    monkeypatch.setattr(matching, "BLOCK", 9)
+    assert sorted(map(tuple, match_queries(df, df, exclude_self=True).collect())) == want
+
+
 def test_scores_are_cut_before_payload(monkeypatch):
     """Many rows times many queries in small steps: k rows a query, whatever the step."""
     import pyarrow as pa
