@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pkgatlas.llm.common import components, store, text_or_empty
+from pkgatlas.llm.common import components, keep_first, place, store, text_or_empty
 
 SHINGLE = 3
 SEED = 42
@@ -265,30 +265,13 @@ def drop_near_duplicates(
     seed: int = SEED,
     radius: int = RADIUS,
 ) -> DataFrame:
-    """``docs`` with one row of each component: one with the smallest id, all columns.
+    """``docs`` with one row of each component: the smallest id, then the smallest text hash, all columns.
 
-    Among rows with that same id the smallest text hash stays, once. Rows with a null id are in
-    no one's way and stay.
+    Each row is judged by its id and text hash, so unlike texts under one id are told apart. Rows
+    with a null id take part and come last; rows with the same id and text stay once.
     """
-    text = text_or_empty(F.col(text_col))
-    classes = near_duplicates(docs, id_col, text_col, shingle, seed, radius)
-    # the id alone decides who stays, so only ids that go are looked up
-    gone = classes.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_id")).distinct()
-    same = (
-        docs.groupBy(F.col(id_col).alias("_id"))
-        .agg(F.min(F.xxhash64(text)).alias("_mark"), F.count("*").alias("_n"))
-        .filter((F.col("_n") > 1) & F.col("_id").isNotNull())
-    )
-    kept = docs.join(gone, docs[id_col] == gone["_id"], "left_anti")
-    return kept if same.isEmpty() else _first_of_same(kept, same, id_col, text)
-
-
-def _first_of_same(docs: DataFrame, same: DataFrame, id_col: str, text: Column) -> DataFrame:
-    """Of rows with one id, the first with the smallest text hash."""
-    repeated, _ = store(
-        docs.join(same.select("_id"), docs[id_col] == F.col("_id"), "left_semi"), "same-ids"
-    )
-    whole = F.struct(*[F.col(c) for c in docs.columns])
-    first = repeated.groupBy(F.col(id_col).alias("_id")).agg(F.min_by(whole, F.xxhash64(text)).alias("r"))
-    alone = docs.join(same.select("_id"), docs[id_col] == F.col("_id"), "left_anti")
-    return alone.unionByName(first.select("r.*"))
+    marked = docs.select(F.xxhash64(text_or_empty(F.col(text_col))).alias("__mark"), text_col)
+    classes = near_duplicates(marked, "__mark", text_col, shingle, seed, radius)
+    named = classes.select(F.col("__mark").alias("mark"), F.col("component_id").alias("class")).distinct()
+    members, _ = store(docs.select(*place(id_col, text_col)).join(named, "mark"), "near-members")
+    return keep_first(docs, members, id_col, text_col)

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
-from helpers import WORD, lower, rows
+from helpers import WORD, frame, lower, rows
 from pkgatlas.llm import common, simhash
 
 
@@ -90,3 +90,10 @@ def test_components_of_paths_and_stars(spark):
     star = [(7, i) for i in range(1000, 1500)]
     got = {r["node"]: r["root"] for r in common.components(spark.createDataFrame(path + star + [(5, 5)], "a long, b long")).collect()}
     assert all(got[i] == 100 for i in range(100, 161)) and all(got[i] == 7 for i in range(1000, 1500)) and 5 not in got
+
+
+def test_shared_and_null_ids_lose_no_text(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    data = [(i, t, "en", "a", 1, 1, 1, "x") for i, t in [(1, one), (1, two), (2, two), (None, one), (None, "c d e"), (None, "c d e")]]
+    got = simhash.drop_near_duplicates(frame(spark, data)).collect()
+    assert sorted([(r["doc_id"], r["text"]) for r in got], key=str) == sorted([(1, one), (1, two), (None, "c d e")], key=str)
