@@ -130,13 +130,13 @@ def _gram_hits(packages: DataFrame, keywords: DataFrame, text_col: str, wildcard
     # patterns of wildcards alone hold in every text that is long enough
     lengths = F.length(F.replace(F.col("_kw"), F.lit("%"), F.lit("")))
     bare = kw.filter(F.col("_size") == 0).select("query_id", lengths.alias("_least"))
-    steps = [r[0] for r in bare.select("_least").distinct().limit(MAX_LITERAL_KEYWORDS + 1).collect()]
-    if len(steps) > MAX_LITERAL_KEYWORDS:
-        raise ValueError("too many patterns without a letter")
-    long_enough = F.array_compact(F.array(*[F.when(F.length("_text") >= n, F.lit(n)) for n in steps]))
-    if not steps:
+    longest = bare.agg(F.max("_least")).first()[0]
+    if longest is None:
         return found
-    reach = texts.select(*_HIT_COLUMNS, F.explode(long_enough).alias("_least"))
+    # a text meets every length up to its own
+    reach = texts.filter(F.col("_text").isNotNull()).select(
+        *_HIT_COLUMNS, F.explode(F.sequence(F.lit(0), F.least(F.length("_text"), F.lit(longest)))).alias("_least")
+    )
     return found.unionByName(reach.join(bare, "_least").select(*_HIT_COLUMNS, "query_id"))
 
 

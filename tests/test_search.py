@@ -225,6 +225,14 @@ def test_many_wildcards_and_repeated_rows(packages, spark, literals):
     assert len(found) == len(set(found)) and set(found) == want
 
 
+def test_many_lengths_of_bare_wildcards(packages, spark):
+    df, rows = packages
+    asked = spark.createDataFrame([(n, "_" * n) for n in range(1, 151)], "query_id int, keyword string")
+    got = search.keyword_search(df, asked, 500, wildcards=True)
+    want = {(n, r[0]) for n in range(1, 151) for r in rows if r[2] is not None and len(r[2]) >= n}
+    assert {(r["query_id"], r["name"]) for r in got.collect()} == want
+
+
 def test_keyword_without_hits_falls_to_the_old_layer(packages, spark):
     from pkgatlas.operators.lookup import Layers
 
