@@ -151,3 +151,67 @@ SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (k
        coalesce(string_agg(kind || ':' || begins || ':' || till, ',' ORDER BY begins, place, kind, till), '') AS spans
 FROM t LEFT JOIN every USING (doc_id) GROUP BY doc_id
 """
+
+
+DECONTAMINATION = r"""
+WITH item_words AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE text IS NOT NULL
+),
+windows AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS k, array_to_string(w[s:s + least(10, len(w)) - 1], ' ') AS run
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS s FROM item_words WHERE len(w) > 0)
+),
+doc_words AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+),
+runs AS (
+  SELECT r, s, k, array_to_string(w[s:s + k - 1], ' ') AS run
+  FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM doc_words, (SELECT DISTINCT k FROM windows))
+),
+met AS (
+  SELECT r, s, k, item_id FROM runs JOIN windows USING (k, run)
+),
+words_hit AS (
+  SELECT r, count(DISTINCT place) AS n FROM (SELECT r, unnest(range(s, s + k)) AS place FROM met) GROUP BY r
+),
+items AS (
+  SELECT r, count(*) AS n, string_agg(name, ',' ORDER BY name) AS names
+  FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS name FROM met WHERE item_id IS NOT NULL) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(i.n, 0) AS BIGINT) AS n_items, sha256(coalesce(i.names, '')) AS items_sha256,
+       coalesce(h.n, 0) > 0 AS contaminated
+FROM doc_words d LEFT JOIN words_hit h USING (r) LEFT JOIN items i USING (r)
+"""
+
+HARD_NEGATIVES = """
+WITH rows_ AS (
+  SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scores AS (
+  SELECT a.rid AS aid, a.vec_id AS anchor_id, c.rid, c.vec_id, c.label = a.label AS alike,
+         CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score
+  FROM rows_ a, rows_ c WHERE a.vec_id % 100 = 0 AND a.rid <> c.rid
+),
+positives AS (
+  SELECT * FROM scores WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY aid ORDER BY score DESC, vec_id NULLS LAST, rid) <= 5
+),
+ranked AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+         row_number() OVER (PARTITION BY p.aid, p.rid ORDER BY n.score DESC, n.vec_id NULLS LAST, n.rid) AS rank
+  FROM positives p JOIN scores n ON n.aid = p.aid AND NOT n.alike
+   AND 80 * p.score <= 100 * n.score AND n.score <= p.score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM ranked WHERE rank <= 5
+"""

@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pkgatlas.llm import ann, licenses, line_dedup, mixing, oracles, packing, quality, secrets, sharding, simhash, token_files
+from pkgatlas.llm import (
+    ann, decontaminate, hard_negatives, licenses, line_dedup, mixing, oracles, packing, quality, secrets, sharding,
+    simhash, spelling, token_files,
+)
 from pkgatlas.llm.common import new_work_path
 from pkgatlas.llm.tokens import byte_level_encoder, word_encoder
 
@@ -85,6 +88,29 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.benchmark_overlap(docs, _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("vec_id")
+    # the contract's labels
+    vectors = _table(spark, sf_dir, "embeddings").select(
+        "vec_id", "embedding", F.when(key % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label")
+    )
+    return hard_negatives.hard_negatives(vectors, key % 100 == 0)
+
+
 LLM_QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_source_mixing": op2_source_mixing,
@@ -96,10 +122,15 @@ LLM_QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_files": op10_token_files,
+    "op11_decontamination": op11_decontamination,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 LLM_ORACLES = {
     "op1_line_dedup": oracles.LINE_DEDUP,
     "op7_secret_scan": oracles.secret_scan(),
     "op9_quality_rules": oracles.quality_rules(),
+    "op11_decontamination": oracles.DECONTAMINATION,
+    "op13_hard_negatives": oracles.HARD_NEGATIVES,
 }
