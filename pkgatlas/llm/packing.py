@@ -62,7 +62,7 @@ class SquaresPacker:
             start += self.window
         size = total - start
         if size:
-            piece = (doc, start, ids[start:], total)
+            piece = (doc, start, ids[start:].copy(), total)  # not a view that holds a whole chunk
             # growth of the sum of squares, halved: enter h + s, leave h
             fills = self.level[: self.window - size + 1]
             entered = self.level[size : self.window + 1].astype(np.float64)
@@ -120,8 +120,8 @@ def _pack_task(make: Callable[[str, int], PieceEncoder], path: str, end_id: int,
         encode = make(path, end_id)
         packer = SquaresPacker(window, open_windows, TaskContext.get().partitionId() * TASK_STRIDE)
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                packer.add(doc, np.frombuffer(encode(text.as_py()), "<u4"))
+            for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1))):
+                packer.add(doc, ids)
                 if len(packer.closed) >= 500:
                     yield packer.drain()
         packer.finish()

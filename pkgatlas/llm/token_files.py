@@ -18,9 +18,9 @@ SEGMENT_IDS = 1 << 22
 SEGMENTS = "part int, segment int, n_ids long, docs array<long>, n_tokens array<long>, data binary"
 
 
-def _segment_rows(part: int, number: int, docs: list, pieces: list[bytes]) -> pa.RecordBatch:
-    data = rans.encode(np.frombuffer(b"".join(pieces), "<u4"))
-    lengths = [len(p) // 4 for p in pieces]
+def _segment_rows(part: int, number: int, docs: list, pieces: list[np.ndarray]) -> pa.RecordBatch:
+    data = rans.encode(np.concatenate(pieces))
+    lengths = [len(p) for p in pieces]
     return pa.RecordBatch.from_arrays([
         pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([sum(lengths)], pa.int64()),
         pa.array([docs], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([data]),
@@ -32,11 +32,10 @@ def _write_task(make: Callable[[str, int], PieceEncoder], path: str, end_id: int
         encode, part, number = make(path, end_id), TaskContext.get().partitionId(), 0
         docs, pieces, size = [], [], 0
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(text.as_py())
+            for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1))):
                 docs.append(doc)
                 pieces.append(ids)
-                size += len(ids) // 4
+                size += len(ids)
                 if size >= segment_ids:
                     yield _segment_rows(part, number, docs, pieces)
                     docs, pieces, size, number = [], [], 0, number + 1

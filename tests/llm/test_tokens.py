@@ -3,6 +3,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from helpers import frame, rows
@@ -22,8 +23,26 @@ def test_pieces_give_the_library_s_ids(make, path):
     rnd = random.Random(7)
     encoder, plain = make(path, 2), Tokenizer.from_file(path)
     texts = ["".join(rnd.choice(ODD) for _ in range(rnd.randint(0, 10))) for _ in range(3000)] + [r[1] or "" for r in rows()]
-    for text, want in zip(texts, plain.encode_batch(texts, add_special_tokens=False)):
-        assert np.frombuffer(encoder(text.encode()), "<u4").tolist() == want.ids + [2], repr(text)
+    whole = pa.array([t.encode() for t in texts], pa.binary())
+    for text, alone, ids, want in zip(
+        texts, map(encoder, (whole.slice(k, 1) for k in range(len(whole)))), encoder(whole), plain.encode_batch(texts, add_special_tokens=False),
+        strict=True,
+    ):
+        assert ids.tolist() == next(alone).tolist() == want.ids + [2], repr(text)
+
+
+def test_chunks_and_slices_give_the_same(monkeypatch):
+    """Texts are cut in chunks; a long text is one of its own, and empty ones stand anywhere."""
+    texts = ["", "one, two.", "x" * 500, "", "a b", "", "Ñandú, ciÓn. ×. ÷, 3.", ""]
+    whole = pa.array([t.encode() for t in texts], pa.binary())
+    for make, path in ((tokens.byte_level_encoder, BYTE), (tokens.word_encoder, WORD)):
+        want = [e.ids + [5] for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+        for size in (1, 12, 1 << 20):
+            monkeypatch.setattr(tokens, "CHUNK_BYTES", size)
+            encoder = make.__wrapped__(path, 5)
+            assert [x.tolist() for x in encoder(whole)] == want
+            assert [x.tolist() for x in encoder(whole.slice(3, 4))] == want[3:7]
+            assert list(encoder(whole.slice(2, 0))) == []
 
 
 def test_cache_is_bounded(monkeypatch):
@@ -32,7 +51,8 @@ def test_cache_is_bounded(monkeypatch):
     plain = Tokenizer.from_file(BYTE)
     for i in range(40):
         text = " ".join(f"word{chr(97 + (i * j) % 26)}{j % 5}" for j in range(30)) + " " + "x" * 200
-        assert np.frombuffer(encoder(text.encode()), "<u4").tolist()[:-1] == plain.encode(text, add_special_tokens=False).ids
+        (ids,) = encoder(pa.array([text.encode()], pa.binary()))
+        assert ids.tolist()[:-1] == plain.encode(text, add_special_tokens=False).ids
         assert len(encoder.cache) <= 50
 
 
@@ -109,9 +129,14 @@ def test_packing_keeps_every_id(docs, no_docs):
     got = packing.pack(part, tokens.word_encoder, WORD, 2, window=256, open_windows=8).collect()
     parts = check_packing(got, want, 256, 5)
     for r, ids in zip(data, want):
-        pieces = sorted(parts[r[0]])
-        assert b"".join(p[1] for p in pieces) == ids.tobytes() and all(p[2] == len(ids) for p in pieces)
-        assert [p[0] for p in pieces] == [sum(len(q[1]) // 4 for q in pieces[:i]) for i in range(len(pieces))]
+        # rows that share an id are alike here: each piece of one stands as often as the row
+        pieces, times = sorted(parts[r[0]]), sum(o[0] == r[0] for o in data)
+        assert all(p[2] == len(ids) and p[1] == ids[p[0] : p[0] + len(p[1]) // 4].tobytes() for p in pieces)
+        covered = np.zeros(len(ids) + 1, int)
+        for start, some, _ in pieces:
+            covered[start] += 1
+            covered[start + len(some) // 4] -= 1
+        assert (np.cumsum(covered)[:-1] == times).all()
     everything = packing.pack(docs, tokens.word_encoder, WORD, 2).collect()
     check_packing(everything, reference(WORD, 2, rows()), 4096, 5)
     assert packing.pack(no_docs, tokens.word_encoder, WORD, 2).count() == 0
