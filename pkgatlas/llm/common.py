@@ -71,9 +71,9 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
 
     Star contraction: every node hangs its larger neighbours, then its smaller ones, under
     the smallest it knows, until nothing changes. Only minima are aggregated (combined before
-    the shuffle), so a hub with millions of neighbours never forms one group; the joins are
-    plain equi-joins, which skew handling can split. Every round is stored in the shared
-    folder, which cuts the lineage. Nodes without an edge to another node do not appear.
+    the shuffle), so a hub with millions of neighbours never forms one group; the minima are
+    stored before they are joined, so each join's stage only joins and skew handling can split a
+    hub's rows. Every round is stored in the shared folder, which cuts the lineage. Nodes without an edge to another node do not appear.
     """
     spark = edges.sparkSession
     now, path = store(
@@ -83,7 +83,7 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     state = None
     for _ in range(max_rounds):
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low, least = store(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         # larger neighbours go under the smallest known
         large = (
             both.filter("v > u").join(low, "u").select(F.col("v"), F.col("m").alias("u"))
@@ -91,7 +91,7 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         )
         large, middle = store(large, "star")
         # then each node and its smaller neighbours
-        low = large.groupBy("v").agg(F.min("u").alias("m"))
+        low, lower = store(large.groupBy("v").agg(F.min("u").alias("m")), "least")
         pairs = large.join(low, "v")
         small = (
             pairs.select(F.col("u").alias("v"), F.col("m").alias("u"))
@@ -99,8 +99,8 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
             .filter("v <> u").distinct()
         )
         following, after = store(small, "edges")
-        discard(spark, path)
-        discard(spark, middle)
+        for done in (path, middle, least, lower):
+            discard(spark, done)
         now, path = following, after
         new_state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if new_state == state:
@@ -125,23 +125,23 @@ def place(id_col: str, text_col: str) -> list[Column]:
 def keep_first(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``docs`` with the first row of each class, once. ``members``: the rows' places and ``class``."""
     order = ["none", "at", "mark"]
-    ends = (
+    # stored, so that the join's stage only joins and a large class can be split
+    ends, _ = store(
         members.groupBy("class").agg(F.min(F.struct(*order)).alias("lo"), F.max(F.struct(*order)).alias("hi"))
-        .filter("lo <> hi").select("class", "lo")
+        .filter("lo <> hi").select("class", "lo"),
+        "class-ends",
     )
-    named = [F.col(c).alias(f"__{c}") for c in order]
-    keys = [f"__{c}" for c in order]
     # only rows that go are looked up
-    gone = members.join(ends, "class").filter(F.struct(*order) != F.col("lo")).select(*named).distinct()
-    marked = docs.withColumns(dict(zip(keys, place(id_col, text_col))))
-    kept = marked.join(gone, keys, "left_anti")
-    same, _ = store(marked.groupBy(*keys).count().filter("count > 1").select(*keys), "same-rows")
+    gone = members.join(ends, "class").filter(F.struct(*order) != F.col("lo")).select(*order).distinct()
+    whole = F.struct(*[F.col(c) for c in docs.columns]).alias("row_")
+    marked = docs.select(whole, *place(id_col, text_col))  # wrapped: the table's own names cannot clash
+    kept = marked.join(gone, order, "left_anti")
+    same, _ = store(marked.groupBy(*order).count().filter("count > 1").select(*order), "same-rows")
     if same.isEmpty():
-        return kept.select(*docs.columns)
-    whole = F.struct(*[F.col(c) for c in docs.columns])
-    repeated, _ = store(kept.join(same, keys, "left_semi"), "repeated")
-    first = repeated.groupBy(*keys).agg(F.min_by(whole, F.to_json(whole)).alias("__row"))
-    return kept.join(same, keys, "left_anti").select(*docs.columns).unionByName(first.select("__row.*"))
+        return kept.select("row_.*")
+    repeated, _ = store(kept.join(same, order, "left_semi"), "repeated")
+    first = repeated.groupBy(*order).agg(F.min_by("row_", F.to_json("row_")).alias("row_"))
+    return kept.join(same, order, "left_anti").select("row_.*").unionByName(first.select("row_.*"))
 
 
 __all__ = [
