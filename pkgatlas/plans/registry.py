@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
+from functools import reduce, wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,9 +28,11 @@ from pkgatlas.operators.vector_search import (
 from pkgatlas.plans import oracle as o
 from pkgatlas.plans.domain import AS_OF, Domain, pkg
 from pkgatlas.plans.reports import explore_report, explore_rows
-from pkgatlas.schemas import PROJECTS
+from pkgatlas.schemas import DOWNLOADS, PROJECTS
 from pkgatlas.session import materialize, new_work_path
 from pkgatlas.sources import documents, files
+from pkgatlas.sources.split_csv import read_split_csv
+from pkgatlas.sources.tables import KeyedTable
 from pkgatlas.streaming import downloads as download_stream
 from pkgatlas.streaming import vectors as vector_stream
 
@@ -623,16 +625,22 @@ def canonical_columns(d: Domain) -> DataFrame:
     return build.canonical(d.packages())
 
 
-@query("SELECT * FROM (VALUES ('downloads', false), ('fresh', true), ('projects', true)) t(layer, present)")
+@query("""
+SELECT 'downloads' AS layer, false AS present, 0::BIGINT AS n FROM (SELECT 1)
+UNION ALL SELECT 'fresh', true, count(*) FROM d_packages UNION ALL SELECT 'projects', true, count(*) FROM d_projects""")
 def layers_present(d: Domain) -> DataFrame:
-    """Bind tables by name; a missing one is no layer."""
+    """Bind tables by name, with their row counts; a missing one is no layer."""
     views = {"fresh": d.packages(), "projects": d.projects()}
     names = {k: f"layer_{k}_view" for k in ("downloads", *views)}
     for k, df in views.items():
         df.createOrReplaceTempView(names[k])
     bound = Layers.from_catalog(d.spark, **names)
-    rows = [F.struct(F.lit(k).alias("layer"), F.lit(getattr(bound, k) is not None).alias("present")) for k in names]
-    return d.packages().limit(1).select(F.inline(F.array(*rows)))
+    counts = [
+        (d.packages().limit(0) if frame is None else frame).agg(F.count("*").alias("n"))
+        .select(F.lit(k).alias("layer"), F.lit(frame is not None).alias("present"), "n")
+        for k, frame in ((k, getattr(bound, k)) for k in names)
+    ]
+    return reduce(DataFrame.unionByName, counts)
 
 
 @query("SELECT doc_id, text[:500] AS preview FROM documents")
@@ -793,13 +801,13 @@ def read_csv(d: Domain) -> DataFrame:
 @query("""
 SELECT doc_id, 'says ""' || source || '"", twice' AS note, text, n_chars FROM documents""")
 def read_csv_texts(d: Domain) -> DataFrame:
-    """Export whole texts with quotes and line breaks as CSV, and load them."""
+    """Export whole texts with quotes and line breaks as CSV, and load them by byte ranges."""
     rows = d.table("documents").select(
         "doc_id", F.concat(F.lit('says ""'), "source", F.lit('"", twice')).alias("note"), "text", "n_chars"
     )
     path = new_work_path(d.spark, "csv-texts")
     rows.write.option("header", "true").option("escape", '"').csv(path)
-    return files.read_csv(d.spark, path, "doc_id long, note string, text string, n_chars long")
+    return read_split_csv(d.spark, path, "doc_id long, note string, text string, n_chars long")
 
 
 @query(f"""
@@ -861,19 +869,22 @@ new AS (SELECT package_name, month, 2 * downloads AS downloads, 1 AS batch FROM
 SELECT package_name, month, downloads FROM (SELECT *, -1 AS batch FROM old UNION ALL SELECT * FROM new)
 QUALIFY row_number() OVER (PARTITION BY package_name, month ORDER BY batch DESC) = 1""")
 def merge_downloads(d: Domain) -> DataFrame:
+    """A kept table of downloads: the stored rows, two commits over them and one of these again."""
     old = d.downloads().groupBy("package_name", "month").agg(F.sum("downloads").alias("downloads"))
 
-    def batch(rows: DataFrame, factor: int, number: int) -> DataFrame:
-        return rows.withColumns(
-            {"downloads": F.col("downloads") * factor, "batch": F.lit(number)}
-        )
+    def batch(rows: DataFrame, factor: int) -> DataFrame:
+        return rows.withColumn("downloads", F.col("downloads") * factor)
 
-    new = (
-        batch(old.filter(F.col("month") >= "2000-01-01"), 2, 1)
-        .unionByName(batch(old.filter(F.col("month") >= "2001-01-01"), 3, 2))
-        .unionByName(batch(old.withColumn("package_name", F.concat("package_name", F.lit("-new"))), 1, 1))
+    first = batch(old.filter(F.col("month") >= "2000-01-01"), 2).unionByName(
+        batch(old.withColumn("package_name", F.concat("package_name", F.lit("-new"))), 1)
     )
-    return files.merge_downloads(old, new)
+    table = KeyedTable(d.spark, new_work_path(d.spark, "downloads"), ["package_name", "month"], DOWNLOADS)
+    table.upsert(old, 0)
+    table.compact()
+    table.upsert(first, 1)
+    table.upsert(batch(old.filter(F.col("month") >= "2001-01-01"), 3), 2)
+    table.upsert(first, 1)
+    return table.read()
 
 
 @query(r"""
@@ -928,22 +939,35 @@ def vector_payload_query(d: Domain) -> DataFrame:
     return vector_payload(packages, d.metadata(), embed.package_texts(packages, d.metadata()))
 
 
-@query("""
-SELECT id, label, list_sum(list_transform(embedding::DOUBLE[], lambda x: round(x, 4)))::DOUBLE > 0 AS positive, source FROM (
-  SELECT vec_id AS id, label, embedding, 'old' AS source FROM embeddings WHERE label >= 5
+def _vector_text(embedding: Column) -> Column:
+    """A whole vector at four digits, as text."""
+    return F.array_join(F.transform(embedding, lambda x: F.round(x.cast("double") * 10000).cast("long").cast("string")), ",")
+
+
+def _vector_text_sql(embedding: str) -> str:
+    return f"array_to_string(list_transform({embedding}, lambda x: round(x::DOUBLE * 10000)::BIGINT), ',')"
+
+
+@query(f"""
+SELECT id, label, {_vector_text_sql("embedding")} AS vector, source FROM (
+  SELECT vec_id AS id, label, embedding, 'old' AS source FROM embeddings WHERE label >= 5 AND label < 9
   UNION ALL SELECT vec_id, label, list_transform(embedding, lambda x: -x), 'new' FROM embeddings WHERE label < 5
   UNION ALL SELECT vec_id + 1000000, label, embedding, 'new' FROM embeddings WHERE label < 5)""")
 def upsert_vectors_query(d: Domain) -> DataFrame:
+    """A kept vector table: a base, changed and new rows over it, and label 9 removed."""
     e = d.table("embeddings").select(F.col("vec_id").alias("id"), "label", "embedding")
     changed = e.filter(F.col("label") < 5)
     new = changed.withColumn("embedding", F.transform("embedding", lambda x: -x)).unionByName(
         changed.withColumn("id", F.col("id") + 1000000)
     )
-    merged = upsert_vectors(e.withColumn("source", F.lit("old")), new.withColumn("source", F.lit("new")))
-    total = F.aggregate(
-        F.transform("embedding", lambda x: F.round(x.cast("double"), 4)), F.lit(0.0), lambda a, x: a + x
+    table = KeyedTable(
+        d.spark, new_work_path(d.spark, "vectors"), ["id"], "id long, label int, embedding array<float>, source string"
     )
-    return merged.select("id", "label", (total > 0).alias("positive"), "source")
+    table.upsert(e.withColumn("source", F.lit("old")), 0)
+    table.compact()
+    table.upsert(new.withColumn("source", F.lit("new")), 1)
+    table.delete(e.filter(F.col("label") == 9), 2)
+    return table.read().select("id", "label", _vector_text(F.col("embedding")).alias("vector"), "source")
 
 
 @query("SELECT id, name, summary, stars, dependent_count, growth_pct, version FROM d_vectors")
@@ -961,7 +985,7 @@ def vector_stats_query(d: Domain) -> DataFrame:
 @query("""
 SELECT name, row_number() OVER (ORDER BY lower(name), name) - 1 + (SELECT count(*) FROM embeddings) AS id FROM d_metadata""")
 def assign_ids_query(d: Domain) -> DataFrame:
-    start = d.table("embeddings").count()
+    start = d.table("embeddings").count()  # one number
     return assign_ids(d.metadata().select("name"), start)
 
 
@@ -982,27 +1006,18 @@ toks AS (SELECT name, unnest(list_filter(string_split_regex(lower(readme), '\\s+
 counts AS (SELECT name, ('0x' || substr(md5(t), 1, 8))::BIGINT % {_DIM} AS slot, count(*) AS tf FROM toks GROUP BY ALL)"""
 
 
-def _dense_sql(weighted: str) -> str:
-    return f"""
-SELECT m.name, coalesce(v.top_weight, 0.0::DOUBLE) AS top_weight, coalesce(v.filled, 0) AS filled FROM d_metadata m LEFT JOIN (
-  SELECT name, round((max(w) / sqrt(sum(w * w)))::FLOAT::DOUBLE, 4) AS top_weight, count(*) AS filled FROM ({weighted}) GROUP BY name) v USING (name)"""
-
-
-def _dense_summary(df: DataFrame) -> DataFrame:
-    return df.select(
-        "name",
-        F.round(F.array_max("embedding").cast("double"), 4).alias("top_weight"),
-        F.size(F.filter("embedding", lambda x: x != 0)).cast("long").alias("filled"),
-    )
-
-
 @query(f"""
 WITH {_SLOTS_SQL},
-idf AS (SELECT slot, ln((SELECT count(*) + 1 FROM d_metadata) / (count(*) + 1)) + 1.0 AS idf FROM counts GROUP BY slot)
-{_dense_sql('SELECT name, tf * idf AS w FROM counts JOIN idf USING (slot)')}""")
+idf AS (SELECT slot, ln((SELECT count(*) + 1 FROM d_metadata) / (count(*) + 1)) + 1.0 AS idf FROM counts GROUP BY slot),
+weighted AS (SELECT name, slot, tf * idf AS w FROM counts JOIN idf USING (slot)),
+bags AS (SELECT name, map_from_entries(list((slot, w))) AS bag, sqrt(sum(w * w)) AS norm FROM weighted GROUP BY name)
+SELECT m.name, {_vector_text_sql(f"list_transform(range({_DIM}), lambda s: coalesce((bag[s] / norm)::FLOAT, 0))")} AS vector
+FROM d_metadata m LEFT JOIN bags USING (name)""")
 def embed_texts(d: Domain) -> DataFrame:
     rows = d.metadata().select("name", F.col("readme").alias("embedding_text"))
-    return _dense_summary(embed.embed_texts(rows, "name", "embedding_text", dim=_DIM))
+    return embed.embed_texts(rows, "name", "embedding_text", dim=_DIM).select(
+        "name", _vector_text(F.col("embedding")).alias("vector")
+    )
 
 
 # --- streams and guard -------------------------------------------------------------------
@@ -1036,9 +1051,10 @@ def stream_downloads(d: Domain) -> DataFrame:
 
 @query(f"""
 WITH toks AS (SELECT doc_id AS id, unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda t: t <> '')) AS t FROM documents),
-counts AS (SELECT id, ('0x' || substr(md5(t), 1, 8))::BIGINT % 64 AS slot, count(*) AS tf FROM toks GROUP BY ALL)
-SELECT doc_id AS id, coalesce(v.top_weight, 0.0::DOUBLE) AS top_weight FROM documents LEFT JOIN (
-  SELECT id, round((max(tf) / sqrt(sum(tf * tf)))::FLOAT::DOUBLE, 4) AS top_weight FROM counts GROUP BY id) v ON v.id = doc_id""")
+counts AS (SELECT id, ('0x' || substr(md5(t), 1, 8))::BIGINT % 64 AS slot, count(*) AS tf FROM toks GROUP BY ALL),
+bags AS (SELECT id, map_from_entries(list((slot, tf))) AS bag, sqrt(sum(tf * tf)) AS norm FROM counts GROUP BY id)
+SELECT doc_id AS id, {_vector_text_sql("list_transform(range(64), lambda s: coalesce((bag[s] / norm)::FLOAT, 0))")} AS vector
+FROM documents LEFT JOIN bags ON id = doc_id""")
 def stream_embed(d: Domain) -> DataFrame:
     rows = _source(d, "documents").select(
         F.col("doc_id").alias("id"), pkg(F.col("doc_id")).alias("name"),
@@ -1047,7 +1063,7 @@ def stream_embed(d: Domain) -> DataFrame:
     base = new_work_path(d.spark, "vector-stream")
     vector_stream.start_vectors(rows, f"{base}/vectors", f"{base}/checkpoint").awaitTermination()
     return vector_stream.current_vectors(d.spark, f"{base}/vectors").select(
-        "id", F.round(F.array_max("embedding").cast("double"), 4).alias("top_weight")
+        "id", _vector_text(F.col("embedding")).alias("vector")
     )
 
 

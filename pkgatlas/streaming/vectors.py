@@ -1,4 +1,4 @@
-"""Stream of new or changed packages to an upserted vector table."""
+"""Stream of new or changed packages to a kept vector table."""
 
 from __future__ import annotations
 
@@ -10,8 +10,15 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from pkgatlas.operators.build import dedupe_best
 from pkgatlas.operators.embed import hashed_tfidf
+from pkgatlas.sources.tables import KeyedTable
 
 SCHEMA = "id long, name string, text_hash long, embedding array<float>, batch_id long"
+#: Deltas after which the table is compacted.
+COMPACT_AFTER = 32
+
+
+def vector_table(spark: SparkSession, target: str) -> KeyedTable:
+    return KeyedTable(spark, target, ["id"], SCHEMA)
 
 
 def plain_vectors(df: DataFrame, dim: int = 64) -> DataFrame:
@@ -21,8 +28,7 @@ def plain_vectors(df: DataFrame, dim: int = 64) -> DataFrame:
 
 def current_vectors(spark: SparkSession, target: str) -> DataFrame:
     """Newest vector per id."""
-    rows = spark.read.schema(SCHEMA).parquet(target)
-    return dedupe_best(rows, ["id"], [F.col("batch_id").desc()])
+    return vector_table(spark, target).read()
 
 
 def start_vectors(
@@ -30,28 +36,30 @@ def start_vectors(
     target: str,
     checkpoint: str,
     embed: Callable[[DataFrame], DataFrame] = plain_vectors,
+    compact_after: int = COMPACT_AFTER,
 ) -> StreamingQuery:
     """Embed new and changed rows of a stream (id, name, embedding_text, updated_at).
 
     Of several rows of one id in a batch the newest by ``updated_at`` counts. Rows whose text is
     stored already are skipped: only the stored rows of the batch's ids are looked at, before
-    anything is sorted. Each micro-batch goes to its own folder and reads only older ones, so a
-    replay gives the same result.
+    anything is sorted. Each micro-batch is one commit of the table, so a replay changes nothing;
+    after ``compact_after`` deltas they become a new base. One stream, with its checkpoint,
+    writes a table.
     """
-    spark = packages.sparkSession
+    table = vector_table(packages.sparkSession, target)
 
     def store(batch: DataFrame, batch_id: int) -> None:
         rows = batch.withColumn("text_hash", F.xxhash64("embedding_text"))
         rows = dedupe_best(rows, ["id"], [F.col("updated_at").desc_nulls_last(), F.col("text_hash").asc()])
-        if batch_id > 0:
-            old = spark.read.schema(SCHEMA).parquet(target).filter(F.col("batch_id") < batch_id)
-            own = old.select("id", "text_hash", "batch_id").join(rows.select("id"), "id", "left_semi")
-            known = dedupe_best(own, ["id"], [F.col("batch_id").desc()])
-            rows = rows.join(known.select("id", "text_hash"), ["id", "text_hash"], "left_anti")
-        stored = rows.select("id", "name", "text_hash").join(embed(rows), "id")
-        stored.select("id", "name", "text_hash", "embedding").write.mode("overwrite").parquet(
-            f"{target}/batch_id={batch_id}"
-        )
+        stored = table.manifest()
+        if stored.last_batch >= batch_id:
+            return
+        if stored.version:
+            known = table.read(stored.version).select("id", "text_hash").join(rows.select("id"), "id", "left_semi")
+            rows = rows.join(known, ["id", "text_hash"], "left_anti")
+        new = rows.select("id", "name", "text_hash").join(embed(rows), "id").withColumn("batch_id", F.lit(batch_id).cast("long"))
+        if len(table.upsert(new, batch_id).deltas) >= compact_after:
+            table.compact()
 
     return (
         packages.writeStream.option("checkpointLocation", checkpoint)
