@@ -7,6 +7,7 @@ does the regex library match the whole notice with bounded errors.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator, Mapping
 
 import ahocorasick
@@ -68,8 +69,9 @@ class NoticeFinder:
         at_seed: dict[str, list[tuple[int, int]]] = {}
         for label, notice in sorted(notices.items()):
             edits = min(max_edits, len(notice) // chars_per_edit)
-            # whole words at both ends; fewest edits win over an earlier, worse match
-            pattern = regex.compile(rf"(?b)(?<![^ ])(?:{regex.escape(notice, literal_spaces=True)}){{e<={edits}}}(?![^ ])")
+            # with the spaces around it, which cost no edit; the library allows no insertion where a
+            # search begins. The fewest edits are told.
+            pattern = regex.compile(rf"(?b)(?: {regex.escape(notice, literal_spaces=True)} ){{e<={edits}}}")
             for start, piece in pieces_of(notice, edits):
                 at_seed.setdefault(piece, []).append((len(self.notices), start))
             self.notices.append((label, notice, edits, pattern))
@@ -78,32 +80,53 @@ class NoticeFinder:
         self.seeds.make_automaton()
 
     def find(self, line: str) -> list[tuple[str, int, int, int]]:
-        """(label, start, end, edits), by start; matches of one label do not overlap."""
-        windows: dict[int, list[list[int]]] = {}
+        """(label, start, end, edits), by start.
+
+        Every span of whole words around a seed is verified by itself. Of spans of one label that
+        overlap, the one with fewest edits is told, then the first, then the shorter.
+        """
+        padded = f" {line} "
+        tried: dict[tuple[int, int, int], int | None] = {}
         for last, (size, uses) in self.seeds.iter(line):
             first = last - size + 1
             for n, start in uses:
-                _, notice, edits, _ = self.notices[n]
+                _, notice, edits, pattern = self.notices[n]
                 # a match with this piece at its place begins and ends within the edits
-                low = max(0, first - start - edits)
-                high = min(len(line), first - start + len(notice) + edits)
-                own = windows.setdefault(n, [])
-                if own and low <= own[-1][1]:
-                    own[-1][1] = max(own[-1][1], high)
-                else:
-                    own.append([low, high])
-        found = []
-        # the library allows no insertion where a search begins, so it begins at a space
-        padded = " " + line
-        for n, own in windows.items():
-            label, _, _, pattern = self.notices[n]
-            for low, high in own:
-                # to the ends of whole words, so that the window's edge is not taken for one
-                low = padded.rfind(" ", 0, low + 1)
-                high = padded.find(" ", high + 1)
-                for m in pattern.finditer(padded, low, len(padded) if high < 0 else high):
-                    found.append((label, m.start() - 1, m.end() - 1, sum(m.fuzzy_counts)))
-        return sorted(set(found), key=lambda x: (x[1], x[0]))
+                begin, end = first - start, first - start + len(notice)
+                for low in _spaces(padded, begin - edits, begin + edits):
+                    for high in _spaces(padded, end - edits + 1, end + edits + 1):
+                        span = high - low - 1
+                        if abs(span - len(notice)) > edits or (n, low, high) in tried:
+                            continue
+                        m = pattern.fullmatch(padded, low, high + 1)
+                        tried[n, low, high] = sum(m.fuzzy_counts) if m else None
+        found: list[tuple[str, int, int, int]] = []
+        taken: dict[int, list[tuple[int, int]]] = {}
+        matches = [(cost, n, low, high - 1) for (n, low, high), cost in tried.items() if cost is not None]
+        for cost, n, low, high in sorted(matches):
+            own = taken.setdefault(n, [])
+            at = bisect_left(own, (low, high))
+            if (at == 0 or own[at - 1][1] <= low) and (at == len(own) or high <= own[at][0]):
+                own.insert(at, (low, high))
+                found.append((self.notices[n][0], low, high, cost))
+        return sorted(found, key=lambda x: (x[1], x[0]))
+
+
+def _spaces(padded: str, low: int, high: int) -> Iterator[int]:
+    """Places of the spaces from ``low`` to ``high``."""
+    at = padded.find(" ", max(0, low), high + 1)
+    while at >= 0:
+        yield at
+        at = padded.find(" ", at + 1, high + 1)
+
+
+def notices_from(table: DataFrame, label_col: str = "label", text_col: str = "text", at_most: int = 100_000) -> dict[str, str]:
+    """Notices of a table, normalised; a table above ``at_most`` rows, or a label with two notices, is refused."""
+    rows = table.select(label_col, text_col).na.drop().distinct().limit(at_most + 1).collect()
+    out = {label: b" ".join(normal_words(text.encode())).decode() for label, text in rows}
+    if len(rows) > at_most or len(out) < len(rows):
+        raise ValueError("too many notices, or two of one label")
+    return {label: notice for label, notice in out.items() if notice}
 
 
 def _phrase_places(line: bytes, phrase: bytes) -> list[int]:
@@ -175,7 +198,8 @@ def scan_licenses(
     Whole texts, A-Z lower-cased, as words of letters, digits and non-ASCII. n_base counts all
     places where the words of a phrase stand side by side; first_word and last_word are the
     smallest and largest of their first words, null without any. ``notices`` lists matches
-    of the notices with bounded edits, as spans of the words joined by single spaces; labels
+    of the notices with bounded edits, as spans of the words joined by single spaces that do not
+    overlap others of their label; labels
     joins their labels to those of the phrases. score is 1 for a phrase, else 1 minus edits
     over the notice's length for the best notice, 0 without any.
 

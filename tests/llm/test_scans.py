@@ -97,24 +97,75 @@ def test_license_base_equals_brute_force(spark):
         assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
 
 
-def test_license_edits_equal_search_of_the_whole_line():
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def brute_notices(line, notices):
+    """All spans of whole words within the edits, the best of those that overlap."""
+    out = []
+    starts = [m.start() for m in re.finditer(r"[^ ]+", line)]
+    ends = [m.end() for m in re.finditer(r"[^ ]+", line)]
+    for label, notice, edits, _ in notices:
+        spans = [
+            (d, s, e) for s in starts for e in ends
+            if abs(e - s - len(notice)) <= edits and (d := edit_distance(line[s:e], notice)) <= edits
+        ]
+        own = []
+        for d, s, e in sorted(spans):
+            if all(e <= a or b <= s for a, b in own):
+                own.append((s, e))
+                out.append((label, s, e, d))
+    return sorted(out, key=lambda x: (x[1], x[0]))
+
+
+def edited_notice(rnd, notice, n):
+    x = list(notice)
+    for _ in range(n):
+        i, kind = rnd.randrange(len(x)), rnd.randint(0, 2)
+        if kind == 0:
+            x[i] = rnd.choice("abcdefg h")
+        elif kind == 1:
+            x.insert(i, rnd.choice("abcdefg h"))
+        elif len(x) > 1:
+            del x[i]
+    return "".join(x)
+
+
+def test_license_spans_equal_brute_force():
+    """One to three notices side by side, with edits up to one too many, in noise."""
     rnd = random.Random(4)
     finder = licenses.NoticeFinder(licenses.NOTICES, licenses.CHARS_PER_EDIT, licenses.MAX_EDITS)
-    for _ in range(250):
+    several = 0
+    for _ in range(150):
         _, notice, edits, _ = rnd.choice(finder.notices)
-        x = list(notice)
-        for _ in range(rnd.randint(0, edits + 1)):
-            i, kind = rnd.randrange(len(x)), rnd.randint(0, 2)
-            if kind == 0:
-                x[i] = rnd.choice("abcdefg h")
-            elif kind == 1:
-                x.insert(i, rnd.choice("abcdefg h"))
-            elif len(x) > 1:
-                del x[i]
-        noise = ["".join(rnd.choice("abcdefghi ") for _ in range(40)) for _ in range(2)]
-        line = " ".join(f"{noise[0]} {''.join(x)} {noise[1]}".split())
-        want = {label for label, _, _, pattern in finder.notices if pattern.search(f" {line}")}
-        assert {label for label, *_ in finder.find(line)} == want, line
+        parts = [edited_notice(rnd, notice, rnd.randint(0, edits + 1)) for _ in range(rnd.randint(1, 3))]
+        noise = ["".join(rnd.choice("abcdefghi ") for _ in range(rnd.choice([0, 25]))) for _ in range(2)]
+        line = " ".join(" ".join([noise[0], *parts, noise[1]]).split())
+        want = brute_notices(line, finder.notices)
+        assert finder.find(line) == want, line
+        several += len(want) > 1
+    assert several > 30
+
+
+def test_license_neighbours_are_all_told():
+    finder = licenses.NoticeFinder(licenses.NOTICES, licenses.CHARS_PER_EDIT, licenses.MAX_EDITS)
+    line = "all right reserved all rights reserved"
+    assert finder.find(line) == [("reserved", 0, 18, 1), ("reserved", 19, 38, 0)]
+    line = "licensed under the apache lisense version 2 0 licensed under the apache license version 2 0"
+    assert [x[1:] for x in finder.find(line)] == [(0, 45, 1), (46, 91, 0)]
+
+
+def test_notices_of_a_table(spark):
+    table = spark.createDataFrame([("x", "Some  Notice, here"), ("x", "Some  Notice, here"), ("y", "..."), (None, "a")], "label string, text string")
+    assert licenses.notices_from(table) == {"x": "some notice here"}
+    with pytest.raises(ValueError):
+        licenses.notices_from(spark.createDataFrame([("x", "a"), ("x", "b")], "label string, text string"))
 
 
 def test_license_misspelt_notice_and_empty(spark, no_docs):
