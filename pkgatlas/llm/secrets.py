@@ -5,7 +5,7 @@ Only column expressions: a text is cut at its matches, so places follow from len
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +43,42 @@ ALLOWED: Sequence[str] = (
 )
 
 
+#: Elements that one inner fold puts together; the outer one joins whole chunks.
+_CHUNK = 256
+
+
+def scan(items: Column, start: Column, state_type: str, item_type: str,
+         step: Callable[[Column, Column], Column], emit: Callable[[Column, Column], Column]) -> Column:
+    """``emit(state, item)`` for each item in order, where ``step`` makes the next state of the two.
+
+    Arrays are copied when they grow, so items are folded a chunk at a time: a list of n costs
+    about n * 256 copies, not n * n.
+    """
+    none = F.array().cast(f"array<{item_type}>")
+    chunks = F.transform(
+        F.sequence(F.lit(0), F.greatest(F.ceil(F.size(items) / F.lit(_CHUNK)).cast("int") - 1, F.lit(0))),
+        lambda i: F.slice(items, i * _CHUNK + 1, _CHUNK),
+    )
+
+    def inner(s: Column, chunk: Column) -> Column:
+        return F.aggregate(
+            chunk, F.struct(s["at"].alias("at"), none.alias("out")),
+            lambda t, x: F.struct(
+                step(t["at"], x).cast(state_type).alias("at"),
+                F.concat(t["out"], F.array(emit(t["at"], x).cast(item_type))).alias("out"),
+            ),
+        )
+
+    def outer(s: Column, chunk: Column) -> Column:
+        # bound once, as it is used twice
+        return F.get(F.transform(F.array(inner(s, chunk)), lambda r: F.struct(
+            r["at"].alias("at"), F.concat(s["out"], r["out"]).alias("out"),
+        )), F.lit(0))
+
+    whole = F.aggregate(chunks, F.struct(start.cast(state_type).alias("at"), none.alias("out")), outer, lambda s: s["out"])
+    return F.when(F.size(items) > 0, whole).otherwise(none)
+
+
 def match_spans(text: Column, pattern: str, groups: Sequence[int] = (0,)) -> Column:
     """Leftmost matches that do not overlap: array of (start, end, group...), in code points.
 
@@ -53,22 +89,58 @@ def match_spans(text: Column, pattern: str, groups: Sequence[int] = (0,)) -> Col
         F.slice(F.transform(F.split(text, pattern, -1), F.length), 1, F.regexp_count(text, F.lit(pattern))).alias("gap"),
         *[F.regexp_extract_all(text, F.lit(pattern), F.lit(g)).alias(f"g{g}") for g in groups],
     )
-    first = F.struct(
-        F.lit(0).alias("at"),
-        F.array().cast(f"array<struct<start:int,end:int,{','.join(f'g{g}:string' for g in groups)}>>").alias("out"),
+
+    def length(m: Column) -> Column:
+        return F.length(m[f"g{groups[0]}"])
+
+    spans = lambda found: scan(
+        found, F.lit(0), "int", f"struct<start:int,end:int,{','.join(f'g{g}:string' for g in groups)}>",
+        lambda at, m: at + m["gap"] + length(m),
+        lambda at, m: F.struct(
+            (at + m["gap"]).alias("start"), (at + m["gap"] + length(m)).alias("end"), *[m[f"g{g}"].alias(f"g{g}") for g in groups]
+        ),
     )
+    return F.get(F.transform(F.array(found), spans), F.lit(0))  # the text is cut once
+
+
+def apart(spans: Column, base: Column) -> Column:
+    """The ``spans`` (start, end, g0) that overlap no span of ``base`` (start, end).
+
+    Both lists are merged by their starts. Going forth, the furthest end so far tells whether an
+    earlier base span reaches in; going back, the next start tells whether a later one does.
+    """
+    kind = "struct<start:int,own:int,end:int,g0:string,hit:boolean>"
 
-    def step(s: Column, m: Column) -> Column:
-        start = s["at"] + m["gap"]
-        end = start + F.length(m[f"g{groups[0]}"])
+    def event(x: Column, own: int) -> Column:
         return F.struct(
-            end.alias("at"),
-            F.concat(s["out"], F.array(F.struct(
-                start.alias("start"), end.alias("end"), *[m[f"g{g}"].alias(f"g{g}") for g in groups]
-            ))).alias("out"),
+            x["start"].alias("start"), F.lit(own).alias("own"), x["end"].alias("end"),
+            (x["g0"] if own else F.lit(None).cast("string")).alias("g0"), F.lit(False).alias("hit"),
+        )
+
+    def marked(x: Column, hit: Column) -> Column:
+        return F.struct(x["start"], x["own"], x["end"], x["g0"], (x["hit"] | hit).alias("hit"))
+
+    def forth(events: Column) -> Column:
+        return scan(
+            events, F.lit(-1), "int", kind,
+            lambda far, x: F.when(x["own"] == 0, F.greatest(far, x["end"])).otherwise(far),
+            lambda far, x: marked(x, far > x["start"]),
+        )
+
+    def back(events: Column) -> Column:
+        return scan(
+            F.reverse(events), F.lit(2**31 - 1), "int", kind,
+            lambda near, x: F.when(x["own"] == 0, x["start"]).otherwise(near),
+            lambda near, x: marked(x, near < x["end"]),
         )
 
-    return F.aggregate(found, first, step, lambda s: s["out"])
+    result = F.array_sort(F.concat(
+        F.transform(base, lambda x: event(x, 0)), F.transform(spans, lambda x: event(x, 1))
+    ))
+    for fold in (forth, back):
+        result = F.get(F.transform(F.array(result), fold), F.lit(0))
+    left = F.filter(F.reverse(result), lambda x: (x["own"] == 1) & ~x["hit"])
+    return F.transform(left, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["g0"].alias("g0")))
 
 
 def _xlog(c: Column) -> Column:
@@ -177,7 +249,7 @@ def scan_secrets(
             ok = ok & x["g0"].rlike(part)
         for pattern in allowed:
             ok = ok & ~x["g0"].rlike(pattern)
-        return ok & ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+        return ok
 
     def judged(x: Column) -> Column:
         kind, least = F.lit(None).cast("string"), F.lit(None).cast("double")
@@ -190,7 +262,10 @@ def scan_secrets(
             F.when(window_entropy(x["g0"], window) > least, kind).alias("kind"), x["end"].alias("end"),
         )
 
-    left = based.select("id", "base", F.filter("candidates", suspect).alias("left"))
+    likely = based.select("id", "base", F.filter("candidates", suspect).alias("likely"))
+    left = likely.select("id", "base", F.when(
+        (F.size("likely") > 0) & (F.size("base") > 0), apart(F.col("likely"), F.col("base"))
+    ).otherwise(F.col("likely")).alias("left"))
     scored = left.select(
         "id", "base",
         F.when(
