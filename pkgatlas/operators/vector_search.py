@@ -21,6 +21,8 @@ MAX_BROADCAST_QUERIES = 1024
 BLOCK_ROWS = 50_000
 #: Scores held at once in a task.
 STEP_SCORES = 4_000_000
+#: Numbers of the vectors that a task holds, when it streams queries.
+CHUNK_CELLS = 8_000_000
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -136,7 +138,8 @@ def vector_topk(
 
     A query batch of checked size goes to every task, which keeps a running top-k while
     it reads its share of the corpus once: only ``k`` rows per query and task are shuffled,
-    never the pairs. A larger batch is cut into blocks that meet corpus blocks by key.
+    never the pairs. For a larger batch the corpus is dealt into chunks, once, and every chunk
+    meets all queries in a stream. A ``max_broadcast_queries`` of 0 always streams.
     ``queries`` needs (query_id, embedding); ``id_col`` must be a whole number. Scores are
     compared at six digits, ties go to the smaller id. With ``bonus``, a column of the corpus,
     rows rank by ``weight`` times the cosine plus their bonus; ``order_score`` holds that sum.
@@ -170,9 +173,9 @@ def vector_topk(
             return corpus.sparkSession.createDataFrame([], empty.add("rank", T.IntegerType()))
         partial = corpus.select(*columns, vec_col).mapInArrow(task, schema)
     else:
-        partial = _blocked_topk(
-            corpus, queries, columns, schema, k, threshold, id_col, vec_col,
-            max_broadcast_queries, block_rows, weight,
+        partial = _streamed_topk(
+            corpus, queries, columns, schema, k, threshold, vec_col,
+            max(1, min(max_broadcast_queries, MAX_BROADCAST_QUERIES)), block_rows, weight,
         )
     if bonus is not None:
         total = F.round(F.col("score") * weight + F.col("_bonus"), SCORE_DIGITS)
@@ -182,42 +185,68 @@ def vector_topk(
     return partial.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def _block_numbers(n: int) -> Column:
-    return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+def _stream_task(columns: list[str], query_block: int, k: int, threshold: float, weight: float):
+    """Each chunk of the corpus comes first and is held; the queries after it pass by in batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, chunk = None, [], None
+        for batch in batches:
+            chunks, kinds = batch.column("_chunk").to_numpy(), batch.column("_kind").to_numpy()
+            edges = np.flatnonzero((np.diff(chunks) != 0) | (np.diff(kinds) != 0)) + 1
+            cuts = [0, *edges.tolist(), batch.num_rows]
+            for start, end in zip(cuts, cuts[1:]):
+                if start == end:
+                    continue
+                part = batch.slice(start, end - start)
+                if chunks[start] != number:
+                    number, held, chunk = chunks[start], [], None
+                if kinds[start] == 0:
+                    held.append(part)
+                    continue
+                if chunk is None:
+                    if not held:  # a chunk without rows
+                        continue
+                    table = pa.Table.from_batches(held)
+                    payload = pa.table(dict(zip(columns, table.column("_row").combine_chunks().flatten())))
+                    chunk, held = (payload, payload.column(columns[0]).to_numpy(), _matrix(table.column("_v"))), []
+                payload, ids, vectors = chunk
+                for at in range(0, part.num_rows, query_block):
+                    some = part.slice(at, query_block)
+                    top = _RunningTopK(_matrix(some.column("_v")), k, threshold, weight)
+                    top.add(payload, ids, vectors, _bonus(payload))
+                    out = top.result(some.column("query_id"))
+                    if out is not None:
+                        yield from out.combine_chunks().to_batches()
+
+    return run
 
 
-def _blocked_topk(corpus, queries, columns, schema, k, threshold, id_col, vec_col,
-                  query_block: int, corpus_block: int, weight: float) -> DataFrame:
-    """Every corpus block meets every query block; each pair of blocks is one bounded group."""
-    q_blocks = math.ceil(queries.count() / query_block)
-    c_blocks = max(1, math.ceil(corpus.count() / corpus_block))
-    left = corpus.select(
-        *columns, vec_col,
-        F.pmod(F.xxhash64(id_col), F.lit(c_blocks)).alias("_cb"),
-        F.explode(_block_numbers(q_blocks)).alias("_qb"),
+def _streamed_topk(corpus, queries, columns, schema, k, threshold, vec_col,
+                   query_block: int, chunk_rows: int, weight: float) -> DataFrame:
+    """The corpus is dealt into chunks and shuffled once; every chunk meets all queries in a stream.
+
+    Only queries are sent to each chunk, and at most ``k`` rows per query and chunk come out. A
+    task holds one chunk, of fewer rows the wider the vectors are.
+    """
+    n, wide = corpus.agg(F.count("*"), F.max(F.size(vec_col))).first()
+    chunks = max(1, math.ceil(n / max(1, min(chunk_rows, CHUNK_CELLS // max(1, wide or 1)))))
+    spark = corpus.sparkSession
+    chunks = max(chunks, min(spark.sparkContext.defaultParallelism, math.ceil(n / 1000)))
+    row = F.struct(*columns)
+    # columns[0] is the id
+    held = corpus.select(
+        F.pmod(F.xxhash64(columns[0]), F.lit(chunks)).cast("int").alias("_chunk"), F.lit(0).alias("_kind"),
+        row.alias("_row"), F.transform(vec_col, lambda x: x.cast("double")).alias("_v"),
+        F.lit(None).cast(schema["query_id"].dataType).alias("query_id"),
     )
-    right = queries.select(
-        "query_id", "_q",
-        F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).alias("_qb"),
-        F.explode(_block_numbers(c_blocks)).alias("_cb"),
+    asked = queries.select(
+        F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("_chunk"), F.lit(1).alias("_kind"),
+        F.lit(None).cast(held.schema["_row"].dataType).alias("_row"),
+        F.transform("_q", lambda x: x.cast("double")).alias("_v"), "query_id",
     )
-
-    def block(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = None
-        if left.num_rows and right.num_rows:
-            top = _RunningTopK(_matrix(right.column("_q")), k, threshold, weight)
-            top.add(
-                left.select(columns), left.column(id_col).to_numpy(), _matrix(left.column(vec_col)), _bonus(left)
-            )
-            out = top.result(right.column("query_id").combine_chunks())
-        if out is None:
-            out = left.select(columns).slice(0, 0).append_column(
-                "query_id", right.column("query_id").slice(0, 0)
-            ).append_column("score", pa.array([], pa.float64()))
-        return out
-
-    return left.groupBy("_cb", "_qb").cogroup(right.groupBy("_cb", "_qb")).applyInArrow(
-        block, schema
+    return (
+        held.unionByName(asked).repartition(chunks, "_chunk").sortWithinPartitions("_chunk", "_kind")
+        .mapInArrow(_stream_task(columns, query_block, k, threshold, weight), schema)
     )
 
 

@@ -492,6 +492,22 @@ def vector_topk_query(d: Domain) -> DataFrame:
     return vector_topk(corpus, d.topics(), 25, 0.0, payload=["name"])
 
 
+@query("""
+SELECT query_id, id, score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
+    SELECT q.vec_id AS query_id, e.vec_id AS id,
+           round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score
+    FROM embeddings e, embeddings q) WHERE score >= 0.3)
+WHERE rank <= 10""")
+def vector_topk_many(d: Domain) -> DataFrame:
+    """All vectors against all, streamed whatever their number."""
+    e = d.table("embeddings")
+    return vector_topk(
+        e.select(F.col("vec_id").alias("id"), "embedding"), e.select(F.col("vec_id").alias("query_id"), "embedding"),
+        10, 0.3, max_broadcast_queries=0,
+    )
+
+
 @query("SELECT query_id, rank, name, name_key, dependents_count, stars, growth_pct, similarity_score, blended_score FROM d_semantic")
 def semantic_search(d: Domain) -> DataFrame:
     return search.semantic_search(d.vectors(), d.topics(), **SEMANTIC)
