@@ -2,8 +2,9 @@
 
 A question that finds its key needs no words, so words are only held against questions of
 another key. Each text is sent once for each block of the other side, as its word hashes, and a
-pair of blocks counts shared words through the lists of texts that hold a word. Only the best
-known question of a block leaves a task, so neither long texts nor frequent words make rows.
+pair of blocks counts shared words: rare ones through the lists of texts that hold a word,
+frequent ones as a product of 0-1 matrices. Only the best known question of a block leaves a
+task, so neither long texts nor frequent words make rows. Blocks are cut by texts and by words.
 """
 
 from __future__ import annotations
@@ -22,8 +23,13 @@ from pkgatlas.session import materialize
 #: New texts, and known ones, in a block; fewer known ones are cut into up to SPREAD blocks.
 NEW_BLOCK, BLOCK = 65_536, 16_384
 SPREAD, LEAST_BLOCK = 12, 512
+#: Words in a block: it is one row of at most about 64 MB.
+BLOCK_WORDS = 1 << 22
 #: Word hits that are counted at once.
 HITS = 1 << 22
+#: Words that more than one text in so many holds are counted by a product of 0-1 matrices, at
+#: most so many of them; the others through their lists of texts.
+DENSE_SHARE, DENSE_WORDS = 48, 1024
 
 
 def _keyed(df: DataFrame, stop_words: Sequence[str], max_chars: int | None) -> DataFrame:
@@ -85,8 +91,20 @@ def _count(min_shared: int) -> Callable:
             found = words[at] == hashes if len(words) else np.zeros(len(hashes), bool)
             owner = np.repeat(np.arange(len(asked)), sizes)[found]
             at = at[found]
+            # the most frequent words: a column each
+            dense = np.flatnonzero(lengths * DENSE_SHARE > n)
+            dense = dense[np.argsort(-lengths[dense], kind="stable")[:DENSE_WORDS]]
+            column_of = np.full(max(len(words), 1), -1)
+            column_of[dense] = np.arange(len(dense))
+            held = np.zeros((len(dense), n), np.float32)
+            for c, w in enumerate(dense.tolist()):
+                held[c, holder[starts[w] : starts[w] + lengths[w]]] = 1
+            col = column_of[at]
+            dense_owner, col = owner[col >= 0], col[col >= 0]
+            rare = column_of[at] < 0
+            owner, at = owner[rare], at[rare]
             hits = np.bincount(owner, lengths[at], len(asked)).cumsum()
-            first = np.searchsorted(owner, np.arange(len(asked) + 1))
+            first, dense_first = (np.searchsorted(x, np.arange(len(asked) + 1)) for x in (owner, dense_owner))
             place = {x: i for i, x in enumerate(numbers.tolist())}
             own = np.array([place.get(x, -1) for x in column(new, "own").tolist()], np.int64)
             a = 0
@@ -100,6 +118,11 @@ def _count(min_shared: int) -> Callable:
                 texts = holder[np.repeat(starts[at[some]], count) + inside]
                 shared = np.bincount(np.repeat(owner[some] - a, count) * n + texts, minlength=(b - a) * n)
                 shared = shared.reshape(b - a, n)
+                if len(dense):
+                    some = slice(dense_first[a], dense_first[b])
+                    own_words = np.zeros((b - a, len(dense)), np.float32)
+                    own_words[dense_owner[some] - a, col[some]] = 1
+                    shared += (own_words @ held).astype(np.int64)  # whole numbers, exact
                 same = np.nonzero(own[a:b] >= 0)[0]
                 shared[same, own[a:b][same]] = 0
                 best = shared.argmax(axis=1)
@@ -153,9 +176,14 @@ def match_queries(
         .withColumn("no", F.monotonically_increasing_id()),
         "new-keys",
     )
-    new_blocks = max(-(-new_sets.count() // NEW_BLOCK), 1)
-    n = known_sets.count()
-    known_blocks = max(-(-n // BLOCK), min(SPREAD, -(-n // LEAST_BLOCK)), 1)
+
+    def volume(sets: DataFrame) -> tuple[int, int]:
+        n, words = sets.agg(F.count("*"), F.sum(F.size("words"))).first()
+        return n, words or 0
+
+    (asked_n, asked_words), (n, known_words) = volume(new_sets), volume(known_sets)
+    new_blocks = max(-(-asked_n // NEW_BLOCK), -(-asked_words // BLOCK_WORDS), 1)
+    known_blocks = max(-(-n // BLOCK), -(-known_words // BLOCK_WORDS), min(SPREAD, -(-n // LEAST_BLOCK)), 1)
     # a block is one row; it is sent once for each block of the other side
     left = _packed(new_sets, new_blocks).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.lit(known_blocks - 1)))

@@ -296,6 +296,12 @@ def test_blocks_do_not_change_matches(spark, monkeypatch):
     monkeypatch.setattr(matching, "NEW_BLOCK", 40)
     monkeypatch.setattr(matching, "BLOCK", 9)
     assert sorted(map(tuple, match_queries(df, df, exclude_self=True).collect())) == want
+    # cut by words, and all words through lists, then all by the product
+    monkeypatch.setattr(matching, "BLOCK_WORDS", 300)
+    for share, words in ((0, 1024), (10**6, 1024), (10**6, 3)):
+        monkeypatch.setattr(matching, "DENSE_SHARE", share)
+        monkeypatch.setattr(matching, "DENSE_WORDS", words)
+        assert sorted(map(tuple, match_queries(df, df, exclude_self=True).collect())) == want
 
 
 def test_scores_are_cut_before_payload(monkeypatch):
