@@ -12,7 +12,7 @@ from pkgatlas import fixed
 from pkgatlas.functions import display, scoring
 from pkgatlas.functions.names import explode_name_list, normalize_name, parse_name_list, repo_parts, repository_link
 from pkgatlas.functions.text import preview
-from pkgatlas.operators import build, compare, embed, health, lookup, rank, search, trends
+from pkgatlas.operators import aliases, build, compare, embed, health, lookup, rank, search, trends
 from pkgatlas.operators.citations import check_citations, grounding
 from pkgatlas.operators.guard import guarded_select
 from pkgatlas.operators.lookup import Layers
@@ -133,6 +133,38 @@ def normalize_name_query(d: Domain) -> DataFrame:
     return d.table("part").select("p_partkey", normalize_name(spelled).alias("normalized"))
 
 
+def _spelled(name: Column) -> Column:
+    kind = F.length(name) % 3
+    return F.when(kind == 0, F.replace(name, F.lit("-"), F.lit("_"))).when(
+        kind == 1, F.upper(F.replace(name, F.lit("-"), F.lit(".")))
+    ).otherwise(name)
+
+
+@query(r"""
+WITH needed AS (
+  SELECT lower(regexp_extract(r, '^\s*([A-Za-z0-9][A-Za-z0-9._-]*)', 1)) AS k, count(*) AS n
+  FROM (SELECT unnest(json_extract_string(requires_dist, '$[*]')) AS r FROM d_metadata) GROUP BY 1)
+SELECT CASE length(d.package_name) % 3 WHEN 0 THEN replace(d.package_name, '-', '_')
+         WHEN 1 THEN upper(replace(d.package_name, '-', '.')) ELSE d.package_name END AS package_name,
+       d.dependent_count, r.repo, coalesce(n.n, 0) AS required_by
+FROM d_dependents d LEFT JOIN d_best_repo r ON r.name_key = lower(d.package_name)
+LEFT JOIN needed n ON n.k = lower(d.package_name)""")
+def aliased_packages(d: Domain) -> DataFrame:
+    """Packages spelled in three ways are built from repositories and requirements that spell them in another."""
+    dependents = d.dependents().withColumn("package_name", _spelled(F.col("package_name")))
+    known = aliases.alias_table(
+        dependents.select(F.col("package_name").alias("name"), F.col("dependent_count").alias("weight")),
+        d.bridge().select(F.col("package_name").alias("name"), F.lit(-1).alias("weight")),
+    )
+    known = materialize(known, "aliases")
+    built = build.build_packages(dependents, aliases.resolve_names(d.bridge(), "package_name", known), d.repos())
+    edges = aliases.resolve_names(documents.requirement_edges(d.metadata()), "dependency_name", known)
+    needed = edges.groupBy(F.lower("dependency_name").alias("name_key")).agg(F.count("*").alias("n"))
+    return built.join(needed, "name_key", "left").select(
+        "package_name", "dependent_count", "repo", F.coalesce("n", F.lit(0)).alias("required_by")
+    )
+
+
 # --- lookup ------------------------------------------------------------------------------
 
 
