@@ -142,13 +142,13 @@ def _spelled(name: Column) -> Column:
 
 @query(r"""
 WITH needed AS (
-  SELECT lower(regexp_extract(r, '^\s*([A-Za-z0-9][A-Za-z0-9._-]*)', 1)) AS k, count(*) AS n
+  SELECT regexp_replace(lower(regexp_extract(r, '^\s*([A-Za-z0-9][A-Za-z0-9._-]*)', 1)), '[-_.]+', '-', 'g') AS k, count(*) AS n
   FROM (SELECT unnest(json_extract_string(requires_dist, '$[*]')) AS r FROM d_metadata) GROUP BY 1)
 SELECT CASE length(d.package_name) % 3 WHEN 0 THEN replace(d.package_name, '-', '_')
          WHEN 1 THEN upper(replace(d.package_name, '-', '.')) ELSE d.package_name END AS package_name,
        d.dependent_count, r.repo, coalesce(n.n, 0) AS required_by
 FROM d_dependents d LEFT JOIN d_best_repo r ON r.name_key = lower(d.package_name)
-LEFT JOIN needed n ON n.k = lower(d.package_name)""")
+LEFT JOIN needed n ON n.k = regexp_replace(lower(d.package_name), '[-_.]+', '-', 'g')""")
 def aliased_packages(d: Domain) -> DataFrame:
     """Packages spelled in three ways are built from repositories and requirements that spell them in another."""
     dependents = d.dependents().withColumn("package_name", _spelled(F.col("package_name")))
