@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from pkgatlas.functions.names import name_key, with_name_key
 from pkgatlas.operators.build import one_per_name
+from pkgatlas.session import new_work_path
+from pkgatlas.sources.edge_index import write_edge_index
 
 #: Pieces that the edges of one name are dealt to.
 EDGE_PIECES = 32
@@ -182,33 +184,46 @@ def health_metrics(layers: Layers, names: DataFrame) -> DataFrame:
 
 
 def _edge_topk(edges: DataFrame, names: DataFrame, on: str, other: str, limit: int) -> DataFrame:
-    """Two cuts: first inside pieces of a name's edges, then over what those leave.
+    """The first ``limit`` edges of each name, by the shown columns; 0 numbers them all.
 
-    A name list too long to broadcast meets the edges by (name, piece), so the edges of one
-    popular package spread over ``EDGE_PIECES`` tasks, and only ``limit`` rows of each go on.
+    A list short enough to broadcast filters the scan, and each task cuts a name before the
+    shuffle. A longer one meets the edges by (name, piece), so the edges of one popular package
+    spread over ``EDGE_PIECES`` tasks, and only ``limit`` rows of each go on. All edges are
+    numbered through an index in the work folder, so no task holds a whole name.
     """
+    if limit <= 0:
+        path = new_work_path(edges.sparkSession, "edges")
+        wanted = restrict(edges.withColumn("name_key", name_key(F.col(on))), names).drop("name_key")
+        return write_edge_index(wanted, path, on).listed(asked(names), 0)
     columns = [other, "dependency_kind", "dependency_requirements"]
     order = [F.col(c).asc() for c in columns]
-    keyed = edges.withColumn("name_key", name_key(F.col(on))).withColumn(
-        "_piece", F.pmod(F.xxhash64(*columns), F.lit(EDGE_PIECES)).cast("int")
-    )
-    keys = names.select(name_key(F.col("name")).alias("name_key")).distinct().withColumn(
-        "_piece", F.explode(F.sequence(F.lit(0), F.lit(EDGE_PIECES - 1)))
-    )
-    top = keyed.join(keys, ["name_key", "_piece"], "left_semi")
-    if limit > 0:
-        piece = Window.partitionBy("name_key", "_piece").orderBy(*order)
-        top = top.withColumn("_n", F.row_number().over(piece)).filter(F.col("_n") <= limit)
+    keyed = edges.withColumn("name_key", name_key(F.col(on)))
+    keys = names.select(name_key(F.col("name")).alias("name_key")).distinct()
+    if _fits_broadcast(keys):
+        top = keyed.join(keys, "name_key", "left_semi")
+    else:
+        piece = F.pmod(F.xxhash64(*columns), F.lit(EDGE_PIECES)).cast("int")
+        pieces = F.explode(F.sequence(F.lit(0), F.lit(EDGE_PIECES - 1)))
+        top = keyed.withColumn("_piece", piece).join(
+            keys.withColumn("_piece", pieces), ["name_key", "_piece"], "left_semi"
+        )
+        w = Window.partitionBy("name_key", "_piece").orderBy(*order)
+        top = top.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= limit)
     w = Window.partitionBy("name_key").orderBy(*order)
-    top = top.withColumn("pos", F.row_number().over(w))
-    if limit > 0:
-        top = top.filter(F.col("pos") <= limit)
+    top = top.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= limit)
     return asked(names).join(
         top.select("name_key", "pos", other, "dependency_kind", "dependency_requirements"),
         "name_key",
     )
 
 
+def _fits_broadcast(df: DataFrame) -> bool:
+    """Whether Spark's estimate of ``df`` is below the session's broadcast threshold."""
+    threshold = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) <= threshold
+
+
 def dependencies(edges: DataFrame, names: DataFrame, limit: int = 50) -> DataFrame:
     """First ``limit`` direct dependencies per asked project; 0 means all."""
     return _edge_topk(edges, names, "project_name", "dependency_name", limit)

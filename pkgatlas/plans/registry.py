@@ -31,6 +31,7 @@ from pkgatlas.plans.reports import explore_report, explore_rows
 from pkgatlas.schemas import DOWNLOADS, PROJECTS
 from pkgatlas.session import materialize, new_work_path
 from pkgatlas.sources import documents, files
+from pkgatlas.sources.edge_index import write_edge_index
 from pkgatlas.sources.split_csv import read_split_csv
 from pkgatlas.sources.tables import KeyedTable
 from pkgatlas.streaming import downloads as download_stream
@@ -216,7 +217,7 @@ SELECT n.name, n.name_key, e.pos, e.{other}, e.dependency_kind, e.dependency_req
 FROM d_names n JOIN (
   SELECT *, lower({on}) AS name_key, row_number() OVER (PARTITION BY lower({on})
     ORDER BY {other}, dependency_kind, dependency_requirements) AS pos FROM d_deps) e USING (name_key)
-WHERE e.pos <= {limit}"""
+{f"WHERE e.pos <= {limit}" if limit else ""}"""
 
 
 @query(_edges_sql("project_name", "dependency_name", 50))
@@ -229,6 +230,19 @@ def reverse_dependencies(d: Domain) -> DataFrame:
     return lookup.reverse_dependencies(d.deps(), d.names())
 
 
+@query(_edges_sql("dependency_name", "project_name", 0))
+def indexed_dependents(d: Domain) -> DataFrame:
+    """All dependents of the asked names, from a stored index of all edges."""
+    index = write_edge_index(d.deps(), new_work_path(d.spark, "edge-index"), "dependency_name")
+    return index.listed(lookup.asked(d.names()), 0)
+
+
+@query("SELECT lower(dependency_name) AS name_key, count(*) AS edge_count FROM d_all_deps GROUP BY 1")
+def indexed_edge_counts(d: Domain) -> DataFrame:
+    """Edges per dependency on every platform, from the index's offsets alone."""
+    return write_edge_index(d.all_deps(), new_work_path(d.spark, "edge-counts"), "dependency_name").counts()
+
+
 @query("""
 SELECT (SELECT count(*) FROM d_packages) AS total_packages, (SELECT count(*) FROM d_deps) AS total_dependencies""")
 def dataset_stats(d: Domain) -> DataFrame:
