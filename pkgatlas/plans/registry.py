@@ -26,6 +26,7 @@ from pkgatlas.operators.vector_search import (
     vector_topk,
 )
 from pkgatlas.plans import oracle as o
+from pkgatlas.plans.dataset import build_dataset
 from pkgatlas.plans.domain import AS_OF, Domain, pkg
 from pkgatlas.plans.reports import explore_report, explore_rows
 from pkgatlas.schemas import DOWNLOADS, PROJECTS
@@ -166,6 +167,45 @@ def aliased_packages(d: Domain) -> DataFrame:
     )
 
 
+def _exports(d: Domain) -> dict[str, str]:
+    """The domain's tables as CSV exports; versions of the kept platform carry its letter."""
+    versions = d.table("events").select(
+        F.concat(F.lit("pkg-"), F.col("user_id").cast("string")).alias("project_name"),
+        F.when(F.col("event_type") == "signup", "O").otherwise(F.col("event_type")).alias("platform"),
+    )
+    tables = {
+        "dependents": d.dependents(), "bridge": d.bridge(), "repos": d.repos(), "prior": d.prior(),
+        "projects": d.all_projects(), "versions": versions, "deps": d.all_deps(),
+    }
+    base = new_work_path(d.spark, "exports")
+    for name, rows in tables.items():
+        rows.write.option("header", "true").option("escape", '"').csv(f"{base}/{name}")
+    return {name: f"{base}/{name}" for name in tables}
+
+
+@query(f"SELECT {_PACKAGE_COLUMNS} FROM d_staged")
+def build_dataset_query(d: Domain) -> DataFrame:
+    """The build job over CSV exports of all tables; its packages."""
+    return build_dataset(d.spark, _exports(d), new_work_path(d.spark, "dataset"), "O").table("packages")
+
+
+@query(" UNION ALL ".join(
+    f"SELECT '{stage}' AS stage, (SELECT count(*) FROM {table}) AS row_count, {late} AS written_last"
+    for stage, table, late in (
+        ("staged_dependents", "d_dependents", "false"), ("staged_bridge", "lineitem", "false"), ("staged_repos", "supplier", "false"),
+        ("staged_prior", "d_prior", "true"), ("packages", "d_staged", "true"), ("projects", "d_projects", "false"),
+        ("versions", "d_versions", "false"), ("deps", "d_deps", "true"), ("edges_by_dependency_name", "d_deps", "true"),
+        ("edges_by_project_name", "d_deps", "true"),
+    )
+))
+def dataset_ledger(d: Domain) -> DataFrame:
+    """The ledger of a build that first lacks two exports and then gets them: only what they touch is written again."""
+    exports, path = _exports(d), new_work_path(d.spark, "dataset")
+    build_dataset(d.spark, {n: p for n, p in exports.items() if n not in ("prior", "deps")}, path, "O")
+    last = build_dataset(d.spark, exports, path, "O")
+    return last.ledger.select("stage", "row_count", F.col("stage").isin(list(last.written)).alias("written_last"))
+
+
 # --- lookup ------------------------------------------------------------------------------
 
 
