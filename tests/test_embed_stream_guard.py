@@ -132,6 +132,73 @@ def test_guard_allows(spark, tables, sql, want):
     assert sorted(map(tuple, guarded_select(spark, sql, tables).collect())) == want
 
 
+@pytest.mark.parametrize("expression", [
+    "upper(x) || lower(x) || trim(x) || initcap(x) || repeat(x, 2) || lpad(x, 9, '0') || rpad(x, 9) || replace(x, 'a', 'b')",
+    "length(x) + instr(x, 'a') + levenshtein(x, 'b') + ascii(x) + position('a' IN x)",
+    "contains(x, 'a') AND startswith(x, 'a') OR endswith(x, 'a') OR x LIKE 'a%' OR x ILIKE 'A%' OR x RLIKE 'a' OR NOT x IN ('a', 'b')",
+    "regexp_replace(x, 'a', 'b') || split(x, ',')[0] || split_part(x, ',', 1) || substring(x, 1, 2) || left(x, 1) || concat_ws('-', x, x)",
+    "ceil(id / 3) + floor(id / 3) + ceil(id / 3, 1) + round(id / 3, 2) + abs(-id) + sqrt(id) + ln(id + 1) + pow(id, 2) + id % 2",
+    "CASE WHEN id > 3 THEN 1 WHEN id IS NULL THEN 2 ELSE nullif(id, 4) END + coalesce(id, 0) + if(id > 2, 1, 0) + greatest(id, 1)",
+    "date_trunc('month', d) = to_timestamp('2020-01-01') OR year(d) = 2020 OR d > date'2020-01-01' + interval 1 month OR hour(d) > 1",
+    "datediff(d, to_date('2020-01-01')) + extract(month FROM d) + date_part('day', d) + unix_timestamp(d)",
+    "date_add(d, 3) > current_date() OR date_format(d, 'yyyy') = '2020' OR add_months(d, 1) IS NOT NULL OR d - interval '1' day > d",
+    "size(array(id, 2)) + aggregate(sequence(1, id), 0L, (a, v) -> a + v) + element_at(map('a', id), 'a') + named_struct('a', id).a",
+    "transform(filter(array(id, 2), v -> v > 2), v -> v + 1)[0] + cast('3' AS INT) + try_divide(id, 0) + array_max(array(id))",
+    "(SELECT count(*) FROM t u WHERE u.id < 3) + get_json_object('{\"a\":1}', '$.a') + hash(id) + xxhash64(x)",
+    "sum(id) OVER (PARTITION BY g ORDER BY id ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) + row_number() OVER (ORDER BY id) + lag(id) OVER (ORDER BY id)",
+    "EXISTS (SELECT 1 FROM t u WHERE u.id = s.id) OR id IN (SELECT id FROM t)",
+])
+def test_guard_allows_usual_functions(spark, tables, expression):
+    sub = "(SELECT *, cast(id AS STRING) AS x, timestamp'2020-01-05 10:00:00' AS d FROM t) s"
+    assert guarded_select(spark, f"SELECT {expression} AS v FROM {sub}", tables).count() == 10
+
+
+@pytest.mark.parametrize("select", [
+    "count(*), count(DISTINCT id), sum(id), avg(id), min(id), max(id), stddev(id), median(id), percentile_approx(id, 0.5), try_sum(id)",
+    "collect_list(id), array_agg(id), max_by(g, id), first(id), any_value(g), bool_or(id > 2), count_if(id > 1), mode(g), corr(id, g)",
+    "sum(id) FILTER (WHERE id > 2), percentile_cont(0.5) WITHIN GROUP (ORDER BY id), listagg(cast(id AS STRING), ',')",
+])
+def test_guard_allows_usual_aggregates(spark, tables, select):
+    assert guarded_select(spark, f"SELECT g, {select} FROM t GROUP BY g", tables).count() == 3
+    assert guarded_select(spark, f"SELECT g, {select} FROM t GROUP BY CUBE (g) HAVING count(*) > 0", tables).count() == 4
+
+
+def test_guard_allows_usual_relations(spark, tables):
+    for sql, n in [
+        ("SELECT a.id, e FROM t a LATERAL VIEW explode(array(1, 2)) v AS e", 20),
+        ("SELECT * FROM (SELECT g, id FROM t) PIVOT (sum(id) FOR g IN (0, 1, 2))", 1),
+        ("SELECT id FROM t EXCEPT SELECT id FROM t WHERE id > 4", 5),
+        ("SELECT id FROM t INTERSECT SELECT id + 1 FROM t", 9),
+        ("SELECT a.id FROM t a LEFT JOIN t b ON a.id = b.id + 1", 10),
+        ("SELECT DISTINCT g FROM t ORDER BY g LIMIT 2 OFFSET 1", 2),
+        ("SELECT * FROM VALUES (1, 'a'), (2, 'b') AS v(n, s)", 2),
+        ("SELECT t.g, l.m FROM t, LATERAL (SELECT max(u.id) AS m FROM t u WHERE u.g = t.g) l", 10),
+    ]:
+        assert guarded_select(spark, sql, tables).count() == n, sql
+
+
+@pytest.mark.parametrize("expression", [
+    "typeof(id)", "version()", "current_user()", "uuid()", "spark_partition_id()", "monotonically_increasing_id()",
+    "assert_true(id > 0)", "aes_encrypt('a', '0000111122223333')", "twice(id)", "upper(current_catalog())",
+    "transform(array(id), v -> uuid())", "if(id > 3, input_file_name(), 'x')",
+])
+def test_guard_refuses_what_no_list_names(spark, tables, expression):
+    spark.udf.register("twice", lambda v: v * 2, "long")
+    with pytest.raises(GuardError):
+        guarded_select(spark, f"SELECT {expression} AS v FROM t", tables)
+
+
+def test_guard_bounds_what_is_read(spark):
+    big = {"t": spark.range(10**6), "u": spark.range(10**6).withColumnRenamed("id", "k")}
+    keyed = "SELECT count(*) AS n FROM t JOIN u ON id = k WHERE k < 3"
+    assert guarded_select(spark, keyed, big, max_bytes=10**8).first()["n"] == 3
+    for sql in ("SELECT count(*) FROM t, u", "SELECT count(*) FROM t JOIN u ON id < k", "SELECT count(*) FROM range(1000000000000)"):
+        with pytest.raises(GuardError, match="bytes"):
+            guarded_select(spark, sql, big, max_bytes=10**8)
+    with pytest.raises(GuardError, match="bytes"):
+        run_guarded(spark, keyed, big, max_bytes=10**6)
+
+
 def test_guard_caps_and_stops(spark, tables):
     cut = guarded_select(spark, "SELECT * FROM t", tables, max_rows=4).collect()
     assert len(cut) == 4 and all(r["truncated"] for r in cut)
