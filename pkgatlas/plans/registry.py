@@ -28,7 +28,7 @@ from pkgatlas.operators.vector_search import (
 from pkgatlas.plans import oracle as o
 from pkgatlas.plans.dataset import build_dataset
 from pkgatlas.plans.domain import AS_OF, Domain, pkg
-from pkgatlas.plans.reports import explore_report, explore_rows
+from pkgatlas.plans.reports import explore_report, explore_rows, explore_series
 from pkgatlas.schemas import DOWNLOADS, PROJECTS
 from pkgatlas.session import materialize, new_work_path
 from pkgatlas.sources import documents, files
@@ -877,6 +877,20 @@ def explore_report_query(d: Domain) -> DataFrame:
     return report.select(*[c for c in report.columns if c != "children"], _children("children"))
 
 
+@query("""
+SELECT e.query_id, m.month, string_agg(e.pos || ':' || e.name || '=' || m.downloads, '|' ORDER BY e.pos) AS points
+FROM d_explore e JOIN (SELECT lower(package_name) AS name_key, month, sum(downloads)::BIGINT AS downloads FROM d_monthly GROUP BY ALL) m
+  USING (name_key)
+GROUP BY e.query_id, m.month""")
+def explore_series_query(d: Domain) -> DataFrame:
+    """The chart beside the explore answer: months of every answered package."""
+    d = d.stored()
+    rows = explore_rows(d.layers(), d.vectors(), d.topics(), AS_OF, growth=GROWTH, semantic=SEMANTIC, shortlist=SHORTLIST)
+    rows = materialize(rows.select("query_id", "pos", "name"), "answered")
+    texts = F.transform("points", lambda p: F.concat(p["pos"].cast("string"), F.lit(":"), p["name"], F.lit("="), p["downloads"].cast("string")))
+    return explore_series(rows, d.downloads()).select("query_id", "month", F.array_join(texts, "|").alias("points"))
+
+
 # --- ingest ------------------------------------------------------------------------------
 
 

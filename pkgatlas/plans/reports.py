@@ -7,11 +7,13 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pkgatlas.functions.names import name_key
 from pkgatlas.operators.compare import banner, with_latest_downloads
 from pkgatlas.operators.health import package_stats
 from pkgatlas.operators.lookup import Layers
 from pkgatlas.operators.rank import growth_shortlist, result_map
 from pkgatlas.operators.search import hybrid_search, query_intent
+from pkgatlas.operators.trends import monthly_downloads
 from pkgatlas.session import materialize
 
 
@@ -63,3 +65,21 @@ def explore_report(rows: DataFrame) -> DataFrame:
     )
     maps = result_map(rows, per=("query_id",))
     return banner(rows, per).join(totals, "query_id").join(maps, "query_id")
+
+
+def explore_series(rows: DataFrame, downloads: DataFrame) -> DataFrame:
+    """Monthly downloads of the packages of each answer: (query_id, month, points).
+
+    ``points`` holds a (pos, name, downloads) per package with downloads in that month, in answer
+    order, so a month no package has is no row and a package without history is in no point.
+    Spellings of a name are summed; days that are no date have no month and stay out. Downloads
+    are filtered by the answered names before they are summed, and summed before any join; an
+    array holds at most as many points as the answer has packages.
+    """
+    chosen = rows.select("query_id", "pos", "name", name_key(F.col("name")).alias("name_key"))
+    monthly = monthly_downloads(downloads, chosen.select("name").distinct()).filter(F.col("month").isNotNull())
+    by_key = monthly.groupBy(name_key(F.col("package_name")).alias("name_key"), "month").agg(
+        F.sum("downloads").alias("downloads")
+    )
+    point = F.struct("pos", "name", "downloads")
+    return chosen.join(by_key, "name_key").groupBy("query_id", "month").agg(F.array_sort(F.collect_list(point)).alias("points"))

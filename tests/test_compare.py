@@ -83,3 +83,24 @@ def test_trends(spark):
     assert [r["package_name"] for r in trends.latest_downloads(monthly).collect()] == ["A"]
     growth = {(r[0], r[1]): r["growth_from_start"] for r in trends.normalized_trend(monthly).collect()}
     assert growth["A", "2024-02"] == 100.0 and growth["b", "2024-02"] is None
+
+
+def test_explore_series(spark):
+    from pkgatlas.plans.reports import explore_series
+
+    rows = spark.createDataFrame(
+        [(1, 1, "Flask"), (1, 2, "django"), (1, 3, "none"), (2, 1, "django"), (3, 1, "gone")], "query_id long, pos int, name string"
+    )
+    downloads = spark.createDataFrame(
+        [("flask", "2024-01-03", 5), ("FLASK", "2024-01-09", 2), ("django", "2024-01-01", 4), ("django", "2024-02-01", 6),
+         ("django", "no date", 9), ("other", "2024-01-01", 8), (None, "2024-01-01", 1), ("none", "2024-02-01", None)],
+        "package_name string, month string, downloads long",
+    )
+    got = {(r["query_id"], r["month"]): [tuple(p) for p in r["points"]] for r in explore_series(rows, downloads).collect()}
+    assert got == {
+        (1, "2024-01"): [(1, "Flask", 7), (2, "django", 4)],
+        (1, "2024-02"): [(2, "django", 6), (3, "none", None)],
+        (2, "2024-01"): [(1, "django", 4)],
+        (2, "2024-02"): [(1, "django", 6)],
+    }
+    assert explore_series(rows.limit(0), downloads).count() == 0
