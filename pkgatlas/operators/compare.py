@@ -8,6 +8,7 @@ request, so a request of any size is split freely.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +31,9 @@ METRICS = {
     "release": ("days_since_last_release", False),
 }
 
+#: Positions of one comparison that are met in one task.
+PIECE_ROWS = 4096
+
 
 def compare(
     layers: Layers, requests: DataFrame, as_of: str, per: str = "request_id", **options
@@ -94,29 +98,91 @@ def with_latest_downloads(results: DataFrame, latest: DataFrame) -> DataFrame:
     return results.join(by_key, "name_key", "left")
 
 
-def best_per_metric(
-    results: DataFrame, per: str = "request_id", order: Sequence[Column] | None = None
-) -> DataFrame:
-    """The best package of each metric in each comparison; the earlier row wins ties.
+def _order_number(order: Sequence[Column]) -> Column:
+    """One or two whole numbers (the second below 5e18 in amount) as one that sorts alike."""
+    if not 1 <= len(order) <= 2:
+        raise ValueError("the order inside a comparison has one or two numbers")
+    first, *rest = [c.cast("long").cast("decimal(19,0)") for c in order]
+    return (first * F.lit(Decimal(10**19)) + rest[0] if rest else first).cast("decimal(38,0)")
 
-    Zero days since the release is the best age. The ``downloads`` metric appears only in
-    comparisons where some package has downloads.
-    """
-    order = [F.col("pos")] if order is None else order
+
+def _metrics(results: DataFrame) -> dict[str, Column]:
+    """The value that leads in each metric, the higher the better."""
     metrics = dict(METRICS)
     if "latest_downloads" in results.columns:
         metrics["downloads"] = ("latest_downloads", True)
 
-    def candidate(name: str, column: str, higher: bool) -> Column:
+    def value(column: str, higher: bool) -> Column:
         missing = fixed.UNKNOWN_DAYS if column == "days_since_last_release" else 0
-        value = F.coalesce(F.col(column), F.lit(missing)).cast("double")
-        row = F.struct(F.lit(name).alias("metric"), "name", "pos", value.alias("value"))
-        return F.max_by(row, _first_best(value if higher else -value, order)).alias(name)
+        found = F.coalesce(F.col(column), F.lit(missing)).cast("double")
+        return found if higher else -found
+
+    return {name: value(*of) for name, of in metrics.items()}
+
+
+def _piece() -> Column:
+    """Part of a comparison that a row belongs to: so many positions each, so that a hot one is spread."""
+    return F.coalesce(F.floor(F.col("pos") / PIECE_ROWS), F.lit(0))
+
+
+def _leaders(results: DataFrame, per: str, order: Sequence[Column]) -> DataFrame:
+    """(_per, _piece, lead): each metric's best value ``v_`` and the order number ``o_`` of the row that has it first.
 
-    # one aggregation for all metrics, instead of a row per package and metric
-    best = results.groupBy(per).agg(*[candidate(m, c, h) for m, (c, h) in metrics.items()])
-    out = best.select(per, F.inline(F.array(*metrics)))
-    return out.filter((F.col("metric") != "downloads") | (F.col("value") > 0))
+    One row per piece of a comparison. Buffers are plain numbers, so both aggregations hash:
+    first the best values, then, of the rows that reach them, the lowest order number.
+    """
+    metrics = _metrics(results)
+    rows = results.select(
+        F.col(per).alias("_per"), _piece().alias("_piece"), _order_number(order).alias("_order"),
+        *[v.alias(f"x_{m}") for m, v in metrics.items()],
+    )
+    tops = rows.groupBy("_per", "_piece").agg(*[F.max(f"x_{m}").alias(f"v_{m}") for m in metrics])
+    best = tops.groupBy(F.col("_per").alias("_of")).agg(*[F.max(f"v_{m}").alias(f"v_{m}") for m in metrics])
+    pieces = tops.select("_per", "_piece").join(best, F.col("_per").eqNullSafe(F.col("_of"))).drop("_of")
+    known = pieces.withColumnsRenamed({"_per": "_of", "_piece": "_in"})
+    met = rows.join(known, F.col("_per").eqNullSafe(F.col("_of")) & (F.col("_piece") == F.col("_in")))
+    firsts = (
+        met.groupBy("_per", "_piece")
+        .agg(*[F.min(F.when(F.col(f"x_{m}") == F.col(f"v_{m}"), F.col("_order"))).alias(f"o_{m}") for m in metrics])
+        .groupBy(F.col("_per").alias("_of")).agg(*[F.min(f"o_{m}").alias(f"o_{m}") for m in metrics])
+    )
+    lead = F.struct(*[f"{x}_{m}" for m in metrics for x in "vo"]).alias("lead")
+    return pieces.join(firsts, F.col("_per").eqNullSafe(F.col("_of"))).select("_per", "_piece", lead)
+
+
+def _with_leads(results: DataFrame, per: str, order: Sequence[Column]) -> DataFrame:
+    """``results`` with ``_leads``: the metrics (name, value) in which a row is the first of the best."""
+    metrics = _metrics(results)
+    leaders = _leaders(results, per, order)
+
+    def led(name: str) -> Column:
+        top = F.col(f"lead.v_{name}")
+        first = F.col(f"lead.o_{name}") == F.col("_order")
+        value = top if METRICS.get(name, ("", True))[1] else -top
+        if name == "downloads":  # only where some package has downloads
+            first = first & (top > 0)
+        return F.when(first, F.struct(F.lit(name).alias("metric"), value.alias("value")))
+
+    return (
+        results.withColumns({"_order": _order_number(order), "_at": _piece()})
+        .join(leaders, F.col(per).eqNullSafe(F.col("_per")) & (F.col("_at") == F.col("_piece")))
+        .withColumn("_leads", F.array_compact(F.array(*[led(m) for m in metrics])))
+        .select(*results.columns, "_leads")
+    )
+
+
+def best_per_metric(
+    results: DataFrame, per: str = "request_id", order: Sequence[Column] | None = None
+) -> DataFrame:
+    """The best package of each metric in each comparison; the earlier row wins ties.
+
+    ``order``: one or two whole numbers, lowest first. Zero days since the release is the best
+    age. The ``downloads`` metric appears only in comparisons where some package has downloads.
+    ``results`` is read three times; store it first where it is costly.
+    """
+    rows = _with_leads(results, per, [F.col("pos")] if order is None else order)
+    led = rows.select(per, "name", "pos", F.inline("_leads"))
+    return led.select(per, "metric", "name", "pos", "value")
 
 
 def comparison_report(
@@ -135,18 +201,14 @@ def comparison_report(
         rows = rows.withColumn("latest_downloads", F.lit(None).cast("long"))
     # stored once: the leaders are found from all rows and joined back to them
     rows = materialize(rows, "comparison")
-    leads = (
-        best_per_metric(rows, per, answer_order())
-        .groupBy(per, "pos")
-        .agg(F.array_join(F.array_sort(F.collect_list("metric")), ",").alias("best_in"))
+    rows = _with_leads(rows, per, answer_order()).withColumn(
+        "best_in", F.array_join(F.array_sort(F.col("_leads.metric")), ",")
     )
     days, growth = F.col("days_since_last_release"), F.col("growth_pct")
     # one formatter over an array: spelled out four times, the generated method would be
     # too large for the JVM to compile
     counts = F.array("stars", "dependents_count", "forks", "latest_downloads")
-    texts = rows.join(leads, [per, "pos"], "left").withColumn(
-        "_short", F.transform(counts, lambda v: display.abbreviate(v))
-    )
+    texts = rows.withColumn("_short", F.transform(counts, lambda v: display.abbreviate(v)))
     return texts.select(
         per,
         "pos",
@@ -167,7 +229,7 @@ def comparison_report(
         display.recency_status(days).alias("last_release_status"),
         F.concat(F.col("total_versions"), F.lit(" releases")).alias("versions_text"),
         F.when(F.col("license") != "", F.col("license")).otherwise("—").alias("license_text"),
-        F.coalesce("best_in", F.lit("")).alias("best_in"),
+        "best_in",
     )
 
 

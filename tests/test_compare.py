@@ -36,6 +36,38 @@ def test_first_row_wins_ties(results):
     assert best[2, "release"] == "a"
 
 
+def test_best_rows_without_sorted_aggregation(spark, results):
+    plan = compare.best_per_metric(results, order=compare.answer_order())._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+
+
+def test_best_rows_of_long_and_null_comparisons(spark):
+    """Against a plain loop: many pieces, ties, nulls, negative ages and a comparison without an id."""
+    rows = spark.range(20_000).select(
+        F.when(F.col("id") % 5 < 3, 1).when(F.col("id") % 5 == 3, 2).alias("request_id"),
+        F.col("id").alias("pos"), F.concat(F.lit("p"), F.col("id")).alias("name"),
+        *[
+            F.when(F.col("id") % (7 + i) != 0, (F.xxhash64("id", F.lit(i)) % 40).cast(kind)).alias(c)
+            for i, (c, kind) in enumerate([
+                ("health_score", "int"), ("stars", "long"), ("dependents_count", "long"), ("growth_pct", "double"),
+                ("forks", "long"), ("total_versions", "long"), ("days_since_last_release", "int"),
+            ])
+        ],
+    )
+    want = {}
+    for r in rows.collect():
+        for metric, (column, higher) in compare.METRICS.items():
+            value = r[column] if r[column] is not None else (9999 if metric == "release" else 0)
+            key = (-value if higher else value, -(r["dependents_count"] or 0), r["pos"])
+            at = (r["request_id"], metric)
+            want[at] = min(want.get(at, (key, "", 0.0)), (key, r["name"], float(value)))
+    got = compare.best_per_metric(rows, order=compare.answer_order()).collect()
+    assert {(r["request_id"], r["metric"]): (r["name"], r["value"]) for r in got} == {
+        k: v[1:] for k, v in want.items()
+    }
+    assert len(got) == len(want) == 21
+
+
 def test_banner(results):
     one = compare.banner(results).filter("request_id = 1").first()
     assert (one["packages_analyzed"], one["total_dependents"]) == (3, 23)
