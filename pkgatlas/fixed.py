@@ -66,7 +66,7 @@ TOPIC_TERMS = (
 DOWNLOAD_CATEGORY = "without_mirrors"
 
 # README code blocks.
-PYTHON_TAGS = ("python", "py")
+INSTALL_COMMANDS = ("pip install", "python -m pip install")
 SKIPPED_FENCE_TAGS = (
     "html", "xml", "css", "json", "yaml", "yml", "toml", "ini",
     "console", "bash", "sh", "shell", "sql",

@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 from pkgatlas import fixed
 
 # FIXED VALUES: block shapes. (?U) and (?d) give Unicode classes and \n-only line ends.
-TAGGED_FENCE = r"(?Udsi)```(?:" + "|".join(fixed.PYTHON_TAGS) + r")\s*\n(.*?)```"
+TAGGED_FENCE = r"(?Udsi)```(?:python|py)\s*\n(.*?)```"
 ANY_FENCE = r"(?Uds)```(\w*)\s*\n(.*?)```"
-INSTALL_LINE = r"(?U)^\s*(?:\$\s*)?(?:python\s+-m\s+)?pip\s+install\s+\S+\s*$"
 CODE_SIGNAL = r"(?Udm)(^import |^from .+ import |^def |^class |^>>> |[=()\[\]{}]|^\w+\.)"
 LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 
@@ -27,10 +26,19 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
 
 
+def _is_install(line: Column) -> Column:
+    """An install command with one argument, after an optional prompt sign."""
+    line = strip(line)
+    command = F.when(F.startswith(line, F.lit("$")), strip(F.substring(line, 2, 1 << 30))).otherwise(line)
+    words = F.split(command, r"(?U)\s+")
+    head = F.array_join(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), " ")
+    return head.isin(*fixed.INSTALL_COMMANDS)
+
+
 def is_trivial_install(code: Column) -> Column:
     """Every non-blank line is one install command; empty counts as trivial."""
     lines = F.filter(F.split(strip(code), LINE_BREAK), lambda line: strip(line) != "")
-    return F.forall(lines, lambda line: line.rlike(INSTALL_LINE))
+    return F.forall(lines, _is_install)
 
 
 def looks_like_code(code: Column, strict: bool = False) -> Column:

@@ -28,6 +28,10 @@ CASES = {
     "dollar install": (f"{F3}\n$ pip install a\npython -m pip install b\n\n{F3}", None),
     "install with option is no trivial install": (
         f"{F3}\npip install -U a\n{F3}", "pip install -U a"),
+    "prompt without a space": (f"{F3}\n$pip  install\ta\n{F3}", None),
+    "two packages are no trivial install": (f"{F3}\npip install a b\n{F3}", "pip install a b"),
+    "install without a package": (f"{F3}\npip install\n{F3}", "pip install"),
+    "other installer": (f"{F3}\npython3 -m pip install a\n{F3}", "python3 -m pip install a"),
     "empty fence": (f"{F3}python\n\n{F3}\n{F3}\nz()\n{F3}", "z()"),
     "indented": ("Use::\n\n    import a\n    a.go()\n\nEnd", "import a\na.go()"),
     "indented prose": ("Use\n\n    some words here\n    more words here\n", None),
