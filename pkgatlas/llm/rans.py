@@ -11,13 +11,16 @@ codes LANES ids at a time. Layout, little endian:
     checkpoints                blocks x (u64 first byte, u64 first id, u32 ids, u32 crc32 of its ids)
     blocks                     LANES x u64 states, then u32 words
 
-A checkpoint is all that is needed to decode its block alone; byte places count from the first block.
+A checkpoint and the table are all that is needed to decode its block alone; byte places count from
+the first block. ``Segment.cut`` makes a segment of its own from some blocks without decoding any.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterable
+from functools import cached_property
 
 import numpy as np
 
@@ -98,17 +101,34 @@ def _ranked(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return symbols, rank[ids], counts[symbols]
 
 
-def encode(ids: np.ndarray) -> bytes:
-    """A segment of unsigned 32-bit ids."""
+def block_ends(lengths: Iterable[int], block_ids: int = BLOCK_IDS) -> list[int]:
+    """Ends of blocks that hold whole documents; a document above ``block_ids`` has blocks of its own."""
+    ends: list[int] = []
+    at = begun = 0
+    for n in lengths:
+        if n > block_ids:
+            ends += [at] * (at > begun) + list(range(at + block_ids, at + n, block_ids)) + [at + n]
+            begun = at + n
+        elif at + n - begun >= block_ids:
+            ends.append(at + n)
+            begun = at + n
+        at += n
+    return ends + [at] * (at > begun)
+
+
+def encode(ids: np.ndarray, ends: list[int] | None = None) -> bytes:
+    """A segment of unsigned 32-bit ids; its blocks close at ``ends``, else after ``BLOCK_IDS`` ids each."""
+    if ends is None:
+        ends = [*range(BLOCK_IDS, len(ids), BLOCK_IDS), len(ids)] if len(ids) else []
     symbols, place, counts = _ranked(ids)
     bits = table_bits(len(symbols))
     freq = frequencies(counts, bits) if len(symbols) else np.empty(0, np.int64)
     start = np.cumsum(freq) - freq
     f, s = freq.astype(np.uint64), start.astype(np.uint64)
-    blocks, points, at = [], np.zeros(-(-len(ids) // BLOCK_IDS), _POINT), 0
-    for n, first in enumerate(range(0, len(ids), BLOCK_IDS)):
-        some = ids[first : first + BLOCK_IDS].astype("<u4")
-        block = _encode_block(place[first : first + BLOCK_IDS], f, s, bits)
+    blocks, points, at = [], np.zeros(len(ends), _POINT), 0
+    for n, (first, end) in enumerate(zip([0, *ends], ends)):
+        some = ids[first:end].astype("<u4")
+        block = _encode_block(place[first:end], f, s, bits)
         points[n] = (at, first, len(some), zlib.crc32(some.tobytes()))
         blocks.append(block)
         at += len(block)
@@ -123,28 +143,46 @@ class Segment:
     """A coded segment; blocks decode in any order."""
 
     def __init__(self, data: bytes) -> None:
-        magic, self.bits, n_symbols, n_blocks, self.n_ids = _HEAD.unpack_from(data)
+        magic, self.bits, self.n_symbols, n_blocks, self.n_ids = _HEAD.unpack_from(data)
         if magic != MAGIC:
             raise ValueError("not a segment of coded ids")
         at = _HEAD.size
         (length,) = struct.unpack_from("<I", data, at)
-        table = np.frombuffer(zlib.decompress(data[at + 4 : at + 4 + length]), "<u4")
+        self.packed = data[at + 4 : at + 4 + length]
         at += 4 + length
-        self.symbols = table[:n_symbols]
-        freq = table[n_symbols:].astype(np.int64)
-        self.slots = np.repeat(np.arange(n_symbols), freq)
-        self.freq, self.start = freq.astype(np.uint64), (np.cumsum(freq) - freq).astype(np.uint64)
         self.points = np.frombuffer(data, _POINT, n_blocks, at)
         self.body = data[at + n_blocks * _POINT.itemsize :]
 
+    @cached_property
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, frequencies, running frequencies and the rank behind each slot."""
+        table = np.frombuffer(zlib.decompress(self.packed), "<u4")
+        freq = table[self.n_symbols :].astype(np.int64)
+        slots = np.repeat(np.arange(self.n_symbols), freq)
+        return table[: self.n_symbols], freq.astype(np.uint64), (np.cumsum(freq) - freq).astype(np.uint64), slots
+
+    def _byte_end(self, n: int) -> int:
+        return int(self.points[n]["byte"]) if n < len(self.points) else len(self.body)
+
+    def cut(self, begin: int, end: int) -> bytes:
+        """Blocks ``begin`` to ``end`` (exclusive) as a segment with the same table."""
+        points = self.points[begin:end].copy()
+        at = self._byte_end(begin)
+        points["byte"] -= np.uint64(at)
+        points["first"] -= self.points[begin]["first"]
+        return b"".join([
+            _HEAD.pack(MAGIC, self.bits, self.n_symbols, len(points), int(points["ids"].sum())),
+            struct.pack("<I", len(self.packed)), self.packed, points.tobytes(), self.body[at : self._byte_end(end)],
+        ])
+
     def block(self, n: int) -> np.ndarray:
         """The ids of block ``n``, checked against its checksum."""
         point = self.points[n]
-        end = int(self.points[n + 1]["byte"]) if n + 1 < len(self.points) else len(self.body)
+        symbols, freq, start, slots = self.tables
         place = _decode_block(
-            self.body[int(point["byte"]) : end], int(point["ids"]), self.freq, self.start, self.slots, self.bits
+            self.body[int(point["byte"]) : self._byte_end(n + 1)], int(point["ids"]), freq, start, slots, self.bits
         )
-        ids = self.symbols[place]
+        ids = symbols[place]
         if zlib.crc32(ids.tobytes()) != point["crc"]:
             raise ValueError(f"checksum of block {n} differs")
         return ids

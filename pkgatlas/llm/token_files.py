@@ -15,19 +15,20 @@ from pkgatlas.llm.common import store, text_or_empty
 from pkgatlas.llm.tokens import PieceEncoder
 
 SEGMENT_IDS = 1 << 22
+BLOCKS = "at long, docs array<long>, n_tokens array<long>, data binary"
 SEGMENTS = "part int, segment int, n_ids long, docs array<long>, n_tokens array<long>, data binary"
 
 
-def _segment_rows(part: int, number: int, docs: list, pieces: list[np.ndarray]) -> pa.RecordBatch:
-    data = rans.encode(np.concatenate(pieces))
+def _segment_rows(part: int, number: int, docs: list, pieces: list[np.ndarray], block_ids: int) -> pa.RecordBatch:
     lengths = [len(p) for p in pieces]
+    data = rans.encode(np.concatenate(pieces), rans.block_ends(lengths, block_ids))
     return pa.RecordBatch.from_arrays([
         pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([sum(lengths)], pa.int64()),
         pa.array([docs], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([data]),
     ], ["part", "segment", "n_ids", "docs", "n_tokens", "data"])
 
 
-def _write_task(make: Callable[[str, int], PieceEncoder], path: str, end_id: int, segment_ids: int):
+def _write_task(make: Callable[[str, int], PieceEncoder], path: str, end_id: int, segment_ids: int, block_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, number = make(path, end_id), TaskContext.get().partitionId(), 0
         docs, pieces, size = [], [], 0
@@ -37,10 +38,10 @@ def _write_task(make: Callable[[str, int], PieceEncoder], path: str, end_id: int
                 pieces.append(ids)
                 size += len(ids)
                 if size >= segment_ids:
-                    yield _segment_rows(part, number, docs, pieces)
+                    yield _segment_rows(part, number, docs, pieces, block_ids)
                     docs, pieces, size, number = [], [], 0, number + 1
         if docs:
-            yield _segment_rows(part, number, docs, pieces)
+            yield _segment_rows(part, number, docs, pieces, block_ids)
 
     return run
 
@@ -54,13 +55,14 @@ def write_token_files(
     id_col: str = "doc_id",
     text_col: str = "text",
     segment_ids: int = SEGMENT_IDS,
+    block_ids: int = rans.BLOCK_IDS,
 ) -> None:
     """Write ids of all documents to ``path``, ascending by id, as range-coded segments.
 
     Texts are dealt by ranges of the id and sorted, so files and the segments in them follow the
-    id order; a segment closes after the document that brings it to ``segment_ids`` ids. Each
-    segment has a frequency table over all its ids, independent blocks, checkpoints and
-    checksums (see ``rans``); the container is Parquet, one row a segment, so any store that
+    id order; a segment closes after the document that brings it to ``segment_ids`` ids, a block at ``block_ids``. Each
+    segment has a frequency table over all its ids, independent blocks of whole documents (a very
+    long one has blocks of its own), checkpoints and checksums (see ``rans``); the container is Parquet, one row a segment, so any store that
     Spark writes to will do. Null or empty text is the end id alone. Null ids come first; rows
     with the same id keep their input order, and spread over tasks when they are many. Further
     columns are ignored; an empty table gives no segments.
@@ -74,11 +76,31 @@ def write_token_files(
         )
         .repartitionByRange(parts, *order).sortWithinPartitions(*order)
         .select("doc", "text")
-        .mapInArrow(_write_task(make_encoder, tokenizer_path, end_id, segment_ids), SEGMENTS)
+        .mapInArrow(_write_task(make_encoder, tokenizer_path, end_id, segment_ids, block_ids), SEGMENTS)
         .write.option("compression", "none").parquet(path)
     )
 
 
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Segments cut by their checkpoints where a block and a document end together; nothing is decoded."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            at, docs, lengths, data = (batch.column(c)[row].as_py() for c in range(4))
+            segment = rans.Segment(data)
+            doc_ends = np.cumsum(np.array(lengths, np.int64))
+            block_ends = np.cumsum(segment.points["ids"].astype(np.int64))
+            lasts = np.flatnonzero(np.isin(block_ends, doc_ends)) + 1
+            doc = block = 0
+            for last in lasts.tolist():
+                end = int(np.searchsorted(doc_ends, block_ends[last - 1], "right"))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([at], pa.int64()), pa.array([docs[doc:end]], pa.list_(pa.int64())),
+                    pa.array([lengths[doc:end]], pa.list_(pa.int64())), pa.array([segment.cut(block, last)], pa.binary()),
+                ], ["at", "docs", "n_tokens", "data"])
+                at += sum(lengths[doc:end])
+                doc, block = end, last
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in range(batch.num_rows):
@@ -98,8 +120,10 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """Documents of token files: doc, start (ids before it), n_tokens, ids (unsigned 32-bit bytes).
 
-    Every segment is decoded on its own; a damaged block raises an error. Starts are sums over
-    one row per file, then over the segments of a file.
+    Checkpoints cut segments into blocks, which are dealt over the tasks still coded and decoded
+    there, so files of any size and number decode in parallel; a document's blocks stay together.
+    A damaged block raises an error. Starts are sums over one row per file, then over the segments
+    of a file.
     """
     segments = spark.read.schema(SEGMENTS).parquet(path)
     sizes = segments.select("part", "segment", "n_ids")
@@ -115,6 +139,6 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
         "segment-starts",
     )
     # coded segments stay where they are when the starts are small, which their stored size tells
-    return segments.join(starts, ["part", "segment"]).select("at", "docs", "n_tokens", "data").mapInArrow(
-        _read, "doc long, start long, n_tokens long, ids binary"
-    )
+    blocks = segments.join(starts, ["part", "segment"]).select("at", "docs", "n_tokens", "data").mapInArrow(_split, BLOCKS)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return blocks.repartition(parts, "at").mapInArrow(_read, "doc long, start long, n_tokens long, ids binary")

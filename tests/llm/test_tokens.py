@@ -74,6 +74,20 @@ def test_range_coder_round_trip(n, kinds):
                 rans.Segment(bytes(spoiled)).ids()
 
 
+@pytest.mark.parametrize("lengths,want", [
+    ([], []), ([3], [3]), ([3, 7], [10]), ([3, 8, 2], [11, 13]), ([25], [10, 20, 25]), ([4, 25, 1], [4, 14, 24, 29, 30]), ([10, 20, 5], [10, 20, 30, 35]),
+])
+def test_blocks_hold_whole_documents(lengths, want):
+    assert rans.block_ends(lengths, 10) == want
+    ids = np.random.default_rng(1).integers(0, 9, sum(lengths)).astype("<u4")
+    segment = rans.Segment(rans.encode(ids, want))
+    assert (segment.ids() == ids).all() and len(segment.points) == len(want)
+    for begin in range(len(want)):
+        for end in range(begin + 1, len(want) + 1):
+            alone = rans.Segment(segment.cut(begin, end))
+            assert (alone.ids() == ids[([0, *want])[begin] : want[end - 1]]).all()
+
+
 def test_large_ids_and_wrong_magic():
     ids = np.array([2**32 - 1, 5, 2**31, 5], "<u4")
     assert (rans.Segment(rans.encode(ids)).ids() == ids).all()
@@ -86,9 +100,10 @@ def reference(path, end, data):
     return [np.array(e.ids + [end], "<u4") for e in plain.encode_batch([r[1] or "" for r in data], add_special_tokens=False)]
 
 
-def test_token_files_round_trip(spark, docs, no_docs):
+@pytest.mark.parametrize("block_ids", [rans.BLOCK_IDS, 300])
+def test_token_files_round_trip(spark, docs, no_docs, block_ids):
     path = new_work_path(spark, "test-tokens")
-    token_files.write_token_files(docs, path, tokens.byte_level_encoder, BYTE, 0, segment_ids=20_000)
+    token_files.write_token_files(docs, path, tokens.byte_level_encoder, BYTE, 0, segment_ids=20_000, block_ids=block_ids)
     got = [tuple(r) for r in token_files.read_token_files(spark, path).collect()]
     want = defaultdict(list)
     for r, ids in zip(rows(), reference(BYTE, 0, rows())):
@@ -99,6 +114,9 @@ def test_token_files_round_trip(spark, docs, no_docs):
         assert start == at and n * 4 == len(ids)
         want[doc].remove(bytes(ids))
         at += n
+    for r in spark.read.parquet(path).collect():
+        ends = np.cumsum(rans.Segment(bytes(r["data"])).points["ids"]).tolist()
+        assert ends == rans.block_ends(r["n_tokens"], block_ids)
     path = new_work_path(spark, "test-tokens")
     token_files.write_token_files(no_docs, path, tokens.byte_level_encoder, BYTE, 0)
     assert token_files.read_token_files(spark, path).count() == 0
