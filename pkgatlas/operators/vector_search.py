@@ -21,6 +21,8 @@ MAX_BROADCAST_QUERIES = 1024
 BLOCK_ROWS = 50_000
 #: Scores held at once in a task.
 STEP_SCORES = 4_000_000
+#: Rows whose k best bound those of a step.
+FIRST_ROWS = 512
 #: Numbers of the vectors that a task holds, when it streams queries.
 CHUNK_CELLS = 8_000_000
 
@@ -40,8 +42,8 @@ def _unit_rows(matrix: np.ndarray) -> np.ndarray:
 class _RunningTopK:
     """Keeps the k best rows per query while batches pass; ties go to the smaller id.
 
-    Rows rank by ``weight`` times their cosine plus a bonus of their own. The score matrix is
-    cut to k rows per query before any payload is taken.
+    Rows rank by ``weight`` times their cosine plus a bonus of their own. Pairs that reach neither
+    the threshold nor the k best held go after one comparison; only the rest are rounded and sorted.
     """
 
     def __init__(self, queries: np.ndarray, k: int, threshold: float, weight: float = 1.0) -> None:
@@ -64,18 +66,16 @@ class _RunningTopK:
             )
 
     def _add(self, payload: pa.Table, ids: np.ndarray, vectors: np.ndarray, bonus: np.ndarray) -> None:
-        scores = np.round(_unit_rows(vectors) @ self.queries.T, SCORE_DIGITS)
-        ranks = np.round(self.weight * scores + bonus[:, None], SCORE_DIGITS)
-        ranks[(scores < self.threshold) | (ranks < self.floor)] = -np.inf
-        if len(ids) > self.k:
-            kth = np.partition(ranks, len(ids) - self.k, axis=0)[len(ids) - self.k]
-            ranks[ranks < kth] = -np.inf
-        row, query = np.nonzero(ranks > -np.inf)
+        query, row = self._candidates(_unit_rows(vectors), bonus)
+        scores = np.round(self._raw[query, row], SCORE_DIGITS)
+        ranks = np.round(self.weight * scores + bonus[row], SCORE_DIGITS)
+        kept = (scores >= self.threshold) & (ranks >= self.floor[query])
+        query, row, scores, ranks = query[kept], row[kept], scores[kept], ranks[kept]
         if not len(row):
             return
         held = len(self.id)
-        rank = np.concatenate([self.rank, ranks[row, query]])
-        score = np.concatenate([self.score, scores[row, query]])
+        rank = np.concatenate([self.rank, ranks])
+        score = np.concatenate([self.score, scores])
         all_query = np.concatenate([self.query, query])
         all_id = np.concatenate([self.id, ids[row]])
         order = np.lexsort((all_id, -rank, all_query))
@@ -93,6 +93,28 @@ class _RunningTopK:
         back[np.concatenate([np.flatnonzero(keep < held), np.flatnonzero(keep >= held)])] = np.arange(len(keep))
         self.rows = joined.take(pa.array(back))
 
+    def _candidates(self, units: np.ndarray, bonus: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) of all pairs that can be among the k best; rounding may still take some out."""
+        slack = (1 + abs(self.weight)) * 10.0**-SCORE_DIGITS
+        raw = self._raw = self.queries @ units.T
+        plain = self.weight == 1.0 and not bonus.any()
+        rank = raw if plain else self.weight * raw + bonus
+        low, n, k = self.floor, len(units), self.k
+        first = min(n, max(FIRST_ROWS, 16 * k))
+        if first > k and (low == -np.inf).any():
+            # k of the first rows that surely count are a bound for all
+            sure = (raw[:, :first] >= self.threshold + slack) & (rank[:, :first] > -np.inf)
+            held = np.where(sure, rank[:, :first], -np.inf)
+            low = np.maximum(low, np.partition(held, first - k, axis=1)[:, first - k] - 2 * slack)
+        if plain:
+            some = raw >= np.maximum(low, self.threshold)[:, None] - slack
+        else:
+            some = (raw >= self.threshold - slack) & (rank >= low[:, None] - slack)
+        if n > k and np.count_nonzero(some) > 32 * k * len(raw):
+            held = np.where(some, rank, -np.inf)
+            some &= rank >= np.partition(held, n - k, axis=1)[:, n - k, None] - 2 * slack
+        return np.nonzero(some)
+
     def result(self, query_ids: pa.Array) -> pa.Table | None:
         if self.rows is None:
             return None
@@ -175,7 +197,7 @@ def vector_topk(
     else:
         partial = _streamed_topk(
             corpus, queries, columns, schema, k, threshold, vec_col,
-            max(1, min(max_broadcast_queries, MAX_BROADCAST_QUERIES)), block_rows, weight,
+            min(max_broadcast_queries, MAX_BROADCAST_QUERIES) or MAX_BROADCAST_QUERIES, block_rows, weight,
         )
     if bonus is not None:
         total = F.round(F.col("score") * weight + F.col("_bonus"), SCORE_DIGITS)
@@ -245,7 +267,7 @@ def _streamed_topk(corpus, queries, columns, schema, k, threshold, vec_col,
         F.transform("_q", lambda x: x.cast("double")).alias("_v"), "query_id",
     )
     return (
-        held.unionByName(asked).repartition(chunks, "_chunk").sortWithinPartitions("_chunk", "_kind")
+        held.unionByName(asked).repartitionById(chunks, "_chunk").sortWithinPartitions("_chunk", "_kind")
         .mapInArrow(_stream_task(columns, query_block, k, threshold, weight), schema)
     )
 

@@ -101,6 +101,47 @@ def test_vector_topk_matches_brute_force(vectors, k, threshold, broadcast):
     assert rows == brute_topk(corpus, queries, k, threshold)
 
 
+def test_streamed_queries_pass_in_blocks(vectors, monkeypatch):
+    """A bound of 0 on the batch that is sent does not mean one query at a time."""
+    from pkgatlas.operators import vector_search
+
+    c, q, corpus, queries = vectors
+    task, blocks = vector_search._stream_task, []
+    monkeypatch.setattr(vector_search, "_stream_task", lambda columns, block, *rest: blocks.append(block) or task(columns, block, *rest))
+    got = vector_topk(c, q, 5, 0.1, payload=["name"], max_broadcast_queries=0)
+    assert {(r["query_id"], r["rank"], r["id"], r["name"]) for r in got.collect()} == brute_topk(corpus, queries, 5, 0.1)
+    assert blocks == [vector_search.MAX_BROADCAST_QUERIES]
+
+
+@pytest.mark.parametrize("weight,boosted", [(1.0, False), (0.7, True), (-1.0, True)])
+@pytest.mark.parametrize("k,threshold", [(3, -1.0), (40, 0.2), (900, 0.0)])
+def test_running_topk_over_rising_rows(k, threshold, weight, boosted, monkeypatch):
+    """Rows that come in rising order, with copies, zeros and missing numbers, against a sort of all."""
+    import pyarrow as pa
+    from pkgatlas.operators import vector_search
+
+    monkeypatch.setattr(vector_search, "STEP_SCORES", 5 * 700)
+    rng = np.random.default_rng(8)
+    queries, corpus = rng.normal(size=(5, 8)), rng.normal(size=(2500, 8))
+    corpus = corpus[np.argsort(corpus @ queries[0])]
+    corpus[600:900], corpus[40], corpus[50, 3] = corpus[2400], 0, np.nan
+    bonus = rng.random(2500).round(3) if boosted else np.zeros(2500)
+    top = vector_search._RunningTopK(queries, k, threshold, weight)
+    for at in range(0, 2500, 1000):
+        some = slice(at, at + 1000)
+        ids = np.arange(2500)[some]
+        top.add(pa.table({"id": ids}), ids, corpus[some], bonus[some] if boosted else None)
+    got = {}
+    for q, r in zip(top.query.tolist(), top.result(pa.array(range(5))).to_pylist()):
+        got.setdefault(q, []).append((r["id"], r["score"]))
+    for q in range(5):
+        length = np.linalg.norm(corpus, axis=1) * np.linalg.norm(queries[q])
+        score = np.round(np.divide(corpus @ queries[q], length, out=np.zeros(2500), where=length > 0), 6)
+        rank = np.round(weight * score + bonus, 6)
+        order = [i for i in np.lexsort((np.arange(2500), -rank)) if score[i] >= threshold and rank[i] == rank[i]][:k]
+        assert got.get(q, []) == [(i, score[i]) for i in order]
+
+
 def test_vector_topk_without_queries(vectors):
     c, q, *_ = vectors
     assert vector_topk(c, q.filter("false"), 3).count() == 0
