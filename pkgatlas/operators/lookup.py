@@ -187,9 +187,9 @@ def _edge_topk(edges: DataFrame, names: DataFrame, on: str, other: str, limit: i
     """The first ``limit`` edges of each name, by the shown columns; 0 numbers them all.
 
     A list short enough to broadcast filters the scan, and each task cuts a name before the
-    shuffle. A longer one meets the edges by (name, piece), so the edges of one popular package
-    spread over ``EDGE_PIECES`` tasks, and only ``limit`` rows of each go on. All edges are
-    numbered through an index in the work folder, so no task holds a whole name.
+    shuffle. For a longer one names are cut in pieces first, so the edges of one popular package
+    spread over ``EDGE_PIECES`` tasks; names meet only what is left, so each travels once. All edges
+    are numbered through an index in the work folder, so no task holds a whole name.
     """
     if limit <= 0:
         path = new_work_path(edges.sparkSession, "edges")
@@ -197,24 +197,17 @@ def _edge_topk(edges: DataFrame, names: DataFrame, on: str, other: str, limit: i
         return write_edge_index(wanted, path, on).listed(asked(names), 0)
     columns = [other, "dependency_kind", "dependency_requirements"]
     order = [F.col(c).asc() for c in columns]
-    keyed = edges.withColumn("name_key", name_key(F.col(on)))
+    top = edges.select(name_key(F.col(on)).alias("name_key"), *columns)
     keys = names.select(name_key(F.col("name")).alias("name_key")).distinct()
     if _fits_broadcast(keys):
-        top = keyed.join(keys, "name_key", "left_semi")
+        top = top.join(keys, "name_key", "left_semi")
     else:
-        piece = F.pmod(F.xxhash64(*columns), F.lit(EDGE_PIECES)).cast("int")
-        pieces = F.explode(F.sequence(F.lit(0), F.lit(EDGE_PIECES - 1)))
-        top = keyed.withColumn("_piece", piece).join(
-            keys.withColumn("_piece", pieces), ["name_key", "_piece"], "left_semi"
-        )
+        top = top.withColumn("_piece", F.pmod(F.xxhash64(*columns), F.lit(EDGE_PIECES)).cast("int"))
         w = Window.partitionBy("name_key", "_piece").orderBy(*order)
         top = top.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= limit)
     w = Window.partitionBy("name_key").orderBy(*order)
     top = top.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= limit)
-    return asked(names).join(
-        top.select("name_key", "pos", other, "dependency_kind", "dependency_requirements"),
-        "name_key",
-    )
+    return asked(names).join(top.select("name_key", "pos", *columns), "name_key")
 
 
 def _fits_broadcast(df: DataFrame) -> bool:

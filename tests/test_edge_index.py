@@ -90,3 +90,18 @@ def test_index_of_nothing_and_clashing_columns(spark, tmp_path):
     clash = spark.createDataFrame([("a", "B", "k", "*", 1, 2, 3)], "project_name string, dependency_name string, dependency_kind string, dependency_requirements string, part int, row int, name_key int")
     back = write_edge_index(clash, str(tmp_path / "clash"), on="project_name").listed(lookup.asked(lookup.name_list(spark, ["A"])), 0)
     assert [tuple(r) for r in back.collect()] == [("A", "a", 1, "B", "k", "*")]
+
+
+def test_long_list_travels_once(spark):
+    """Names are not copied to the pieces that edges are cut in, and a hot name is cut before the shuffle."""
+    rows, edges = _edges(spark)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = lookup.reverse_dependencies(edges, lookup.name_list(spark, ASKED * 2), 5)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "explode(sequence" not in plan and plan.count("_piece") > 0
+        assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
+        assert _rows(got) == _brute(rows, ASKED, 5)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
