@@ -20,6 +20,7 @@ from pkgatlas.operators.lookup import (
     health_metrics,
     restrict,
     reverse_dependencies,
+    stored_names,
 )
 
 NOT_FOUND = "not found in database or registry"
@@ -38,6 +39,12 @@ def package_stats(
     A zero version count is replaced by the registry's; the registry's release date comes
     before the historical one.
     """
+    return _stats(layers, stored_names(names), as_of, weights, snippets)
+
+
+def _stats(
+    layers: Layers, names: DataFrame, as_of: str, weights: Mapping[str, float] = fixed.SCORE_WEIGHTS, snippets: bool = True
+) -> DataFrame:
     base = health_metrics(layers, names)
     columns = {
         "version": "string", "summary": "string", "author": "string", "license": "string",
@@ -125,7 +132,8 @@ def package_detail(
     The arrays hold at most ``limit`` items: the cut is made before they are collected.
     ``..._shown`` counts these, ``..._total`` all edges there are.
     """
-    stats = package_stats(layers, names, as_of, **options)
+    names = stored_names(names)
+    stats = _stats(layers, names, as_of, **options)
 
     def listed(edges: DataFrame, other: str, alias: str) -> DataFrame:
         item = F.struct("pos", other, "dependency_kind", "dependency_requirements")
@@ -178,6 +186,7 @@ def package_detail(
 
 def dependents(layers: Layers, names: DataFrame, limit: int = 50) -> DataFrame:
     """Dependents count and the first ``limit`` dependents, one row per dependent."""
+    names = stored_names(names)
     counts = dependents_count(layers, names)
     if layers.deps is None:
         return counts.withColumns(

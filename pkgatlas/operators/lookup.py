@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pkgatlas.functions.names import name_key, with_name_key
 from pkgatlas.operators.build import one_per_name
-from pkgatlas.session import new_work_path
+from pkgatlas.session import materialize, new_work_path
 from pkgatlas.sources.edge_index import write_edge_index
 
 #: Pieces that the edges of one name are dealt to.
@@ -54,6 +54,12 @@ def asked(names: DataFrame) -> DataFrame:
     return names.select("name").distinct().withColumn("name_key", name_key(F.col("name")))
 
 
+def stored_names(names: DataFrame) -> DataFrame:
+    """The distinct ``names``, written once when they are too many to broadcast: an answer reads them for every layer."""
+    distinct = names.select("name").distinct()
+    return distinct if _fits_broadcast(distinct) else materialize(distinct, "names")
+
+
 def restrict(df: DataFrame, names: DataFrame, key: str = "name_key") -> DataFrame:
     """Rows whose name was asked for (any spelling).
 

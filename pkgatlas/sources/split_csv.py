@@ -78,7 +78,17 @@ class _Range:
         )
 
 
-def _record_task(header: bool):
+def _plain_batch(now: _Range, records: pa.Array) -> pa.RecordBatch:
+    n, yes = len(records), pa.scalar(True)
+    return pa.RecordBatch.from_arrays([
+        pa.repeat(pa.scalar(now.file, pa.string()), n), pa.repeat(pa.scalar(now.start, pa.int64()), n), pa.repeat(yes, n),
+        pa.repeat(yes, n), records.cast(pa.string()),
+    ], ["file", "start", "opens", "closes", "record"])
+
+
+def _record_task(header: bool, plain_too: bool):
+    """Records of ranges; lines outside quotes that hold whole records go by the batch, if ``plain_too``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: _Range | None = None
         for batch in batches:
@@ -96,7 +106,18 @@ def _record_task(header: bool):
                         now.end()
                         yield now.drain()
                     now = _Range(*key, inside[a].as_py(), header)
-                now.lines(values.slice(a, b - a).to_pylist(), odd[a:b].tolist())
+                part, flips = values.slice(a, b - a), odd[a:b]
+                # a range's first record may be a header or the end of another range's
+                at = 0
+                while at < len(part) and (now.skip or now.cut):
+                    now.lines([part[at].as_py()], [bool(flips[at])])
+                    at += 1
+                part, flips = part.slice(at), flips[at:]
+                ends_inside = (np.cumsum(flips) + now.inside) % 2 == 1
+                plain = ~ends_inside & ~np.concatenate([[now.inside], ends_inside])[:-1]
+                if plain_too and plain.any():
+                    yield _plain_batch(now, part.filter(pa.array(plain)))
+                now.lines(part.filter(pa.array(~plain)).to_pylist(), flips[~plain].tolist())
             if now is not None:
                 yield now.drain()
         if now is not None:
@@ -125,10 +146,10 @@ def csv_records(spark: SparkSession, path: str | list[str], header: bool = True)
         placed = lines.join(F.broadcast(parity), ["file", "start"])
     else:
         placed = lines.join(parity, ["file", "start"]).sortWithinPartitions("file", "start", "place")
-    pieces = placed.select("value", "file", "start", "inside").mapInArrow(_record_task(header), _OUT)
-    whole = pieces.filter("opens AND closes").select("record")
+    ranges = placed.select("value", "file", "start", "inside")
+    whole = ranges.mapInArrow(_record_task(header, True), _OUT).filter("opens AND closes").select("record")
     # at most two pieces a range: the end of one record, the beginning of another
-    cut = pieces.filter("NOT (opens AND closes)")
+    cut = ranges.mapInArrow(_record_task(header, False), _OUT).filter("NOT (opens AND closes)")
     order = ["start", F.col("opens").cast("int")]
     number = F.sum(F.col("opens").cast("int")).over(Window.partitionBy("file").orderBy(*order))
     joined = (
