@@ -1,4 +1,7 @@
-"""Near copies by the exact Jaccard similarity of word shingles; MinHash bands find the pairs to test."""
+"""Near copies by the exact Jaccard similarity of word shingles.
+
+SimHash fingerprints within RADIUS bits are tested first; MinHash bands find the similar pairs that lie further apart.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pkgatlas.llm.common import components, keep_first, place, store, text_or_empty
-from pkgatlas.llm.simhash import _Forest, shingle_hashes
+from pkgatlas.llm.simhash import RADIUS, _Forest, majority_bits, near_links, shingle_hashes
 
 SHINGLE = 5
 SEED = 42
@@ -51,16 +54,18 @@ def bands(hashes: np.ndarray) -> list[int]:
 def _print_task(shingle: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, keys = [], [], []
+            nodes, sizes, keys, prints = [], [], [], []
             for text in batch.column(2):
                 hashes = shingle_set(text.as_py(), shingle, seed)
+                prints.append(majority_bits(hashes))  # of the set, so equal sets have one
                 nodes.append(xxhash.xxh64_intdigest(hashes.tobytes(), seed))
                 sizes.append(len(hashes))
                 keys.append(bands(hashes))
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)),
                 pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())),
-            ], ["doc", "mark", "node", "n", "bands"])
+                pa.array(np.array(prints, np.uint64).view(np.int64)),
+            ], ["doc", "mark", "node", "n", "bands", "fp"])
 
     return run
 
@@ -197,13 +202,22 @@ def _large_band_links(members: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
+def fingerprint_pairs(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(a, b) of ``nodes`` that SimHash links, a forest of each group: fingerprints that are equal or near."""
+    first, _ = store(nodes.filter("n > 0").groupBy("fp").agg(F.min("node").alias("first")), "fingerprint-nodes")
+    left, right = (first.select(F.col("fp").alias(x), F.col("first").alias(f"n_{x}")) for x in "ab")
+    near = near_links(first.select("fp"), radius).join(left, "a").join(right, "b").select("n_a", "n_b")
+    same = nodes.filter("n > 0").join(first, "fp").filter("node <> first").select("node", "first")
+    return near.union(same).select(F.least("n_a", "n_b").alias("a"), F.greatest("n_a", "n_b").alias("b")).distinct()
+
+
 def similar_links(
     docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, shingle: int, seed: int
 ) -> DataFrame:
     """(a, b): enough verified pairs to connect all of ``nodes`` that meet in a band and are similar.
 
-    Each set is first held against the smallest and the largest one of its bands; this joins a
-    dense group with a few rows for each member. After that only pairs of different
+    Pairs that SimHash links are tested first, and each set is held against the smallest and the
+    largest one of its bands; this joins a dense group with a few rows for each member. After that only pairs of different
     groups are left, and every one of them that meets in a band is tested: by a join in a
     band of at most SMALL_BAND members, tile by tile in a larger one.
     """
@@ -213,7 +227,8 @@ def similar_links(
     one = F.struct("node", "n")
     busy = keys.groupBy("key").agg(F.min(one).alias("lo"), F.max(one).alias("hi")).filter("lo.node < hi.node")
     members, _ = store(keys.join(busy, "key"), "band-members")
-    chosen = members.select("node").distinct().join(nodes, "node").select("node", "at", "none", "mark")
+    printed, _ = store(fingerprint_pairs(nodes), "fingerprint-pairs")
+    chosen = members.select("node").union(printed.select("a")).union(printed.select("b")).distinct().join(nodes, "node").select("node", "at", "none", "mark")
     own = docs.select(*place(id_col, text_col), text_or_empty(F.col(text_col)).cast("binary").alias("text"))
     sets, _ = store(
         own.join(chosen, ["none", "at", "mark"]).select("node", "text")
@@ -228,7 +243,10 @@ def similar_links(
     ends = members.select("node", "n", F.explode(F.array("lo", "hi")).alias("end")).filter(
         (F.col("node") != F.col("end.node")) & near(F.col("n"), F.col("end.n"))
     )
-    pairs = ends.select(F.least("node", "end.node").alias("a"), F.greatest("node", "end.node").alias("b")).distinct()
+    pairs = (
+        ends.select(F.least("node", "end.node").alias("a"), F.greatest("node", "end.node").alias("b"))
+        .unionByName(printed).distinct()
+    )
     stars, _ = store(_similar(pairs, sets), "star-links")
     roots = components(stars)
     grouped = members.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
@@ -266,14 +284,15 @@ def drop_near_copies(
     rows = docs.select(*place(id_col, text_col), text_or_empty(F.col(text_col)).cast("binary").alias("text"))
     prints, _ = store(
         rows.select(F.struct("none", "at").alias("doc"), "mark", "text")
-        .mapInArrow(_print_task(shingle, seed), "doc struct<none:boolean,at:bigint>, mark long, node long, n long, bands array<long>")
-        .select("doc.none", "doc.at", "mark", "node", "n", "bands"),
+        .mapInArrow(_print_task(shingle, seed), "doc struct<none:boolean,at:bigint>, mark long, node long, n long, bands array<long>, fp long")
+        .select("doc.none", "doc.at", "mark", "node", "n", "bands", "fp"),
         "shingle-prints",
     )
     nodes, _ = store(
         prints.groupBy("node", "n").agg(
-            F.min(F.struct("none", "at", "mark")).alias("p"), F.any_value("bands").alias("bands")
-        ).select("node", "n", "p.*", "bands"),
+            F.min(F.struct("none", "at", "mark")).alias("p"), F.any_value("bands").alias("bands"),
+            F.any_value("fp").alias("fp"),
+        ).select("node", "n", "p.*", "bands", "fp"),
         "shingle-nodes",
     )
     roots, _ = store(components(similar_links(docs, nodes, id_col, text_col, shingle, seed)), "near-roots")

@@ -39,7 +39,11 @@ def shingle_hashes(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> np.
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """Bit i is set when over half of the shingles' XXH64 hashes have it set."""
-    hashes = shingle_hashes(text, shingle, seed)
+    return majority_bits(shingle_hashes(text, shingle, seed))
+
+
+def majority_bits(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have set."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         some = hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8)

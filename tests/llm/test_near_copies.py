@@ -170,3 +170,19 @@ def brute_kept_fast(data):
     for i, r in enumerate(data):
         groups[find(i)].append(r)
     return groups.values()
+
+
+def test_stage_tests_what_simhash_links(spark, monkeypatch):
+    """The stage's pairs begin with SimHash's; what only fingerprints bring together is tested exactly."""
+    asked, links = [], near_copies.near_links
+    monkeypatch.setattr(near_copies, "near_links", lambda prints, radius: asked.append(radius) or links(prints, radius))
+    words = [f"w{i}" for i in range(300)]
+    data = [(1, " ".join(words), "en", "a", 1, 1, 1, "x"), (2, " ".join([*words[:-1], "other"]), "en", "a", 1, 1, 1, "x"), (3, "", "en", "a", 1, 1, 1, "x")]
+    got = corpus_pipeline.near_duplicate_stage(spark, frame(spark, data), "").collect()
+    assert sorted(r["doc_id"] for r in got) == [1, 3] and asked == [near_copies.RADIUS]
+
+
+def test_fingerprint_pairs(spark):
+    """Equal and near fingerprints are paired, far ones and empty sets are not."""
+    nodes = spark.createDataFrame([(1, 5, 0b0), (2, 5, 0b111), (3, 5, 0b111), (4, 5, 0xFFFF), (5, 0, 0b1)], "node long, n long, fp long")
+    assert {(r["a"], r["b"]) for r in near_copies.fingerprint_pairs(nodes).collect()} == {(1, 2), (2, 3)}
