@@ -126,3 +126,20 @@ def test_quoted_quotes_and_breaks_are_kept(spark, tmp_path):
     got = {r["a"]: r["b"] for r in files.read_csv(spark, str(tmp_path), schema).collect()}
     assert got == {1: 'says "hi", twice', 2: "two\nlines", 3: "plain"}
     assert [r["record"] for r in files.rejected_csv(spark, str(tmp_path), schema).collect()] == ["x,bad"]
+
+
+def test_plain_csv_lines_pass_by_the_batch():
+    """Whole records are kept however batches cut a range; the second pass sends only what is cut."""
+    import pyarrow as pa
+    from pkgatlas.sources.split_csv import _record_task
+
+    lines = ["tail of a field", 'end",x', "a,b", '"c', 'd",e', "f,g", '"open', "until the end"]
+    for size in (1, 3, 8):
+        batches = [
+            pa.RecordBatch.from_pydict({"value": part, "file": ["f"] * len(part), "start": [9] * len(part), "inside": [True] * len(part)})
+            for part in (lines[i : i + size] for i in range(0, 8, size))
+        ]
+        found = [{(r["record"], r["opens"], r["closes"]) for b in _record_task(True, both)(iter(batches)) for r in b.to_pylist()} for both in (True, False)]
+        cut = {('tail of a field\nend",x', False, True), ('"open\nuntil the end', True, False)}
+        assert found[0] == cut | {("a,b", True, True), ('"c\nd",e', True, True), ("f,g", True, True)}
+        assert found[1] == cut | {('"c\nd",e', True, True)}
