@@ -345,6 +345,73 @@ def test_blocks_do_not_change_matches(spark, monkeypatch):
         assert sorted(map(tuple, match_queries(df, df, exclude_self=True).collect())) == want
 
 
+@pytest.mark.parametrize("parts", [(1,), (4, 2, 1)])
+def test_bounds_do_not_change_matches(spark, monkeypatch, parts):
+    """With the longest known texts held first, in several modes, blocks and slices: brute force's matches."""
+    from pkgatlas.operators import matching
+
+    rng = random.Random(9)
+    vocab = [f"w{j}" for j in range(60)]
+    weights = [1 / (j + 1) for j in range(60)]
+    rows = [(i, " ".join(rng.choices(vocab, weights, k=rng.randint(1, 50))), rng.choice("ab")) for i in range(200)]
+    rows += [(300 + i, t.upper() if i % 2 else t + " w1", m) for i, (_, t, m) in enumerate(rows[:20])]  # near and exact copies
+    for name, v in {
+        "LEAST_BLOCK": 2, "LEAD_SHARE": 8, "LEAD_PARTS": parts, "NEW_BLOCK": 70, "BLOCK": 40, "DENSE_SHARE": 10**6, "DENSE_WORDS": 9,
+    }.items():
+        monkeypatch.setattr(matching, name, v)
+    df = spark.createDataFrame(rows, "query_id long, query string, mode string")
+    got = {r["query_id"]: tuple(r)[1:] for r in match_queries(df, df, exclude_self=True, stop_words=()).collect()}
+
+    def words(t):
+        return set(t.lower().split())
+
+    for i, t, m in rows:
+        others = [(k, u) for k, u, mode in rows if mode == m and k != i]
+        exact = [k for k, u in others if u.lower() == t.lower()]
+        best = min(
+            ((-len(words(t) & words(u)), u.lower().replace(" ", "_"), k) for k, u in others),
+            key=lambda x: x,
+        )
+        if exact:
+            assert got[i] == (min(exact), "exact", None)
+        elif len(words(t)) >= 4 and -best[0] >= 4:
+            assert got[i] == (best[2], "fuzzy", -best[0])
+        else:
+            assert got[i] == (None, None, None)
+
+
+def test_most_pairs_of_questions_are_never_met(monkeypatch):
+    """A bound leaves frequent words out of the lists, so far fewer list entries than pairs are read."""
+    from pkgatlas.operators import matching
+
+    rng = np.random.default_rng(3)
+    frequent, rare = 40, 20_000
+    texts = [
+        np.unique(np.r_[rng.choice(frequent, 12, False), frequent + rng.choice(rare, 14, False)]) for _ in range(2000)
+    ]
+    texts += [np.r_[t[:-4], frequent + rare + np.arange(4) + 4 * i] for i, t in enumerate(texts[:100])]  # edited copies
+    counts, words = np.array([len(t) for t in texts]), np.concatenate(texts)
+    asked = {"no": np.arange(100), "own": np.arange(100), "counts": counts[:100], "words": np.arange(words.max() + 1),
+             "links": words[: counts[:100].sum()]}
+    holder = np.repeat(np.arange(len(texts)), counts)[np.argsort(words, kind="stable")].astype(np.int32)
+    told = {"no": np.arange(len(texts)), "words": np.arange(words.max() + 1),
+            "counts": np.bincount(words, minlength=words.max() + 1), "links": holder}
+    read, cells = [], matching._cells
+    monkeypatch.setattr(matching, "_cells", lambda *a: read.append(len(c := cells(*a))) or c)
+    results = []
+    for least in (4, 20):
+        q, text, shared = matching._best(asked, told, np.full(100, least), 128, 1024)
+        results.append((q.tolist(), text.tolist(), shared.tolist()))
+        assert text.tolist() == [2000 + i for i in range(100)] and set(shared.tolist()) == {22}
+    assert results[0] == results[1]
+    assert read[-1] * 20 < 100 * len(texts) < read[0]
+    # in slices and steps of any size
+    monkeypatch.setattr(matching, "SLICE", 7)
+    monkeypatch.setattr(matching, "HITS", 50)
+    again = matching._best(asked, told, np.full(100, 20), 128, 1024)
+    assert tuple(x.tolist() for x in again) == results[0]
+
+
 def test_scores_are_cut_before_payload(monkeypatch):
     """Many rows times many queries in small steps: k rows a query, whatever the step."""
     import pyarrow as pa
